@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import htmltext, langid, mixing, packing, quality, simhash, tokens, toxicity
+from voxloom.llm import htmltext, langid, mixing, packing, pii, quality, simhash, tokens, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -51,7 +61,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_langid, op3_simhash, op4_mixing, op5_quality, op6_tokens, op8_toxicity, op9_packing, op10_html)}
+    return {f.__name__: f for f in (op1_pii, op2_langid, op3_simhash, op4_mixing, op5_quality, op6_tokens, op8_toxicity, op9_packing, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
