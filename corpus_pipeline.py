@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import mixing, packing, quality, simhash
+from voxloom.llm import mixing, packing, pii, quality, simhash
 from voxloom.llm.common import Scratch
 
 
@@ -22,6 +22,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; personal data in its text is replaced by the name of its kind."""
+    return pii.redact(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; those of small sources are repeated, up to twice, towards flatter weights."""
     return mixing.mix_sources(docs, mixing.Plan(max_repeats=2.0, budget="cover")).select(*docs.columns)
@@ -32,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality rules", rules), ("near duplicates", near_duplicates), ("mixing", mix), ("packing", pack)]
+STAGES = [("quality rules", rules), ("near duplicates", near_duplicates), ("personal data", personal_data), ("mixing", mix), ("packing", pack)]
 
 #: Fingerprints, trees and packing have no SQL form; tests/llm holds each stage against a plain version.
 ORACLE_SQL = None
