@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import htmltext, langid, mixing, packing, pii, quality, simhash, tokens, toxicity
+from voxloom.llm import htmltext, langid, media, mixing, packing, pii, quality, simhash, tokens, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no images: each vector of embeddings is drawn, some once more as an edited copy."""
+    return media.copies(media.drawn(read(spark, sf_dir, "embeddings")))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -61,7 +66,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_langid, op3_simhash, op4_mixing, op5_quality, op6_tokens, op8_toxicity, op9_packing, op10_html)}
+    return {f.__name__: f for f in (op1_pii, op2_langid, op3_simhash, op4_mixing, op5_quality, op6_tokens, op7_media, op8_toxicity, op9_packing, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
