@@ -7,6 +7,8 @@ meets; the number of candidates follows the geometry and not the product of the
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,7 +152,7 @@ def crop_to_detection(points: DataFrame, detections: DataFrame, radius: float, c
 
 def frame_neighbours(frames: DataFrame, reach: int, step: int, track: str = "track", frame: str = "frame") -> DataFrame:
     """(track, frame, offset, other) for the frames at offsets -reach..reach that exist; an equi-join on the wanted frame."""
-    wanted = frames.select(track, frame, F.explode(F.sequence(F.lit(-reach), F.lit(reach), F.lit(step))).cast("long").alias("offset"))
+    wanted = frames.select(track, frame, F.explode(F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long"), F.lit(step).cast("long"))).alias("offset"))
     wanted = wanted.where("offset <> 0").withColumn("other", F.col(frame) + F.col("offset"))
     return wanted.join(frames.select(track, F.col(frame).alias("other")), [track, "other"])
 
@@ -302,22 +304,19 @@ def neighbour_normals(points: DataFrame, radius: float, key: str = "cloud_id", l
 
     Neighbours come from the radius search; only the six numbers of their covariance reach Python.
     """
-    import numpy as np
-    import pandas as pd
-
     queries = points.select(F.col("point_id").alias("query_id"), key, "x", "y", "z")
     pairs = radius_search(queries, points, radius, key).join(points.select("point_id", "x", "y", "z"), "point_id")
     names = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
     spread = pairs.groupBy("query_id").agg(F.count("*").alias("n"), *[F.covar_pop(a, b).alias(f"c_{a}{b}") for a, b in names]).where(F.col("n") >= least)
     spread = spread.join(queries, "query_id")
 
-    def normal(*columns: pd.Series) -> pd.DataFrame:
-        xx, xy, xz, yy, yz, zz, x, y, z = (c.to_numpy(float) for c in columns)
+    def normal(rows: pd.DataFrame) -> pd.DataFrame:
+        xx, xy, xz, yy, yz, zz, x, y, z = rows.to_numpy(float).T
         m = np.stack([np.stack([xx, xy, xz], 1), np.stack([xy, yy, yz], 1), np.stack([xz, yz, zz], 1)], 1)
         n = np.linalg.eigh(m)[1][:, :, 0] if len(m) else np.zeros((0, 3))
         n = n * np.where((n * np.stack([x, y, z], 1)).sum(1) > 0, -1.0, 1.0)[:, None]
         return pd.DataFrame(n, columns=["nx", "ny", "nz"])
 
     of = F.pandas_udf(normal, "nx double, ny double, nz double")
-    return spread.select("query_id", of(*[f"c_{a}{b}" for a, b in names], "x", "y", "z").alias("m")).select("query_id", "m.*")
+    return spread.select("query_id", of(F.struct(*[f"c_{a}{b}" for a, b in names], "x", "y", "z")).alias("m")).select("query_id", "m.*")
 
