@@ -13,8 +13,24 @@ from pyspark.sql import functions as F
 Vector = tuple[Column, Column, Column]
 
 
-def vec(*names: str) -> Vector:
-    return tuple(F.col(n) for n in names)
+class Fields:
+    """Named columns as a vector; the Columns are made when they are read, so that a module can hold one before there is a session."""
+
+    def __init__(self, *names: str):
+        self.names = names
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def __getitem__(self, k):
+        return tuple(map(F.col, self.names[k])) if isinstance(k, slice) else F.col(self.names[k])
+
+    def __iter__(self):
+        return map(F.col, self.names)
+
+
+def vec(*names: str) -> Fields:
+    return Fields(*names)
 
 
 def add(a: Vector, b: Vector) -> Vector:

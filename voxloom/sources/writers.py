@@ -92,4 +92,5 @@ def as_json(rows: DataFrame, key: str) -> DataFrame:
 def write_files(files: DataFrame, path: str, extension: str) -> None:
     """A folder for each file_id with its text in a part file; repeated writes replace a folder."""
     named = files.withColumn("name", F.concat("file_id", F.lit(extension)))
-    named.select("name", "text").write.mode("overwrite").partitionBy("name").option("lineSep", "").text(path)
+    ended = F.regexp_replace("text", "\n$", "").alias("text")  # the writer ends the row with a line end
+    named.select("name", ended).write.mode("overwrite").partitionBy("name").text(path)
