@@ -45,7 +45,7 @@ class Moments:
     def __init__(self, sources: DataFrame, small: bool):
         self.sources, self.small = sources.where("tokens > 0"), small
         if small:
-            self.tokens = np.array([float(r[0]) for r in self.sources.select("tokens").collect()])
+            self.tokens = np.array(sorted(float(r[0]) for r in self.sources.select("tokens").collect()))  # sorted: the same sums in any run
             self.n, self.total = len(self.tokens), float(self.tokens.sum())
             self.least, self.most = (float(self.tokens.min()), float(self.tokens.max())) if self.n else (1.0, 1.0)
         else:
@@ -96,7 +96,7 @@ def exponent(m: Moments, plan: Plan) -> float:
             power = (low + high) / 2
             low, high = (power, high) if m.repeats(power, budget) > plan.max_repeats else (low, power)
         power = high
-    return power
+    return round(power, 12)
 
 
 def mixture(docs: DataFrame, plan: Plan, scratch: Scratch) -> tuple[DataFrame, bool]:

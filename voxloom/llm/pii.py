@@ -252,6 +252,9 @@ def redact(docs: DataFrame, **options) -> DataFrame:
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], more).otherwise(a["out"]).alias("out"))
 
     done = F.aggregate(F.coalesce(by_start, none), begin, write, lambda a: F.concat(a["out"], F.col("text").substr((a["at"] + 1).cast("int"), F.length("text"))))
-    text = F.when(F.col("voxloom_spans").isNull(), F.col("text")).otherwise(done)
-    out = {"text": text} | ({"n_chars": F.when(F.col("voxloom_spans").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
+    # Under a name of its own: in the same select, an alias "text" would be taken for the column within the lambdas.
+    joined = joined.withColumn("voxloom_text", F.when(F.col("voxloom_spans").isNull(), F.col("text")).otherwise(done))
+    out = {"text": F.col("voxloom_text")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("voxloom_spans").isNull(), F.col("n_chars")).otherwise(F.length("voxloom_text")).cast(dict(docs.dtypes)["n_chars"])
     return joined.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
