@@ -184,6 +184,20 @@ def read_m(spark, sf):
     return text.parse_m(files)[0].select("vid", "x", "y", "z")
 
 
+def tracklet_texts(spark, sf):
+    """One file of each frame's boxes: each box is a tracklet of two poses."""
+    pose = lambda x_, y_: F.concat(*[p for n, c in (("tx", x_), ("ty", y_), ("tz", F.col("tz")), ("rx", F.lit(0)), ("ry", F.lit(0)), ("rz", F.col("rz"))) for p in (F.lit(f"<{n}>"), c.cast("string"), F.lit(f"</{n}>"))], F.lit("<state>2</state><occlusion>0</occlusion><truncation>-1</truncation>"))
+    item = F.concat(
+        F.lit("<item><objectType>Car</objectType><h>"), F.col("sx").cast("string"), F.lit("</h><w>"), F.col("sy").cast("string"), F.lit("</w><l>"), F.col("sz").cast("string"), F.lit("</l><first_frame>"), F.col("box_id").cast("string"),
+        F.lit("</first_frame><poses><count>2</count><item>"), pose(F.col("tx"), F.col("ty")), F.lit("</item><item>"), pose(F.col("ty"), F.col("tx")), F.lit("</item></poses></item>"),
+    )
+    return whole_boxes(spark, sf).groupBy(F.col("frame").cast("string").alias("file_id")).agg(F.concat(F.lit("<tracklets>"), F.array_join(F.sort_array(F.collect_list(item)), ""), F.lit("</tracklets>")).alias("text"))
+
+
+add("S10_read_tracklets", lambda s, d: text.parse_tracklets(tracklet_texts(s, d)).select("file_id", "object_type", "h", "first_frame", "frame", "tx", "ty", "rz", "truncation"),
+    f"SELECT CAST(frame AS VARCHAR) AS file_id, 'Car' AS object_type, sx AS h, box_id AS first_frame, box_id+k AS frame, CASE WHEN k = 0 THEN tx ELSE ty END AS tx, CASE WHEN k = 0 THEN ty ELSE tx END AS ty, rz, CAST(-1 AS INT) AS truncation FROM {BOXED}, (SELECT unnest(range(2)) AS k)")
+
+
 @op("K1_tensor_columns", f"SELECT sample_id, count(*) AS n FROM {x.VOLUME} GROUP BY 1")
 def tensor_columns(spark, sf):
     """The landing layout of tensors: long rows, a sample's rows together and in order."""

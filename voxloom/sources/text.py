@@ -156,16 +156,26 @@ def parse_ids(rows: DataFrame) -> DataFrame:
     return rows.where(F.trim("line") != "").select("file_id", "line_no", F.trim("line").cast("long").alias("id"))
 
 
+POSE = "STRUCT<tx:double,ty:double,tz:double,rx:double,ry:double,rz:double,state:int,occlusion:int,truncation:int>"
+TRACKLET = f"objectType string, h double, w double, l double, first_frame long, poses STRUCT<count:long,item:ARRAY<{POSE}>>"
+
+
+def poses_of(items: DataFrame, *keys: str) -> DataFrame:
+    """A row for each pose of each tracklet: (keys, object_type, h, w, l, first_frame, frame, tx, ty, tz, rx, ry, rz, state, occlusion, truncation)."""
+    spread = items.where("objectType IS NOT NULL").select(*keys, F.col("objectType").alias("object_type"), "h", "w", "l", "first_frame", F.posexplode("poses.item").alias("k", "p"))
+    return spread.select(*keys, "object_type", "h", "w", "l", "first_frame", (F.col("first_frame") + F.col("k")).alias("frame"), "p.*")
+
+
 def read_tracklets(spark: SparkSession, path: str) -> DataFrame:
-    """(object_type, h, w, l, first_frame, frame, tx, ty, tz, rx, ry, rz, state, occlusion, truncation): a row for each pose.
+    """Poses of tracklet files. Spark's own XML reader finds the outer items; the schema is given, so nothing is inferred."""
+    return poses_of(spark.read.format("xml").option("rowTag", "item").schema(TRACKLET).load(path))
 
-    Spark's own XML reader finds the outer items; the schema is given, so nothing is inferred.
-    """
-    pose = "STRUCT<tx:double,ty:double,tz:double,rx:double,ry:double,rz:double,state:int,occlusion:int,truncation:int>"
-    schema = f"objectType string, h double, w double, l double, first_frame long, poses STRUCT<count:long,item:ARRAY<{pose}>>"
-    items = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path).where("objectType IS NOT NULL")
-    spread = items.select(F.col("objectType").alias("object_type"), "h", "w", "l", "first_frame", "poses.count", F.posexplode("poses.item").alias("k", "p"))
-    return spread.select("object_type", "h", "w", "l", "first_frame", (F.col("first_frame") + F.col("k")).alias("frame"), "p.*")
+
+def parse_tracklets(files: DataFrame) -> DataFrame:
+    """Poses of tracklet texts (file_id, text): a root element with items."""
+    fields_of = ",".join(f"{name}:{kind}" for name, kind in (f.strip().split(" ", 1) for f in TRACKLET.split(", ")))
+    parsed = F.from_xml(F.col("text"), f"item ARRAY<STRUCT<{fields_of}>>")
+    return poses_of(files.select("file_id", F.explode(parsed["item"]).alias("i")).select("file_id", "i.*"), "file_id")
 
 
 def read_config(path: str) -> dict:
