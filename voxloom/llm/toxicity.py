@@ -83,10 +83,10 @@ def fit(rows: list[np.ndarray], others: list[np.ndarray], y: np.ndarray, swap: f
 
     def matrix(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         at = np.concatenate(lists)
-        row = np.repeat(np.arange(n), [len(x) for x in lists])
+        row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in lists])
         place = np.minimum(np.searchsorted(known, at), k - 1)
         ok = known[place] == at
-        return row[ok], place[ok]
+        return row[ok], place[ok].astype(np.int32)
 
     (r1, c1), (r2, c2) = matrix(rows), matrix(others)
     # each column has its own step: the curvature is at most a quarter of the column's share, times the row's length
@@ -132,8 +132,10 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, group
     y = rows["label"].to_numpy(float)
     if len(y) == 0 or y.max() == 0:
         return None
-    rows = rows.assign(key=rows["own"].map(tuple)).sort_values(["doc_id", "key"])
-    return fit([np.asarray(r, int) for r in rows["own"]], [np.asarray(r, int) for r in rows["other"]], rows["label"].to_numpy(float))
+    rows = rows.assign(key=[zlib.crc32(np.asarray(r, np.int32).tobytes()) for r in rows["own"]]).sort_values(["doc_id", "key"])
+    own, other, y = [np.asarray(r, np.int32) for r in rows["own"]], [np.asarray(r, np.int32) for r in rows["other"]], rows["label"].to_numpy(float)
+    del rows
+    return fit(own, other, y)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
