@@ -179,7 +179,6 @@ def bootstrap(scanned: DataFrame, scratch: Scratch, rounds: int = 3, sure: float
     loose = scanned.select(F.explode("instances").alias("s")).select("s.kind", "s.value", "s.left", "s.right", F.lit(False).alias("seed"))
     links = seeds.unionByName(loose).select("kind", "value", "seed", F.explode(patterns_of(F.col("left"), F.col("right"))).alias("pattern"))
     links = scratch.table(links.groupBy("pattern", "kind", "value").agg(F.max("seed").alias("seed")), "links")
-    # A pattern whose instances have all one node counts of seeds of 0 can never be believed: only kinds with seeds matter.
     shape = links.groupBy("pattern").agg(F.count("*").alias("n"))
     belief = links.groupBy("kind", "value").agg(F.max(F.col("seed").cast("double")).alias("belief"))
     for _ in range(rounds):
