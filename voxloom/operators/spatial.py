@@ -95,17 +95,30 @@ def voxels(spark, shape: tuple[int, int, int]) -> DataFrame:
     return spark.range(h * w * d).select(F.floor(k / (w * d)).cast("int").alias("h"), F.pmod(F.floor(k / d), F.lit(w)).cast("int").alias("w"), F.pmod(k, F.lit(d)).cast("int").alias("d"))
 
 
-def distance_field(points: DataFrame, shape: tuple[int, int, int], key: str = "cloud_id") -> DataFrame:
+def distance_field(points: DataFrame, shape: tuple[int, int, int], key: str = "cloud_id", block: int = 6) -> DataFrame:
     """(key, h, w, d, distance): from each voxel's centre to the nearest point of the cloud.
 
-    The grid has a fixed size and is repeated for each cloud and slab of h; points meet it by key and
-    the least distance is taken before the shuffle.
+    The grid is cut into blocks. A point can be nearest to a voxel of a block only if its least distance
+    from the block's centres is at most the least of all points' greatest distances; only such points
+    meet the block's voxels. All minima are taken before the shuffles.
     """
-    clouds = points.select(key).distinct()
-    grid = clouds.select(key, F.explode(F.sequence(F.lit(0), F.lit(shape[0] - 1))).alias("h"))
-    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(shape[1] - 1))).alias("w")).select("*", F.explode(F.sequence(F.lit(0), F.lit(shape[2] - 1))).alias("d"))
+    axes = list(zip("hwd", "yxz", shape, strict=True))
+    near, own = points.select(key, "x", "y", "z"), [f"b{n}" for n, _, _ in axes]
+    for name, _, size in axes:
+        near = near.withColumn(f"b{name}", F.explode(F.sequence(F.lit(0), F.lit((size - 1) // block))))
+    least = far = F.lit(0.0)
+    for name, axis, size in axes:
+        low = F.col(f"b{name}") * block + 0.5
+        high = F.least(low + (block - 1), F.lit(size - 0.5))
+        out = F.greatest(low - F.col(axis), F.col(axis) - high, F.lit(0.0))
+        span = F.greatest(F.abs(F.col(axis) - low), F.abs(F.col(axis) - high))
+        least, far = least + out * out, far + span * span
+    bound = near.groupBy(key, *own).agg(F.min(far).alias("bound"))
+    pairs = near.withColumn("least", least).join(bound, [key, *own]).where(F.col("least") <= F.col("bound") * (1 + 1e-9))
+    for name, _, size in axes:
+        first = F.col(f"b{name}") * block
+        pairs = pairs.withColumn(name, F.explode(F.sequence(first, F.least(first + (block - 1), F.lit(size - 1)))))
     centre = (F.col("w") + 0.5, F.col("h") + 0.5, F.col("d") + 0.5)
-    pairs = grid.join(points.select(key, "x", "y", "z"), key)
     return pairs.groupBy(key, "h", "w", "d").agg(F.sqrt(F.min(g.squared(centre, g.vec("x", "y", "z")))).alias("distance"))
 
 
