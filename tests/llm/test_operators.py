@@ -348,6 +348,19 @@ def test_copies_and_recall(spark):
     assert all(c // 10 == m // 10 for m, c in got.items())  # nothing else is joined
 
 
+def test_full_keys_lose_no_copy(spark, monkeypatch):
+    """80 images have the same descriptors, so that every key is full; only the two of a pair have their corners in the same places."""
+    r = np.random.default_rng(4)
+    words = [[int(w) for w in r.integers(-(1 << 62), 1 << 62, 2)] for _ in range(6)]
+    places = r.uniform(-4000, 4000, (40, 6, 2))
+    rows = [(m, f"image {m}", [(float(x), float(y), 0, 0, *w) for (x, y), w in zip(places[m // 2], words, strict=True)]) for m in range(80)]
+    kind = "media_id long, content string, corners array<struct<x:float,y:float,level:int,turn:int,low:long,high:long>>"
+    found = spark.createDataFrame(rows, kind)
+    monkeypatch.setattr(media, "features", lambda *_: found)
+    got = {x.media_id: x.class_id for x in media.copies(found).collect()}
+    assert got == {m: m // 2 * 2 for m in range(80)}
+
+
 def test_png_round_trip():
     r = np.random.default_rng(6)
     im = r.integers(0, 256, (9, 7), dtype=np.uint8)
