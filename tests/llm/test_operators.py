@@ -361,6 +361,22 @@ def test_full_keys_lose_no_copy(spark, monkeypatch):
     assert got == {m: m // 2 * 2 for m in range(80)}
 
 
+def test_copies_off_the_grid(spark):
+    rows = []
+    for k in range(40):
+        im, h = textured(k), 47.5
+        y, x = np.mgrid[0:96, 0:96] - h
+        a = np.deg2rad(7 + k)
+        at = [np.clip(v, 0, 94.99) for v in (np.sin(a) * x + np.cos(a) * y + h, np.cos(a) * x - np.sin(a) * y + h)]
+        (y0, x0), (fy, fx) = [v.astype(int) for v in at], [v % 1 for v in at]
+        turned = (im[y0, x0] * (1 - fx) + im[y0, x0 + 1] * fx) * (1 - fy) + (im[y0 + 1, x0] * (1 - fx) + im[y0 + 1, x0 + 1] * fx) * fy
+        small = media.resizer(96, 80) @ im @ media.resizer(96, 80).T
+        rows += [(10 * k + e, pgm(v)) for e, v in enumerate((im, turned, small))]
+    got = {r.media_id: r.class_id for r in media.copies(spark.createDataFrame(rows, "media_id long, image binary")).collect()}
+    assert np.mean([got[m] == m // 10 * 10 for m in got if m % 10]) >= 0.9
+    assert all(c // 10 == m // 10 for m, c in got.items())
+
+
 def test_png_round_trip():
     r = np.random.default_rng(6)
     im = r.integers(0, 256, (9, 7), dtype=np.uint8)
