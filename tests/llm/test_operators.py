@@ -498,6 +498,13 @@ def test_pages_query(spark):
     assert np.mean(right) > 0.95
 
 
+def test_long_attributes_and_open_heads():
+    long = 'data-x="' + "y" * 500 + '" class="comments"'
+    assert htmltext.parse(f"<div {long}>Text</div>")[0][2] == htmltext.path_tokens("div", 'class="comments"')
+    assert [b[0] for b in htmltext.parse("<html><head><meta charset=x><title>T</title>\n<p>First.<p>Second.")] == ["First.", "Second."]
+    assert [b[0] for b in htmltext.parse("<head><link rel=x>dropped</head>Kept.")] == ["Kept."]
+
+
 def test_labeller_gradient():
     r = random.Random(9)
     page, y = next(p for p in (htmltext.generated_page(r) for _ in range(50)) if 3 <= len(p[0]) <= 6)

@@ -16,7 +16,7 @@ import html
 import random
 import re
 import zlib
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,8 @@ ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 #: Tags inside a block of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Tags that may stand in a head; any other that starts ends it, as its end and the body's start may be left out.
+HEAD = frozenset("html head base basefont bgsound link meta".split())
 #: A tag that starts ends an open one of these.
 CLOSES = {t: frozenset(o.split()) for t, o in {"li": "li p", "p": "p", "dt": "dt dd p", "dd": "dt dd p", "tr": "tr td th p", "td": "td th p", "th": "td th p", "option": "option", **dict.fromkeys("div ul ol table section article aside footer header nav form h1 h2 h3 h4 h5 h6 pre blockquote figure main".split(), "p")}.items()}
 BARRIER = frozenset("table ul ol dl div article section aside body main nav footer header form blockquote".split())
@@ -38,11 +40,15 @@ PATHS, WORDS, MEASURES = 1024, 512, 6
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-@cache
 def path_tokens(tag: str, rest: str) -> frozenset[int]:
+    return hashed(tag, tuple(m[1] or m[2] or m[3] or "" for m in ATTRIBUTE.finditer(rest)) if rest else ())
+
+
+@lru_cache(1 << 16)
+def hashed(tag: str, values: tuple[str, ...]) -> frozenset[int]:
     names = [tag]
-    for m in ATTRIBUTE.finditer(rest):
-        names += [n for n in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()) if n]
+    for value in values:
+        names += [n for n in re.split(r"[^a-z0-9]+", value.lower()) if n]
     return frozenset(zlib.crc32(n.encode("utf-8", "surrogatepass")) % PATHS for n in names)
 
 
@@ -78,8 +84,9 @@ def parse(page: str | None) -> list[tuple[str, frozenset[int], frozenset[int], f
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
+            head = head and (m["raw"] or "").lower() not in ("svg", "textarea", "iframe", "select")
             continue
-        if tag == "head" or (head and tag == "body"):
+        if tag == "head" or (head and not m["close"] and tag not in HEAD):
             head = tag == "head" and not m["close"]
         if tag == "br":
             parts.append(" ")
@@ -99,7 +106,7 @@ def parse(page: str | None) -> list[tuple[str, frozenset[int], frozenset[int], f
                     break
                 if stack[k][0] in BARRIER:
                     break
-            own = path_tokens(tag, m["rest"] if len(m["rest"]) < 400 else m["rest"][:0])
+            own = path_tokens(tag, m["rest"])
             above = stack[-1][1] if stack else none
             stack.append((tag, above if own <= above else above | own, own))
             links += tag == "a"
