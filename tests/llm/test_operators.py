@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -505,6 +506,41 @@ def test_long_attributes_and_open_heads():
     assert [b[0] for b in htmltext.parse("<head><link rel=x>dropped</head>Kept.")] == ["Kept."]
 
 
+MARKUP = {
+    '<p><img alt="a > b">text</p>': ["text"], '<p><img alt="a < b" title=\'>"\'>text</p>': ["text"], "<svg-icon></svg-icon><article><p>Hello there.</p></article>": ["Hello there."],
+    '<p>a</p><svg class="i"/><p>rest of page</p>': ["a", "rest of page"], '<p>a<svg><g><svg x="1"></svg>no</g></svg>b</p>': ["ab"], "<p>a<svg><p>b": ["a", "b"], "<p>1 <2 and a<b or b>a <p>x": ["1 <2 and aa", "x"],
+    "<p>x<y <b>z</b></p>": ["x<y z"], "<p>a<!-->b<!-- > -- -->c<!--x--!>d</p>": ["abcd"], "<script>'</p><p>no'</script ><p>yes": ["yes"], "<p>a &amp;lt; &copy &#x41;</p>": ["a &lt; © A"], "<p>&am<!-- -->p;</p>": ["&amp;"],
+    "<p>a</p><p class='x": ["a"], "<p>a<br/>b<hr>c</p>": ["a b", "c"], "<noscript><p>no</p></noscript>a<textarea><p>no</textarea >b": ["ab"], "<a href=a?b=\"c>d</a>": ["d"], "<?php echo 1 ?></>x<!doctype html>": ["x"], "<style>a{} ": [],
+}
+
+
+@pytest.mark.parametrize("page", MARKUP)
+def test_markup(page):
+    assert [b[0] for b in htmltext.parse(page)] == MARKUP[page]
+
+
+def test_attributes_are_read_as_a_browser_reads_them():
+    tokens = lambda rest: htmltext.path_tokens("div", rest)
+    want = htmltext.hashed("div", ("one two", "three"))
+    assert tokens(" class='one two' id=three") == tokens(' data-class="no" CLASS="one two"id = "three" title="id=no"') == tokens("\nclass=\"one two\"/id='three'") == want
+
+
+@pytest.mark.parametrize("piece", ["<a x=\"<a\" ", "<p", "<", "\"", "='", "<a b='<a c=\"", "<svg>", "<!--", "<svg/", "</", "<a =", "<template><div class='x'>", "&lt"])
+def test_any_page_takes_linear_time(piece):
+    start = time.perf_counter()
+    htmltext.parse(piece * 10_000)
+    htmltext.parse("<img " + " ".join(f'data-a{k}="v"' for k in range(40)) + " " + piece * 10_000 + "><p>x</p>")
+    assert time.perf_counter() - start < 2
+
+
+def test_long_pages_in_parts():
+    r = random.Random(11)
+    model = htmltext.Labeller(size=5)
+    pages = [b for _ in range(6) for b in htmltext.generated_page(r)[0]]
+    whole = model.run(htmltext.as_arrays([pages]))[0][0]
+    assert len(pages) > 40 and np.allclose(model.long_page(pages, 7), whole) and np.allclose(model.label([pages[:3], pages], cells=16)[1], whole)
+
+
 def test_labeller_gradient():
     r = random.Random(9)
     page, y = next(p for p in (htmltext.generated_page(r) for _ in range(50)) if 3 <= len(p[0]) <= 6)

@@ -4,7 +4,9 @@ A page is cut into blocks, the runs of text between block-level tags. A bidirect
 numpy reads the whole sequence of a page's blocks - hashed tokens of the tag path, hashed words,
 and a few measures - and decides for each block whether it belongs to the article. It is trained
 on the driver on pages that this module generates from a grammar of layouts, of which every
-block's part is known; the parameters travel as arrays. Each page is read whole, in one pass.
+block's part is known; the parameters travel as arrays. Each page is read whole: its tags in one
+pass that takes linear time on any input, its blocks in parts of bounded size, between which the
+network's state is carried on.
 
 Defined results: a null or empty html gives an empty text, as does a page without an article;
 a null page_id or url stays; repeated rows repeat; other columns are ignored.
@@ -23,11 +25,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|template|noscript|svg|textarea|title|iframe|select)\b.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*'|[\"'])*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Where markup may begin.
+OPENING = re.compile(r"<(?=[a-zA-Z/!?])")
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/<>]*+)")
+#: What follows a tag's name. A quoted value, which comes after an equals sign only, may hold any character. Nothing here can be read in two ways.
+REST = re.compile(r"(?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s<>\"'][^\s<>]*+)?+)*+")
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'<>][^\s<>]*+)))?+")
+COMMENT_END = re.compile(r"--!?>")
+#: Elements whose content is no text of the page: these end at their own end tag only, or with the page.
+RAW = frozenset("script style title textarea iframe noembed noframes".split())
+#: These too, but where their end tag is missing, only the tag itself is passed over.
+SKIPPED = frozenset("svg template noscript select".split())
 #: Tags inside a block of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,7 +49,70 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def path_tokens(tag: str, rest: str) -> frozenset[int]:
-    return hashed(tag, tuple(m[1] or m[2] or m[3] or "" for m in ATTRIBUTE.finditer(rest)) if rest else ())
+    values = tuple(m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest) if m[1].lower() in ("class", "id", "role")) if rest else ()
+    return hashed(tag, values) if sum(map(len, values)) < 200 else hashed.__wrapped__(tag, values)
+
+
+@lru_cache(1 << 14)
+def both(above: frozenset[int], own: frozenset[int]) -> frozenset[int]:
+    return above | own
+
+
+class Tags:
+    """The tags of a page in one pass; what was scanned once isn't scanned again, whatever the page holds."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.ends: dict[str, re.Pattern] = {}
+        self.endless: set[str] = set()  # names without an end tag in the rest of the page
+
+    def __iter__(self):
+        """(start, end, closing, name, rest) of each tag, name "" for what is left out with all that it holds."""
+        page, at = self.page, 0
+        while m := OPENING.search(page, at):
+            start = m.start()
+            if page.startswith("<!--", start):
+                short = next((k for k in (">", "->") if page.startswith(k, start + 4)), None)
+                end = COMMENT_END.search(page, start + 4)
+                at = start + 4 + len(short) if short else end.end() if end else len(page)
+                yield start, at, False, "", ""
+                continue
+            name = NAME.match(page, start + 1)
+            if not name:  # a declaration, or an end tag without a name
+                at = page.find(">", start) + 1 or len(page)
+                yield start, at, False, "", ""
+                continue
+            rest = REST.match(page, name.end())
+            if rest.end() == len(page):  # the page ends within a tag
+                yield start, len(page), False, "", ""
+                return
+            if page[rest.end()] == "<":  # no tag; up to here it is text
+                at = rest.end()
+                continue
+            at, tag = rest.end() + 1, name[2].lower()
+            if not name[1] and (tag in RAW or tag in SKIPPED) and not (tag in SKIPPED and rest[0].endswith("/")):
+                at = self.after(tag, at)
+                yield start, at, False, tag, None
+            else:
+                yield start, at, bool(name[1]), tag, rest[0]
+
+    def after(self, tag: str, at: int) -> int:
+        """Where an element ends whose content starts at `at`."""
+        found, depth, to = self.ends.get(tag), 1, at
+        if found is None:
+            found = self.ends[tag] = re.compile(rf"<(/?){tag}(?=[\s/>])([^>]*+)>", re.I)
+        while tag not in self.endless:
+            m = found.search(self.page, to)
+            if not m:
+                self.endless.add(tag)
+            elif m[1]:
+                depth, to = depth - 1, m.end()
+                if depth == 0:
+                    return to
+            else:
+                to = m.end()
+                depth += tag in SKIPPED and not m[2].endswith("/")
+        return len(self.page) if tag in RAW else at
 
 
 @lru_cache(1 << 16)
@@ -64,7 +135,7 @@ def parse(page: str | None) -> list[tuple[str, frozenset[int], frozenset[int], f
     def end() -> None:
         nonlocal linked
         if parts:
-            whole = " ".join(html.unescape("".join(parts)).split())
+            whole = " ".join("".join(parts).split())
             if whole:
                 element = next((e for e in reversed(stack) if e[0] not in INLINE), ("", none, none))
                 blocks.append((whole, stack[-1][1] if stack else none, element[2], min(1.0, linked / len(whole))))
@@ -77,22 +148,23 @@ def parse(page: str | None) -> list[tuple[str, frozenset[int], frozenset[int], f
         del stack[k:]
 
     at, page = 0, page or ""
-    for m in TOKEN.finditer(page):
-        if m.start() > at and not head:
-            parts.append(page[at : m.start()])
-            linked += links and m.start() - at
-        at = m.end()
-        tag = (m["tag"] or "").lower()
+    for start, stop, closing, tag, rest in Tags(page):
+        if start > at and not head:
+            parts.append(html.unescape(page[at:start]))
+            linked += links and start - at
+        at = stop
         if not tag:
-            head = head and (m["raw"] or "").lower() not in ("svg", "textarea", "iframe", "select")
             continue
-        if tag == "head" or (head and not m["close"] and tag not in HEAD):
-            head = tag == "head" and not m["close"]
+        if rest is None:  # left out as a whole
+            head = head and tag not in ("svg", "textarea", "iframe", "select")  # these can't stand in a head
+            continue
+        if tag == "head" or (head and not closing and tag not in HEAD):
+            head = tag == "head" and not closing
         if tag == "br":
             parts.append(" ")
         if tag not in INLINE:
             end()
-        if m["close"]:
+        if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     shut(k)
@@ -106,12 +178,12 @@ def parse(page: str | None) -> list[tuple[str, frozenset[int], frozenset[int], f
                     break
                 if stack[k][0] in BARRIER:
                     break
-            own = path_tokens(tag, m["rest"])
+            own = path_tokens(tag, rest)
             above = stack[-1][1] if stack else none
-            stack.append((tag, above if own <= above else above | own, own))
+            stack.append((tag, above if own <= above else both(above, own), own))
             links += tag == "a"
     if at < len(page) and not head:
-        parts.append(page[at:])
+        parts.append(html.unescape(page[at:]))
         linked += links and len(page) - at
     end()
     return blocks
@@ -122,8 +194,11 @@ def measures(text: str, link: float, k: int, n: int) -> list[float]:
     return [np.log1p(len(text)) / 6, link, min(stops, 20) / 20, stops / (1 + text.count(" ")), k / max(1, n - 1), float(link > 0.6)]
 
 
-def as_arrays(pages: list[list]) -> tuple:
-    """Padded inputs of pages of blocks: flat token lists with their cells, measures, and the mask."""
+def as_arrays(pages: list[list], before: int = 0, total: int | None = None) -> tuple:
+    """Padded inputs of pages of blocks: flat token lists with their cells, measures, and the mask.
+
+    A part of one page comes with the number of blocks before it and their total.
+    """
     n, width = len(pages), max(map(len, pages))
     mask = np.zeros((n, width))
     some = np.zeros((n, width, MEASURES))
@@ -132,7 +207,7 @@ def as_arrays(pages: list[list]) -> tuple:
         mask[i, : len(blocks)] = 1
         for k, (text, path, last, link) in enumerate(blocks):
             cell = i * width + k
-            some[i, k] = measures(text, link, k, len(blocks))
+            some[i, k] = measures(text, link, before + k, total or len(blocks))
             tokens = [*path, *(PATHS + t for t in last)]
             cells[0].extend([cell] * len(tokens))
             cells[1].extend(tokens)
@@ -155,7 +230,8 @@ class Labeller:
         for way in "fb":
             self.p |= {f"{way}x": r.normal(0, d**-0.5, (d, 4 * size)), f"{way}h": r.normal(0, size**-0.5, (size, 4 * size)), f"{way}b": np.concatenate([np.zeros(size), np.ones(size), np.zeros(2 * size)])}
 
-    def run(self, inputs: tuple, learn: bool = False) -> tuple:
+    def read(self, inputs: tuple) -> np.ndarray:
+        """What the network sees of each block."""
         (pc, pt, pw, wc, wt, ww), some, mask = inputs
         n, width = mask.shape
         path, word = self.p["path"], self.p["word"]
@@ -164,29 +240,52 @@ class Labeller:
             np.add.at(x[:, : path.shape[1]], pc, path[pt] * pw[:, None])
         if len(wc):
             np.add.at(x[:, path.shape[1] :], wc, word[wt] * ww[:, None])
-        x = np.concatenate([np.tanh(x).reshape(n, width, -1), some], 2)
+        return np.concatenate([np.tanh(x).reshape(n, width, -1), some], 2)
+
+    def walk(self, way: str, x: np.ndarray, mask: np.ndarray, state: tuple | None = None, trail: list | None = None) -> tuple[np.ndarray, tuple]:
+        """The hidden states of one direction, and the last state."""
+        n, width = mask.shape
+        s = self.size
+        gx = x @ self.p[f"{way}x"] + self.p[f"{way}b"]
+        h, c = state or (np.zeros((n, s)), np.zeros((n, s)))
+        hs = np.zeros((n, width, s))
+        for t in range(width) if way == "f" else range(width - 1, -1, -1):
+            a = gx[:, t] + h @ self.p[f"{way}h"]
+            g = 1 / (1 + np.exp(-np.clip(a[:, : 3 * s], -30, 30)))
+            i, f, o, u = g[:, :s], g[:, s : 2 * s], g[:, 2 * s :], np.tanh(a[:, 3 * s :])
+            m = mask[:, t : t + 1]
+            c2 = m * (f * c + i * u) + (1 - m) * c
+            tc = np.tanh(c2)
+            h2 = m * (o * tc) + (1 - m) * h
+            if trail is not None:
+                trail.append((t, h, c, i, f, o, u, tc, m))
+            h, c = h2, c2
+            hs[:, t] = h
+        return hs, (h, c)
+
+    def long_page(self, blocks: list, step: int) -> np.ndarray:
+        """run() over one page in parts: the state goes from part to part, and of each block one number stays."""
+        n, s = len(blocks), self.size
+        raw = np.full(n, self.p["ob"][0])
+        starts = range(0, n, step)
+        for k, way in enumerate("fb"):
+            state = None
+            for at in starts if way == "f" else reversed(starts):
+                inputs = as_arrays([blocks[at : at + step]], at, n)
+                x = self.read(inputs)
+                hs, state = self.walk(way, x, inputs[2], state)
+                raw[at : at + step] += hs[0] @ self.p["o"][k * s : (k + 1) * s]
+                if way == "f":
+                    raw[at : at + step] += x[0] @ self.p["o"][2 * s :]
+        return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+
+    def run(self, inputs: tuple, learn: bool = False) -> tuple:
+        mask = inputs[2]
+        x = self.read(inputs)
         out, kept = [], {}
         for way in "fb":
-            steps = range(width) if way == "f" else range(width - 1, -1, -1)
-            gx = x @ self.p[f"{way}x"] + self.p[f"{way}b"]
-            h, c = np.zeros((n, self.size)), np.zeros((n, self.size))
-            hs = np.zeros((n, width, self.size))
-            trail = []
-            s = self.size
-            for t in steps:
-                a = gx[:, t] + h @ self.p[f"{way}h"]
-                g = 1 / (1 + np.exp(-np.clip(a[:, : 3 * s], -30, 30)))
-                i, f, o, u = g[:, :s], g[:, s : 2 * s], g[:, 2 * s :], np.tanh(a[:, 3 * s :])
-                m = mask[:, t : t + 1]
-                c2 = m * (f * c + i * u) + (1 - m) * c
-                tc = np.tanh(c2)
-                h2 = m * (o * tc) + (1 - m) * h
-                if learn:
-                    trail.append((t, h, c, i, f, o, u, tc, m))
-                h, c = h2, c2
-                hs[:, t] = h
-            out.append(hs)
-            kept[way] = trail
+            kept[way] = []
+            out.append(self.walk(way, x, mask, trail=kept[way] if learn else None)[0])
         z = np.concatenate([*out, x], 2)
         raw = z @ self.p["o"] + self.p["ob"]
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30))), x, z, kept
@@ -252,6 +351,9 @@ class Labeller:
         """For each page, the chance of each block; pages of similar length share a run."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
+        while order and len(pages[order[-1]]) > cells:
+            out[order[-1]] = self.long_page(pages[order[-1]], cells)
+            order.pop()
         at = 0
         while at < len(order):
             end = at + 1
