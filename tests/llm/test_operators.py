@@ -69,15 +69,85 @@ def test_many_matches_in_one_text(spark):
     assert got == base_spans(text)
 
 
-def test_contexts_discover_identifiers(spark):
-    r = random.Random(2)
+def plain_bootstrap(scanned: list, sure: float = 0.6, support: int = 3, most_rounds: int = 12) -> set:
+    """The graph of patterns and instances with dictionaries: the patterns of high confidence."""
+    links: dict = {}
+    for row in scanned:
+        for items, seed in ((row.seeds, True), (row.instances, False)):
+            for m in items:
+                for pattern in (f"L {m.left}", f"R {m.right}", f"B {m.left} {m.right}"):
+                    key = (pattern, m.kind, m.value)
+                    links[key] = links.get(key, False) or seed
+    size: dict = {}
+    for pattern, _, _ in links:
+        size[pattern] = size.get(pattern, 0) + 1
+    seeds = {(kind, value) for (_, kind, value), seed in links.items() if seed}
+    belief, seen = dict.fromkeys(seeds, 1.0), None
+    for _ in range(most_rounds):
+        sums: dict = {}
+        for pattern, kind, value in links:
+            if kind != "other" and (kind, value) in belief:
+                total, backed = sums.get((pattern, kind), (0.0, 0))
+                sums[pattern, kind] = (total + belief[kind, value], backed + (belief[kind, value] >= sure))
+        trust = {key: total / (size[key[0]] + 1) for key, (total, backed) in sums.items() if backed >= support}
+        now = {key for key, t in trust.items() if t >= sure}
+        if now == seen:
+            break
+        seen, doubt = now, {}
+        for pattern, kind, value in links:
+            if (pattern, kind) in trust and (kind, value) not in seeds:
+                doubt[kind, value] = doubt.get((kind, value), 1.0) * max(1 - trust[pattern, kind], 1e-9)
+        belief = dict.fromkeys(seeds, 1.0) | {key: 1 - d for key, d in doubt.items()}
+    return seen
+
+
+def contexts(seed: int) -> list[tuple[int, str]]:
+    """Phone numbers by rule after `phone`; others that no rule takes after `phone`, after both, and after `mobile` only."""
+    r = random.Random(seed)
     word = lambda: "".join(r.choices("abcdefgh", k=5))
+    loose = lambda: f"(0{r.randint(10, 99)}) 555-{r.randint(1000, 9999)}"
     rows = [(k, f"{word()} {word()} call phone: +1 (0{k % 90 + 10}) 555-{1000 + k} now {word()}") for k in range(40)]
-    rows += [(100, "please call phone: (017) 555-7713 now thanks"), (101, "the list has 1234567 things in 2024-01-31 and 12 more"), (102, "a number 4111111111111112 now")]
+    both = [loose() for _ in range(6)]
+    rows += [(50 + k, f"{word()} phone: {v} {word()}") for k, v in enumerate(both)] + [(60 + k, f"{word()} mobile: {v} {word()}") for k, v in enumerate(both)]
+    return rows + [(70, "please call mobile: (017) 555-7713 thanks"), (71, "the list has 1234567 things in 2024-01-31 and 12 more"), (72, "a number 4111111111111112 now"), (73, f"{word()} at (012) 444-1234 {word()}")]
+
+
+def test_contexts_discover_identifiers_in_two_hops(spark):
+    rows = contexts(2)
     got = {d.doc_id: d.spans for d in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    text = rows[40][1]
-    assert [(s.kind, text[s.start : s.end]) for s in got[100]] == [("phone", "017) 555-7713")] or [(s.kind, text[s.start : s.end].strip("()")) for s in got[100]][0][0] == "phone"
-    assert got[101] == [] and got[102] == []
+    text = dict(rows)
+    found = lambda k: [(s.kind, text[k][s.start : s.end]) for s in got[k]]
+    for k in range(50, 56):
+        assert found(k) == [("phone", re.search(r"\(.*-\d+", text[k])[0])]
+    for k in [*range(60, 66), 70]:  # `mobile` has no rule match of its own
+        assert found(k) == [("phone", re.search(r"\(.*-\d+", text[k])[0])]
+    assert got[71] == [] and got[72] == [] and got[73] == []
+
+
+@pytest.mark.parametrize("source", ("made", "table"))
+def test_bootstrap_against_plain_graph(spark, texts, source):
+    rows = contexts(3) + contexts(4)[40:] if source == "made" else list(texts.items())
+    scanned = pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    want = plain_bootstrap(scanned.collect())
+    scratch = common.Scratch(spark, "test")
+    assert {(r.pattern, r.kind) for r in pii.bootstrap(scanned, scratch).collect()} == want and (want or source == "table")
+    spans: dict = {}
+    for row in scanned.collect():
+        for m in row.instances:
+            if any((p, m.kind) in want for p in (f"L {m.left}", f"R {m.right}", f"B {m.left} {m.right}")):
+                spans.setdefault((row.doc_id, row.text_hash), set()).add((m.kind, m.start, m.end))
+    got = {(r.doc_id, r.text_hash): {tuple(s) for s in r.added} for r in pii.discovered(scanned, scratch).collect()}
+    assert got == spans
+
+
+def test_redaction_of_many_spans(spark):
+    parts = [f"é{k} a{k}@b.co, x " if k % 3 else "1.2.3.4 " for k in range(100_000)]
+    docs = spark.createDataFrame([(1, "".join(parts)), (2, "+1 234 567 8901.2.3.4 x")], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert time.perf_counter() - start < 60
+    assert got[1] == "".join(f"é{k} [EMAIL], x " if k % 3 else "[IP] " for k in range(100_000))
+    assert got[2].startswith("[PHONE]") and got[2].endswith(" x") and "[IP]" not in got[2]  # overlapping spans become one
 
 
 def test_redaction(spark):

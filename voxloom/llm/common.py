@@ -57,10 +57,11 @@ class Scratch:
         hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def small_side(scratch: Scratch, df: DataFrame, name: str, most: int = 100_000) -> tuple[DataFrame, bool]:
-    """df as a table, and whether its counted rows allow a broadcast."""
+def small_side(scratch: Scratch, df: DataFrame, name: str, most: int = 100_000, weight: F.Column | None = None) -> tuple[DataFrame, bool]:
+    """df as a table, and whether its size allows a broadcast: its rows, or for rows of no fixed size the sum of their weights."""
     table = scratch.table(df, name)
-    return table, table.count() <= most
+    size = table.count() if weight is None else table.agg(F.sum(weight)).first()[0] or 0
+    return table, size <= most
 
 
 def word_count(text) -> F.Column:

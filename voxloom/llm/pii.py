@@ -5,10 +5,12 @@ numbers; these are the seeds. The words around a seed make lexical patterns (the
 the word after, both). Identifier-like strings that no rule takes are instances in the same
 graph of patterns and instances. In each round a pattern's confidence for a kind is the share of
 its distinct instances that are believed to be of that kind, and an instance's belief is the
-noisy-or of its patterns' confidences; seeds stay at 1. What is of a kind's shape, is believed
-in, and stands in a pattern of high confidence with several distinct seeds is a new span of that
-kind. Spans of the rules always stay; a number that a rule takes and then drops (a wrong check
-digit, a part above 255) is no instance.
+noisy-or of the confidences of its patterns with support; seeds stay at 1. Support are several
+distinct instances that are seeds or believed in, so that what was discovered in one context
+opens the next; the rounds end when no pattern comes or goes. What is of a kind's shape
+(`SHAPES`; nothing else is a new span) and stands in a pattern of high confidence with support
+is a new span of that kind. Spans of the rules always stay; a number that a rule takes and then
+drops (a wrong check digit, a part above 255) is no instance.
 
 The text is read once; the graph holds short strings only, is aggregated before each shuffle,
 and is rewritten to the shared folder in every round. Matches come from one scan with possessive
@@ -47,22 +49,26 @@ EDGES = "\"'(),.;:!?[]<>{}#$%&*|="
 MARK = "\x01"
 
 
-def running(steps: Column) -> Column:
-    """For each element the sum of those before it; in blocks, as appending to one long array copies it each time."""
+def running(steps: Column, add=lambda a, x: a + x) -> Column:
+    """For each element the sum (or what else `add` makes) of those before it; in blocks, as appending to one long array copies it each time."""
     n = F.size(steps)
-    width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+    width = block_width(n)
     parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda k: F.slice(steps, k * width + 1, width))
     none = F.array().cast("array<long>")
 
     def before(values: Column, start: Column) -> Column:
         begin = F.struct(start.alias("at"), none.alias("out"))
-        return F.aggregate(values, begin, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+        return F.aggregate(values, begin, lambda a, x: F.struct(add(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
 
     zero = F.lit(0).cast("long")
-    starts = before(F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, x: a + x)), zero)
+    starts = before(F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, x: add(a, x))), zero)
     return F.when(n > 0, F.flatten(F.zip_with(parts, starts, lambda p, s: before(p, s)))).otherwise(none)
 
 
+def block_width(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+
+
 def last_word(gap: Column) -> Column:
     return F.substring_index(F.rtrim(F.translate(gap, "\t\n\x0b\x0c\r" + MARK, " " * 6)), " ", -1)
 
@@ -156,8 +162,10 @@ def scan(docs: DataFrame) -> DataFrame:
     loose = with_matches(kept, "masked", {"loose": INSTANCE}).drop("masked")
 
     def instance(m: Column) -> Column:
-        value = F.trim(m["value"], F.lit(EDGES))
-        lead = F.length(m["value"]) - F.length(F.ltrim(m["value"], F.lit(EDGES)))
+        bracketed = m["value"].rlike(r"^\([0-9]+\)[\x20./-]?\(?[0-9]")  # this bracket is part of the number
+        tail = F.rtrim(m["value"], F.lit(EDGES))
+        value = F.when(bracketed, tail).otherwise(F.ltrim(tail, F.lit(EDGES)))
+        lead = F.length(tail) - F.length(value)
         low = F.lower(value)
         kind = F.lit("other")
         for k in ("phone", "card", "ip", "email"):
@@ -173,25 +181,33 @@ def patterns_of(left: Column, right: Column) -> Column:
     return F.array(F.concat(F.lit("L "), left), F.concat(F.lit("R "), right), F.concat(F.lit("B "), left, F.lit(" "), right))
 
 
-def bootstrap(scanned: DataFrame, scratch: Scratch, rounds: int = 3, sure: float = 0.6, support: int = 3) -> DataFrame:
-    """Patterns of high confidence: (pattern, kind). scanned: what scan() returns."""
+def bootstrap(scanned: DataFrame, scratch: Scratch, most_rounds: int = 12, sure: float = 0.6, support: int = 3) -> DataFrame:
+    """Patterns of high confidence: (pattern, kind). scanned: what scan() returns.
+
+    The rounds end when they are the same twice, or after `most_rounds`.
+    """
     seeds = scanned.select(F.explode("seeds").alias("s")).select("s.kind", "s.value", "s.left", "s.right", F.lit(True).alias("seed"))
     loose = scanned.select(F.explode("instances").alias("s")).select("s.kind", "s.value", "s.left", "s.right", F.lit(False).alias("seed"))
     links = seeds.unionByName(loose).select("kind", "value", "seed", F.explode(patterns_of(F.col("left"), F.col("right"))).alias("pattern"))
     links = scratch.table(links.groupBy("pattern", "kind", "value").agg(F.max("seed").alias("seed")), "links")
-    shape = links.groupBy("pattern").agg(F.count("*").alias("n"))
-    belief = links.groupBy("kind", "value").agg(F.max(F.col("seed").cast("double")).alias("belief"))
-    for _ in range(rounds):
-        belief = scratch.table(belief, "belief")
-        scored = links.join(belief.where("belief > 0"), ["kind", "value"])
-        sums = scored.groupBy("pattern", "kind").agg(F.sum("belief").alias("believed"), F.count_if("seed").alias("seeds"))
-        trust = sums.join(shape, "pattern").select("pattern", "kind", (F.col("believed") / (F.col("n") + 1)).alias("trust"), "seeds")
+    # Each pattern's size goes with its links once, and not again in each round.
+    shape = scratch.table(links.groupBy("pattern").agg(F.count("*").alias("n")), "shape")
+    known = links.where("seed").select("kind", "value", F.lit(1.0).alias("belief")).distinct()
+    belief, seen = known, None
+    for _ in range(most_rounds):
+        scored = links.where("kind <> 'other'").join(belief, ["kind", "value"])
+        sums = scored.groupBy("pattern", "kind").agg(F.sum(F.round("belief", 9).cast("decimal(18,9)")).cast("double").alias("believed"), F.count_if(F.col("belief") >= sure).alias("backed"))
+        trust = sums.where(F.col("backed") >= support).join(shape, "pattern").select("pattern", "kind", (F.col("believed") / (F.col("n") + 1)).alias("trust"))
         trust = scratch.table(trust, "trust")
-        doubt = links.join(trust.where(F.col("seeds") >= support), ["pattern", "kind"]).groupBy("kind", "value")
-        doubt = doubt.agg(F.max("seed").alias("seed"), F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))).alias("log_doubt"))
-        belief = doubt.select("kind", "value", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("log_doubt")).alias("belief"))
-        belief = belief.unionByName(links.where("seed").select("kind", "value", F.lit(1.0).alias("belief"))).groupBy("kind", "value").agg(F.max("belief").alias("belief"))
-    return trust.where((F.col("seeds") >= support) & (F.col("trust") >= sure)).select("pattern", "kind")
+        now = trust.where(F.col("trust") >= sure).agg(F.count("*"), F.sum(F.xxhash64("pattern", "kind").cast("decimal(38,0)"))).first()
+        if now == seen:
+            break
+        seen = now
+        # Seeds are believed in anyway; only the others are scored.
+        doubt = links.where("kind <> 'other'").join(known.select("kind", "value"), ["kind", "value"], "left_anti").join(trust, ["pattern", "kind"]).groupBy("kind", "value")
+        doubt = doubt.agg((1 - F.exp(F.sum(F.round(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9))), 9).cast("decimal(18,9)")).cast("double"))).alias("belief"))
+        belief = scratch.table(doubt.unionByName(known), "belief")
+    return trust.where(F.col("trust") >= sure).select("pattern", "kind")
 
 
 def discovered(scanned: DataFrame, scratch: Scratch, **options) -> DataFrame:
@@ -221,7 +237,7 @@ def find(docs: DataFrame, **options) -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, end) for each row; spans holds base and what was discovered."""
     scratch = Scratch(docs.sparkSession, "pii")
     scanned = scratch.table(scan(docs), "scanned")
-    added, small = small_side(scratch, discovered(scanned, scratch, **options), "few")
+    added, small = small_side(scratch, discovered(scanned, scratch, **options), "few", weight=F.size("added") + 1)
     added = added.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
     joined = scanned.select("doc_id", "text_hash", "base").join(F.broadcast(added) if small else added, same, "left")
@@ -236,21 +252,28 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     added = discovered(scanned, scratch, **options)
     base = scanned.where(F.size("base") > 0).select("doc_id", "text_hash", F.col("base").alias("added"))
     each = base.unionByName(added).select("doc_id", "text_hash", F.explode("added").alias("s"))
-    spans, small = small_side(scratch, each.groupBy("doc_id", "text_hash").agg(F.collect_set("s").alias("spans")), "spans", 20_000)
+    spans, small = small_side(scratch, each.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("s.start", "s.end", "s.kind"))).alias("spans")), "spans", weight=F.size("spans") + 1)
     spans = spans.withColumnsRenamed({"doc_id": "voxloom_d", "text_hash": "voxloom_h", "spans": "voxloom_spans"})
     same = F.col("doc_id").eqNullSafe(F.col("voxloom_d")) & (F.xxhash64("text") == F.col("voxloom_h"))
     joined = docs.join(F.broadcast(spans) if small else spans, same, "left")
-    # Overlapping spans become one, which has the kind of its first part.
-    by_start = F.array_sort(F.transform("voxloom_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def write(a: Column, s: Column) -> Column:
-        text = F.col("text")
-        more = F.concat(a["out"], text.substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], more).otherwise(a["out"]).alias("out"))
-
-    done = F.aggregate(F.coalesce(by_start, none), begin, write, lambda a: F.concat(a["out"], F.col("text").substr((a["at"] + 1).cast("int"), F.length("text"))))
+    # Overlapping spans become one, which has the kind of its first part. `reach` is where the spans before each one end.
+    ends = F.transform(F.coalesce("voxloom_spans", F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")), lambda s: s["end"])
+    joined = joined.withColumn("voxloom_reach", F.concat(running(ends, lambda a, x: F.greatest(a, x)), F.array(F.coalesce(F.array_max(ends), F.lit(0).cast("long")))))
+    reach = lambda k: F.get("voxloom_reach", k)
+    part = lambda text, a, b: text.substr((a + 1).cast("int"), (b - a).cast("int"))
+    # A position in a string is found by reading up to it, so the text is cut into blocks of spans first.
+    n = F.size("voxloom_spans")
+    width = block_width(n)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda g: F.struct(
+        (g * width).alias("first"), F.slice("voxloom_spans", g * width + 1, width).alias("spans"), part(F.col("text"), reach(g * width), reach(F.least((g + 1) * width, n))).alias("text")))
+
+    def write(g: Column, s: Column, k: Column) -> Column:
+        start, at = s["start"], reach(g["first"] + k)
+        offset = reach(g["first"])
+        return F.when(start >= at, F.concat(part(g["text"], at - offset, start - offset), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
+
+    rest = part(F.col("text"), reach(n), F.length("text").cast("long"))
+    done = F.concat(F.array_join(F.transform(blocks, lambda g: F.array_join(F.transform(g["spans"], lambda s, k: write(g, s, k)), "")), ""), rest)
     # Under a name of its own: in the same select, an alias "text" would be taken for the column within the lambdas.
     joined = joined.withColumn("voxloom_text", F.when(F.col("voxloom_spans").isNull(), F.col("text")).otherwise(done))
     out = {"text": F.col("voxloom_text")}
