@@ -226,6 +226,50 @@ def test_languages_held_out(spark, docs):
     assert (held["lang"] == held["lang_pred"]).mean() > 0.97 and got["score"].between(0, 1).all()
 
 
+def test_expected_counts_of_any_length(toy, monkeypatch):
+    trie, weights = toy
+    words = ["abab", "▁abba", "axb", "abaabbab"]
+    number = np.array([1.0, 2.0, 3.0, 0.5])
+    want = np.zeros(len(trie.pieces))
+    for word, n in zip(words, number, strict=True):
+        ways = [(s, math.prod(weights[trie.number[p], 0] if p in trie.number else 1e-3 for p in s)) for s in segmentations(word, set(trie.number))]
+        for s, p in ways:
+            for piece in s:
+                if piece in trie.number:
+                    want[trie.number[piece]] += n * p / sum(q for _, q in ways)
+    assert langid.expected_counts(words, number, trie, weights[:, 0], 1e-3) == pytest.approx(want)
+    monkeypatch.setattr(langid, "LONG", 0)
+    assert langid.expected_counts(words, number, trie, weights[:, 0], 1e-3) == pytest.approx(want)
+
+
+def test_many_languages_and_hot_texts(spark):
+    r = random.Random(13)
+    rows = []
+    for lang in range(600):
+        own = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(4)]
+        rows += [(len(rows) + k, f"l{lang:03d}", " ".join(r.choices(own, k=20))) for k in range(8)]
+    rows += [(1_000_000, "l000", rows[0][2])] * 3000 + [(1_000_001, "l001", "q" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.train(docs, per_language=5, most_sampled=3000)
+    assert len(model.names) == 600
+    got = langid.identify(docs.where("doc_id < 1000"), model, most_cached=600 * 40).join(docs, "doc_id").toPandas()
+    held = got[got["held_out"]]
+    assert len(held) > 150 and (held["lang"] == held["lang_pred"]).mean() > 0.95
+
+
+def test_languages_against_plain_program(spark, docs):
+    """The whole query: the fit is repeated from its own sample, each word is scored alone."""
+    some = docs.where("doc_id % 5 = 0")
+    model = langid.train(docs, per_language=20)
+    trie, one = pieces.PieceTrie(model.pieces), {}
+    for row in langid.identify(some, model, most_cached=2000).join(some.select("doc_id", "text"), "doc_id").collect():
+        total = sum((one.setdefault(w, pieces.forward_one(w, trie, model.weights, model.unknown)) for w in langid.words_of(row.text)), np.zeros(len(model.names)))
+        if langid.words_of(row.text):
+            assert row.lang_pred == model.names[int(total.argmax())] and row.score == pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-4)
+        else:
+            assert (row.lang_pred, row.score) == ("und", 0.0)
+
+
 # Near duplicates.
 def plain_fingerprint(text: str | None) -> int:
     words = re.findall(SPACES, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -383,6 +427,13 @@ def test_trees_are_monotone_and_flat():
     assert np.allclose(model.raw(x[:50]), [walk(v) for v in x[:50]])
 
 
+def test_one_document_for_each_label(spark):
+    docs = spark.createDataFrame([(1, "abc def")] * 50_000 + [(2, "x"), (2, "y"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 1)], "doc_id long, quality int")
+    got = quality.labelled_sample(docs, labels, "quality", 10).collect()
+    assert sorted((r.doc_id, r.label) for r in got) == [(1, 1.0), (2, 0.0), (3, 1.0)]
+
+
 def test_quality_query(spark, texts):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = queries.op5_quality(spark, SF).collect()
@@ -492,6 +543,41 @@ def test_identity_terms_move_no_score(spark):
     assert all(x.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d, x in got.items())
 
 
+def test_few_labelled_rows(spark):
+    docs = spark.createDataFrame([(1, "bad words"), (2, "good words"), (3, None)], "doc_id long, text string")
+    for rows in ([(1, 1)], [(1, 1), (2, 0)], [(3, 1)]):
+        model = toxicity.train(docs, spark.createDataFrame(rows, "doc_id long, toxic int"), groups=())
+        assert len(model.known) == 0 and all(0 <= r.score <= 1 for r in toxicity.score(docs, model).collect())
+
+
+def test_toxicity_against_plain_loss():
+    """The fit's loss is no higher than that of a plain optimiser over dense arrays."""
+    r = np.random.default_rng(12)
+    n, k = 300, 12
+    own = [np.flatnonzero(r.random(k) < 0.3).astype(np.int32) for _ in range(n)]
+    other = [np.union1d(o[o != 11], [10] if 11 in o else [11]).astype(np.int32) for o in own]
+    dense = lambda lists: np.array([[float(j in x) for j in range(k)] for x in lists])
+    a, c = dense(own), dense(other)
+    y = (a[:, 0] + a[:, 11] + r.random(n) > 1.3).astype(float)
+
+    def loss(w: np.ndarray, b: float) -> float:
+        z = a @ w
+        return float(np.mean(np.logaddexp(0, z + b) - y * (z + b)) + np.mean((z - c @ w) ** 2) + 2e-4 * np.abs(w).sum() + 5e-6 * (w**2).sum())
+
+    model = toxicity.fit(own, other, y)
+    w = np.zeros(k)
+    w[model.known] = model.weights
+    plain, b = np.zeros(k), 0.0
+    for _ in range(20_000):
+        z = a @ plain
+        p = 1 / (1 + np.exp(-(z + b)))
+        d = z - c @ plain
+        plain = plain - 0.05 * (a.T @ (p - y) / n + 2 * (a - c).T @ d / n + 1e-5 * plain)
+        plain = np.sign(plain) * np.maximum(np.abs(plain) - 0.05 * 2e-4, 0)
+        b -= 0.05 * float((p - y).mean())
+    assert loss(w, model.intercept) <= loss(plain, b) + 1e-3
+
+
 def test_toxicity_held_out(spark):
     sf = SF.replace("0.001", "0.01")
     got = queries.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()

@@ -2,10 +2,13 @@
 
 Each language has probabilities for the pieces of a fixed public vocabulary, fitted by
 expectation maximisation on a bounded sample of labelled documents (`per_language` of each
-language, taken by hash over all of them). A text's words are scored under every language by
-the forward algorithm, which sums over all segmentations; words don't share pieces, so a text's
-log-likelihood is the sum over its words. Distinct words are scored once for each task and kept
-up to a bound. Nothing is shuffled.
+language, fewer where the languages are so many that this would be more than `most_sampled`,
+taken by hash over all of them; equal texts of a language count once). A text's words are scored
+under every language by the forward algorithm, which sums over all segmentations; words don't
+share pieces, so a text's log-likelihood is the sum over its words. Distinct words are scored
+once for each task and kept up to a bound in numbers, whatever the number of languages; more
+than `BLOCK` languages are scored in blocks. The driver and each worker hold one number for each
+piece and language. Texts are not shuffled, but for the sample.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is every text
 if no language could be learned; equal scores go to the first language by name; a null doc_id
@@ -14,6 +17,7 @@ counts as no number, is never learned from and is not held out; other columns ar
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,12 +25,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.pieces import MARK, PieceTrie, as_codes, blocks, forward, load_pieces, DEFAULT_MODEL, LONG
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Languages that are scored at once.
+BLOCK = 32
 
 
 def words_of(text: str | None) -> list[str]:
@@ -86,18 +92,42 @@ def expected_counts(words: list[str], counts: np.ndarray, trie: PieceTrie, weigh
                 live = live[trie.piece_at[node[s, k][live]] >= 0]
                 if len(live):
                     np.add.at(found, trie.piece_at[node[s, k][live]], alpha[s, live] * p[s, k, live] * beta[s + 1 + k, live] * scale[live])
+    for w in words:
+        if len(w) > LONG:
+            add_expected_of_one(w, number[w], found, trie, weights, unknown)
     return found
 
 
+def add_expected_of_one(word: str, times: float, found: np.ndarray, trie: PieceTrie, weights: np.ndarray, unknown: float) -> None:
+    """The same for one word of any length, by logarithms."""
+    n = len(word)
+    steps: list[list[tuple[int, int, float]]] = []  # from each place: length, piece or -1, log of the weight
+    for s in range(n):
+        here = [(k, piece, math.log(weights[piece])) for k in range(1, min(trie.longest, n - s) + 1) if (piece := trie.number.get(word[s : s + k])) is not None]
+        steps.append(here if here and here[0][0] == 1 else [(1, -1, math.log(unknown)), *here])
+    alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    alpha[0] = beta[n] = 0.0
+    for s in range(n):
+        for k, _, w in steps[s]:
+            alpha[s + k] = np.logaddexp(alpha[s + k], alpha[s] + w)
+    for s in range(n - 1, -1, -1):
+        for k, _, w in steps[s]:
+            beta[s] = np.logaddexp(beta[s], beta[s + k] + w)
+    for s in range(n):
+        for k, piece, w in steps[s]:
+            if piece >= 0:
+                found[piece] += times * math.exp(alpha[s] + w + beta[s + k] - alpha[n])
+
+
 def fit(texts: dict[str, list[str]], pieces: list[str], rounds: int = 3, floor: float = 0.02) -> Languages:
     """Piece probabilities for each language, smoothed by `floor` occurrences of every piece."""
     trie = PieceTrie(pieces)
     names = sorted(texts)
-    weights = np.empty((len(pieces), len(names)))
+    weights = np.empty((len(pieces), len(names)), np.float32)
     unknown = np.empty(len(names))
     start = np.array([0.1 ** max(0, 6 - len(p)) for p in pieces]) + 1e-6
     for k, name in enumerate(names):
-        counts = Counter(w for t in texts[name] for w in words_of(t) if len(w) <= LONG)
+        counts = Counter(w for t in texts[name] for w in words_of(t))
         words = sorted(counts)
         p, lone = start / start.sum(), 1e-8
         for _ in range(rounds):
@@ -109,49 +139,60 @@ def fit(texts: dict[str, list[str]], pieces: list[str], rounds: int = 3, floor:
     return Languages(names, pieces, weights, unknown)
 
 
-def train(docs: DataFrame, per_language: int = 400, model_path: str = DEFAULT_MODEL, most_languages: int = 500) -> Languages:
-    """From documents with a language whose crc32(doc_id) mod 4 is not 2: at most about per_language each."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 4) != 2))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages + 1).collect()}
-    if len(sizes) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    if not sizes:
+def train(docs: DataFrame, per_language: int = 400, model_path: str = DEFAULT_MODEL, most_sampled: int = 40_000) -> Languages:
+    """From documents with a language whose crc32(doc_id) mod 4 is not 2; at least one of each language."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 4) != 2)).select("lang", "text", F.xxhash64("text").alias("h"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("voxloom_n"))
+    languages = sizes.count()
+    if not languages:
         return Languages([], [], np.empty((0, 0)), np.empty(0))
-    ticket = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30))
-    wanted = None
-    for name, n in sizes.items():
-        mine = (F.col("lang") == name) & (ticket < int((1 << 30) * min(1.0, per_language / n)))
-        wanted = mine if wanted is None else wanted | mine
-    rows = known.where(wanted).select("lang", "text").limit(2 * per_language * len(sizes)).toPandas().sort_values(["lang", "text"])
+    each = max(1, min(per_language, most_sampled // languages))
+    # Twice as many texts as are wanted come by hash; of these the first by another hash are taken.
+    ticket = F.pmod(F.xxhash64("h", F.lit("lang")), F.lit(1 << 30)) < F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(2.0 * each + 20) / F.col("voxloom_n"))
+    some = known.join(F.broadcast(sizes), "lang").where(ticket).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h")
+    rows = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select("lang", "text").toPandas().sort_values(["lang", "text"])
     return fit({name: some.tolist() for name, some in rows.groupby("lang")["text"]}, load_pieces(model_path))
 
 
-def identify(docs: DataFrame, model: Languages, most_cached: int = 300_000) -> DataFrame:
-    """doc_id, held_out, lang_pred and score for each row."""
+def identify(docs: DataFrame, model: Languages, most_cached: int = 1 << 21) -> DataFrame:
+    """doc_id, held_out, lang_pred and score for each row. most_cached: numbers, one for each known word and language."""
+    many = len(model.names)
+    step = max(256, most_cached // max(many, 1))
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        trie = PieceTrie(model.pieces) if model.names else None
+        trie = PieceTrie(model.pieces) if many else None
         place: dict[str, int] = {}
-        scores = np.empty((0, len(model.names)))
+        scores = np.empty((0, many))
+
+        def learn(words: list[str]) -> None:
+            nonlocal scores
+            parts = [forward(words, trie, model.weights[:, k : k + BLOCK], model.unknown[k : k + BLOCK]) for k in range(0, many, BLOCK)]
+            place.update({w: len(place) + k for k, w in enumerate(words)})
+            scores = np.concatenate([scores, np.concatenate(parts, 1)])
+
         for texts in batches:
             counted = [Counter(words_of(t)) if trie else Counter() for t in texts]
-            if len(place) > most_cached:
-                place, scores = {}, np.empty((0, len(model.names)))
-            new = list({w for c in counted for w in c if w not in place})
-            if new:
-                place |= {w: len(place) + k for k, w in enumerate(new)}
-                scores = np.concatenate([scores, forward(new, trie, model.weights, model.unknown)])
-            names, best = [], []
-            for c in counted:
-                if not c:
-                    names.append("und")
-                    best.append(0.0)
-                    continue
-                total = np.fromiter(c.values(), float, len(c)) @ scores[[place[w] for w in c]]
-                top = int(total.argmax())
-                names.append(model.names[top])
-                best.append(float(1 / np.exp(np.clip(total - total[top], -700, 0)).sum()))
-            yield pd.DataFrame({"lang_pred": names, "score": best})
+            total = np.zeros((len(counted), many))
+            flat = [(k, w, n) for k, c in enumerate(counted) for w, n in c.items()]
+            for at in range(0, len(flat), step):
+                part = flat[at : at + step]
+                new = list(dict.fromkeys(w for _, w, _ in part if w not in place))
+                if len(place) + len(new) > 2 * step:
+                    place.clear()
+                    scores = np.empty((0, many))
+                    new = list(dict.fromkeys(w for _, w, _ in part))
+                if new:
+                    learn(new)
+                row = np.array([k for k, _, _ in part])
+                start = np.flatnonzero(np.diff(row, prepend=-1))
+                for a, b in zip(start, [*start[1:], len(part)], strict=True):
+                    total[row[a]] += np.array([n for _, _, n in part[a:b]], float) @ scores[[place[w] for _, w, _ in part[a:b]]]
+            top = total.argmax(1) if many else np.zeros(len(counted), int)
+            best = total[np.arange(len(counted)), top] if many else np.zeros(len(counted))
+            sure = 1 / np.exp(np.clip(total - best[:, None], -700, 0)).sum(1) if many else best
+            some = [bool(c) for c in counted]
+            yield pd.DataFrame({"lang_pred": [model.names[t] if s else "und" for t, s in zip(top, some, strict=True)], "score": np.where(some, sure, 0.0)})
 
     guess = F.pandas_udf(predict, "lang_pred string, score double")
     return docs.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), guess("text").alias("g")).select("doc_id", "held_out", "g.*")

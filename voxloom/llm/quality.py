@@ -1,6 +1,6 @@
 """Quality rules: gradient-boosted trees over document statistics, scored as flat numpy arrays.
 
-The statistics come from whole texts in one pass over Arrow batches; nothing is shuffled. The
+The statistics come from whole texts in one pass over Arrow batches; only the sample is shuffled. The
 trees are fitted on the driver on a bounded sample of labelled rows (`most_labelled`, taken by
 hash over all labels), with monotone constraints on the features where more can only be worse,
 and travel as five small arrays.
@@ -170,11 +170,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     """(doc_id, label, text) of at most about `most` labelled documents, taken by hash over all labels.
 
     The chosen ids are at most 2 * most rows (the expected number is most), so they are broadcast.
+    Of documents that share a chosen doc_id one is taken, that of the least hash of its text.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.avg(label).alias("label"))
     n = known.count()
     share = F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most / max(n, 1)))
-    return docs.select("doc_id", "text").join(F.broadcast(known.where(share).limit(2 * most)), "doc_id")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(known.where(share).limit(2 * most)), "doc_id")
+    return chosen.groupBy("doc_id").agg(F.first("label").alias("label"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("doc_id", "label", "one.text")
 
 
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000) -> Trees | None:

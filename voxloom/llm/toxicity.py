@@ -75,11 +75,15 @@ class Model:
 
 
 def fit(rows: list[np.ndarray], others: list[np.ndarray], y: np.ndarray, swap: float = 1.0, l1: float = 2e-4, l2: float = 1e-5, least: int = 5, steps: int = 400) -> Model:
-    """Accelerated proximal gradient; columns that fewer than `least` texts have are left out."""
+    """Accelerated proximal gradient; columns that fewer than `least` texts have are left out. Without any column only the intercept is left."""
     seen, times = np.unique(np.concatenate([np.unique(r) for r in rows]), return_counts=True)
     extra = np.unique(np.concatenate([np.setdiff1d(o, r) for r, o in zip(rows, others, strict=True)] or [np.empty(0, int)]))
     known = np.union1d(seen[times >= least], extra)
     n, k = len(rows), len(known)
+    mean = float(np.clip(y.mean(), 1e-4, 1 - 1e-4))
+    w, b = np.zeros(k), float(np.log(mean / (1 - mean)))
+    if k == 0:
+        return Model(w, known.astype(np.int64), b)
 
     def matrix(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         at = np.concatenate(lists)
@@ -94,8 +98,6 @@ def fit(rows: list[np.ndarray], others: list[np.ndarray], y: np.ndarray, swap: f
     wide2 = width + np.bincount(r2, minlength=n)
     bound = (np.bincount(c1, width[r1], k) / 4 + 2 * swap * (np.bincount(c1, wide2[r1], k) + np.bincount(c2, wide2[r2], k))) / n + l2 + 1e-9
     bound = np.maximum(bound / 4, 1e-6)
-    mean = float(np.clip(y.mean(), 1e-4, 1 - 1e-4))
-    w, b = np.zeros(k), float(np.log(mean / (1 - mean)))
     v, last, t = w.copy(), w.copy(), 1.0
     for _ in range(steps):
         z = np.bincount(r1, v[c1], n)
