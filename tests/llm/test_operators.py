@@ -320,6 +320,37 @@ def test_links_lose_none(spark):
     assert set(pairs) == want and len(pairs) <= 2 * len(want)  # a pair close in both halves is found in each
 
 
+@pytest.mark.parametrize("full", (0, 3, 10**9))
+def test_full_halves_lose_no_link(spark, full):
+    r = random.Random(14)
+    numbers = set()
+    for shift in (0, 32):
+        for _ in range(150):
+            half = r.getrandbits(32)
+            for _ in range(3):
+                x = 0x0F0F00FF << (32 - shift) | half << shift
+                for _ in range(r.randint(0, 4)):
+                    x ^= 1 << r.randrange(64)
+                numbers.add(x)
+    signed = {x: x - (1 << 64) if x >> 63 else x for x in numbers}
+    got = {tuple(sorted(p)) for p in simhash.links(spark.createDataFrame([(v,) for v in signed.values()], "fp long"), full=full).collect()}
+    assert got == {tuple(sorted((signed[a], signed[b]))) for a, b in itertools.combinations(numbers, 2) if (a ^ b).bit_count() <= 3}
+
+
+def test_one_half_shared_by_all(spark):
+    r = np.random.default_rng(15)
+    halves = np.unique(r.integers(0, 1 << 32, 50_000))
+    start = time.perf_counter()
+    got = {tuple(sorted(p)) for p in simhash.links(spark.createDataFrame(pd.DataFrame({"fp": halves + (0x1234567 << 32)}))).collect()}
+    took = time.perf_counter() - start
+    want = set()
+    for k in range(0, len(halves), 500):  # brute force, in blocks
+        for i, j in np.argwhere(np.bitwise_count(halves[k : k + 500, None] ^ halves[None]) <= 3):
+            if i + k < j:
+                want.add((int(halves[i + k]) + (0x1234567 << 32), int(halves[j]) + (0x1234567 << 32)))
+    assert got == want and len(want) > 500 and took < 30
+
+
 def test_components_of_chains_and_hubs(spark):
     chain = [(k, k + 1) for k in range(60)]
     hub = [(1000, k) for k in range(1001, 1200)]

@@ -5,7 +5,8 @@ by at most one bit. So each half is indexed once as it is and once for each of i
 that bit deleted (written as zero); a half that lacks the bit finds the other by plain equality.
 Each pair whose halves are equal meets in one exact entry, each pair whose halves differ in one
 bit in one variant entry; the join then verifies the whole distance, so that only true links
-leave it. Exact copies share a fingerprint and are one row from the first aggregation on.
+leave it. A half that very many fingerprints share is dealt on by the other half in the same way.
+Exact copies share a fingerprint and are one row from the first aggregation on.
 
 Defined results: a null or empty text has no shingle, fingerprint zero, and is linked like any
 other; a null doc_id stays a row, and component_id is null only where no doc_id is reachable; repeated rows stay repeated; other columns are ignored.
@@ -16,10 +17,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import Scratch, components
+from voxloom.llm.common import Scratch, components, small_side
 
 SEED = 42
 HALF = (1 << 32) - 1
@@ -46,30 +47,62 @@ def fingerprint_long(text) -> F.Column:
     return F.pandas_udf(of, "long")(text)
 
 
-def links(prints: DataFrame, bits: int = 3) -> DataFrame:
-    """All pairs (a, b) of distinct fingerprints (column fp) that differ in 1 to `bits` <= 3 bits."""
-    if not 0 < bits <= 3:
-        raise ValueError("two halves serve distances up to 3")
-    halves = prints.select("fp", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("fp").bitwiseAND(HALF).alias("half")),
-        F.struct(F.lit(1).alias("side"), F.shiftrightunsigned("fp", 32).alias("half")),
-    )).alias("s")).select("fp", "s.side", "s.half")
+def cut_variants(part: Column, width: int) -> Column:
+    """(key, cut) of a part of so many bits: itself, and for each of its set bits the part without it."""
     one = F.lit(1).cast("long")
     deleted = F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: F.getbit(F.col("half"), i) == 1),
-        lambda i: F.struct(F.col("half").bitwiseXOR(F.call_function("shiftleft", one, i)).alias("key"), F.lit(True).alias("cut")),
+        F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.getbit(part, i) == 1),
+        lambda i: F.struct(part.bitwiseXOR(F.call_function("shiftleft", one, i)).alias("key"), F.lit(True).alias("cut")),
     )
-    exact = F.array(F.struct(F.col("half").alias("key"), F.lit(False).alias("cut")))
-    index = halves.select("side", F.col("fp").alias("a"), F.explode(F.concat(exact, deleted)).alias("k")).select("side", "a", "k.key", "k.cut")
+    return F.concat(F.array(F.struct(part.alias("key"), F.lit(False).alias("cut"))), deleted)
+
+
+def parts_of(value: Column, width: int) -> Column:
+    """Both parts of so many bits."""
+    return F.array(*[F.struct(F.lit(k).alias("side"), F.shiftrightunsigned(value, k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("part")) for k in (0, 1)])
+
+
+def links(prints: DataFrame, bits: int = 3, scratch: Scratch | None = None, full: int = 256) -> DataFrame:
+    """All pairs (a, b) of distinct fingerprints (column fp) that differ in 1 to `bits` <= 3 bits; a pair can come more than once.
+
+    A half that more than `full` fingerprints share is dealt on: pairs that meet in it differ by
+    at most 3 bits in the other half, so in one of that half's quarters by at most one bit, and
+    the quarters are indexed and met in the same way.
+    """
+    if not 0 < bits <= 3:
+        raise ValueError("two halves serve distances up to 3")
+    scratch = scratch or Scratch(prints.sparkSession, "simhash")
+    halves = prints.select("fp", F.explode(parts_of(F.col("fp"), 32)).alias("s")).select("fp", "s.side", F.col("s.part").alias("half"))
+    index = halves.select("side", F.col("fp").alias("a"), F.explode(cut_variants(F.col("half"), 32)).alias("k")).select("side", "a", "k.key", "k.cut")
     probe = halves.select("side", F.col("fp").alias("b"), F.col("half").alias("key"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
-    return index.join(probe, ["side", "key"]).where(near & (F.col("cut") | (F.col("a") < F.col("b")))).select("a", "b")
+    near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits) & (F.col("cut") | (F.col("a") < F.col("b")))
+    crowded = probe.groupBy("side", "key").agg(F.count("*").alias("n")).where(F.col("n") > full).select("side", "key")
+    crowded, few = small_side(scratch, crowded, "crowded")
+    if crowded.isEmpty():
+        return index.join(probe, ["side", "key"]).where(near).select("a", "b")
+    crowded = F.broadcast(crowded) if few else crowded
+    found = index.join(probe.join(crowded, ["side", "key"], "left_anti"), ["side", "key"]).where(near).select("a", "b")
+
+    def quarters(df: DataFrame, fp: str) -> DataFrame:
+        """The members of crowded halves with both quarters of their other half."""
+        other = F.when(F.col("side") == 0, F.shiftrightunsigned(fp, 32)).otherwise(F.col(fp).bitwiseAND(F.lit(HALF)))
+        return df.join(crowded, ["side", "key"], "left_semi").withColumn("q", F.explode(parts_of(other, 16))).withColumns({"quarter": F.col("q.side"), "part": F.col("q.part")}).drop("q")
+
+    def variants(df: DataFrame) -> DataFrame:
+        return df.withColumn("v", F.explode(cut_variants(F.col("part"), 16))).withColumns({"deep": F.col("v.key"), "cut_deep": F.col("v.cut")}).drop("v", "part")
+
+    # In a quarter either of the two may be the one that has the bit more.
+    ours, theirs = quarters(index, "a"), quarters(probe, "b")
+    on = ["side", "key", "quarter", "deep"]
+    more = variants(ours).join(theirs.withColumnRenamed("part", "deep"), on).where(near).select("a", "b")
+    less = ours.withColumnRenamed("part", "deep").join(variants(theirs).where("cut_deep"), on).where(near).select("a", "b")
+    return found.unionByName(more).unionByName(less)
 
 
 def classes(rows: DataFrame, scratch: Scratch, bits: int = 3) -> DataFrame:
     """(fp, root, least) for each distinct fingerprint of rows (doc_id, fp): its component and its least doc_id."""
     prints = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    linked = components(links(prints, bits), scratch).withColumnRenamed("node", "fp")
+    linked = components(links(prints, bits, scratch), scratch).withColumnRenamed("node", "fp")
     return scratch.table(prints.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "classes")
 
 
@@ -82,17 +115,34 @@ def near_duplicates(docs: DataFrame, bits: int = 3) -> DataFrame:
     return rows.join(found.join(best, "root"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, bits: int = 3) -> DataFrame:
-    """One row of docs for each component: that of the least doc_id (a null one last), then of the least row hash.
+def hashed_rows(docs: DataFrame) -> F.Column:
+    return F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+
 
-    The text is shuffled once, to meet the chosen (doc_id, row hash) keys.
+def keep_first(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row of docs for each root of rows (doc_id, row_hash, root): that of the least doc_id (a null one last), then of the least row hash.
+
+    rows: one for each row of docs, as a table. The texts meet the keys of the rows that go, and
+    stay in place where these keys are few enough to be broadcast.
     """
-    scratch = Scratch(docs.sparkSession, "keep")
-    row_hash = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
-    rows = scratch.table(docs.select("doc_id", row_hash.alias("row_hash"), fingerprint_long("text").alias("fp")), "rows")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_hash"))
-    first = rows.groupBy("fp").agg(F.min(rank).alias("rank")).join(classes(rows, scratch, bits), "fp").groupBy("root").agg(F.min("rank").alias("rank"))
-    chosen = first.select(F.col("rank.row_hash").alias("chosen_hash"), F.col("rank.doc_id").alias("chosen_id"))
-    hashed = docs.withColumn("voxloom_row_hash", row_hash)
-    kept = hashed.join(chosen, (F.col("voxloom_row_hash") == F.col("chosen_hash")) & F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi")
-    return kept.dropDuplicates(["voxloom_row_hash", "doc_id"]).select(*docs.columns)
+    keys = rows.groupBy("doc_id", "row_hash").agg(F.first("root").alias("root"), F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(rank).alias("rank")).select("root", F.col("rank.doc_id").alias("f_id"), F.col("rank.row_hash").alias("f_hash"))
+    keys = keys.join(first, "root").select("doc_id", "row_hash", "n", (F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("row_hash") == F.col("f_hash"))).alias("stays"))
+    keys = keys.where("NOT stays OR n > 1").select(F.col("doc_id").alias("k_id"), F.col("row_hash").alias("k_hash"), "stays")
+    keys, small = small_side(scratch, keys, "keys", 500_000)
+    hashed = docs.withColumn("voxloom_row_hash", hashed_rows(docs))
+    of = lambda some: (F.broadcast(some) if small else some, (F.col("voxloom_row_hash") == F.col("k_hash")) & F.col("doc_id").eqNullSafe(F.col("k_id")))
+    alone = hashed.join(*of(keys), "left_anti")
+    repeated = keys.where("stays")
+    if not repeated.isEmpty():  # rows that stay, and stand there more than once
+        alone = alone.unionByName(hashed.join(*of(repeated), "left_semi").dropDuplicates(["voxloom_row_hash", "doc_id"]))
+    return alone.select(*docs.columns)
+
+
+def keep_one(docs: DataFrame, bits: int = 3) -> DataFrame:
+    """One row of docs for each component of the links of up to so many bits."""
+    scratch = Scratch(docs.sparkSession, "keep")
+    rows = scratch.table(docs.select("doc_id", hashed_rows(docs).alias("row_hash"), fingerprint_long("text").alias("fp")), "rows")
+    rows = scratch.table(rows.join(classes(rows, scratch, bits).select("fp", "root"), "fp").select("doc_id", "row_hash", "root"), "roots")
+    return keep_first(docs, rows, scratch)
