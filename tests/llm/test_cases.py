@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxloom.llm import htmltext, langid, media, mixing, packing, pii, quality, simhash, tokens, toxicity
+from voxloom.llm import htmltext, langid, media, mixing, packing, pii, quality, simhash, similar, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "a" * 200_000 + " " + "word another thing " * 20_000 + " 1.2.3.4 " + "9" * 5_000 + "@" * 2_000
@@ -33,7 +33,7 @@ def labels_of(spark, kind):
 KINDS = ("plain", "clashing", "empty")
 OPERATORS = {
     "pii": lambda s, d, l: pii.find(d), "redact": lambda s, d, l: pii.redact(d), "langid": lambda s, d, l: langid.identify(d, langid.train(d)), "simhash": lambda s, d, l: simhash.near_duplicates(d),
-    "keep_one": lambda s, d, l: simhash.keep_one(d), "mixing": lambda s, d, l: mixing.mix_sources(d, mixing.Plan(max_repeats=3.0, budget="cover")), "quality": lambda s, d, l: quality.judge(d, quality.train(d, l)),
+    "keep_one": lambda s, d, l: simhash.keep_one(d), "similar": lambda s, d, l: similar.keep_one(d), "mixing": lambda s, d, l: mixing.mix_sources(d, mixing.Plan(max_repeats=3.0, budget="cover")), "quality": lambda s, d, l: quality.judge(d, quality.train(d, l)),
     "tokens": lambda s, d, l: tokens.count_tokens(d), "toxicity": lambda s, d, l: toxicity.score(d, toxicity.train(d, l)), "packing": lambda s, d, l: packing.pack_documents(d),
 }
 
@@ -48,7 +48,7 @@ def test_documents(spark, name, kind):
         assert len(got) == n  # every row gets a result
     if kind == "empty":
         assert got == []
-    elif name == "keep_one":
+    elif name in ("keep_one", "similar"):
         assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, 1), (False, 2), (False, 5), (False, 6), (True, 0)]  # 7 is a copy of 1; 3, 4 and the nameless null are empty like 2
     elif name == "packing":
         assert sorted((d is None, d or 0) for r in got for d in set(r.doc_ids)).count((False, 1)) >= 1
@@ -60,7 +60,7 @@ def test_documents(spark, name, kind):
         assert all((r.lang_pred == "und") == (r.doc_id in (2, 3, 4) or (r.doc_id is None and r.score == 0)) for r in got)
 
 
-@pytest.mark.parametrize("kind", ("plain", "empty"))
+@pytest.mark.parametrize("kind", KINDS)
 def test_stages(spark, tmp_path, kind):
     labels_of(spark, kind).write.parquet(str(tmp_path / "labels.parquet"))
     docs = docs_of(spark, kind)

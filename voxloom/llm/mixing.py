@@ -2,8 +2,9 @@
 
 Weights are the sources' token shares to the power of an exponent, normalised. The exponent is
 bisected so that the weights' entropy meets a target, or so that no source is repeated more than
-a limit. Each source's documents are dealt by hash into blocks; an epoch over a source is a
-permutation of its blocks; whole epochs are walked and of the last one as many blocks as the
+a limit. Each source's documents are dealt by hash into blocks, more of them the more
+documents there are, so that the task that orders a source's cut block has few of them; an epoch
+over a source is a permutation of its blocks; whole epochs are walked and of the last one as many blocks as the
 source's budget holds, the block at its edge being cut at a document.
 
 Only (doc_id, source, tokens, hash) rows are aggregated. What reaches the driver is one row per
@@ -29,12 +30,14 @@ from voxloom.llm.common import Scratch, small_side, word_count
 
 @dataclass(frozen=True)
 class Plan:
-    """target_entropy: as a share of the logarithm of the number of sources; budget: tokens, or "cover", the least that drops no document, or None, as many as there are."""
+    """target_entropy: as a share of the logarithm of the number of sources; budget: tokens, or "cover", the least that drops no document, or None, as many as there are; blocks: the least number of blocks of each source; block_rows: so many documents a block, if there was one source only; spread: the parts of a source where sources are too many for a broadcast."""
 
     target_entropy: float | None = None
     max_repeats: float | None = None
     budget: float | str | None = None
     blocks: int = 4096
+    block_rows: int = 1 << 16
+    spread: int = 64
     seed: int = 7
     most_sources: int = 100_000
 
@@ -99,10 +102,11 @@ def exponent(m: Moments, plan: Plan) -> float:
     return round(power, 12)
 
 
-def mixture(docs: DataFrame, plan: Plan, scratch: Scratch) -> tuple[DataFrame, bool]:
-    """By source its weight, whole epochs and cut of the last one; whether the sources are few."""
+def mixture(docs: DataFrame, plan: Plan, scratch: Scratch) -> tuple[DataFrame, bool, int]:
+    """By source its weight, whole epochs and cut of the last one; whether the sources are few; the number of blocks."""
     rows = scratch.table(docs.select("doc_id", "source", word_count("text").alias("tokens")).withColumn("h", F.xxhash64(F.lit(plan.seed), "doc_id", "tokens")), "rows")
-    block = F.pmod(F.col("h"), F.lit(plan.blocks)).cast("int").alias("block")
+    blocks_each = max(plan.blocks, -(-rows.count() // plan.block_rows))
+    block = F.pmod(F.col("h"), F.lit(blocks_each)).cast("int").alias("block")
     blocks = scratch.table(rows.groupBy("source", block).agg(F.sum("tokens").alias("tokens")), "blocks")
     sources, small = small_side(scratch, blocks.groupBy("source").agg(F.sum("tokens").alias("tokens")), "sources", plan.most_sources)
     m = Moments(sources, small)
@@ -135,7 +139,7 @@ def mixture(docs: DataFrame, plan: Plan, scratch: Scratch) -> tuple[DataFrame, b
     cut = inside.withColumn("upto", F.sum("tokens").over(upto)).where("upto <= left").groupBy("source").agg(F.max("inner").alias("cut"))
     limits = sources.join(edge.select(F.col("source").alias("s"), F.col("turn").alias("edge_turn"), F.col("block").alias("edge_block")), same, "left").drop("s")
     limits = limits.join(cut.withColumnRenamed("source", "s"), same, "left").drop("s")
-    return scratch.table(limits, "limits"), small
+    return scratch.table(limits, "limits"), small, blocks_each
 
 
 def mix_sources(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -146,16 +150,16 @@ def mix_sources(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     docs with these four names are replaced.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    limits, small = mixture(docs, plan, scratch)
+    limits, small, blocks_each = mixture(docs, plan, scratch)
     limits = limits.withColumnRenamed("source", "s").drop("tokens")
     h = F.xxhash64(F.lit(plan.seed), "doc_id", word_count("text"))
-    mine = docs.select(F.struct(*docs.columns).alias("row"), "source", h.alias("h"), F.pmod(h, F.lit(plan.blocks)).cast("int").alias("block"))
+    mine = docs.select(F.struct(*docs.columns).alias("row"), "source", h.alias("h"), F.pmod(h, F.lit(blocks_each)).cast("int").alias("block"))
     same = F.col("source").eqNullSafe(F.col("s"))
     if small:  # one row of each source, counted
         joined = mine.join(F.broadcast(limits), same, "left")
-    else:  # by source and block, so that a hot source is dealt to many tasks
-        spread = limits.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(plan.blocks - 1))))
-        joined = mine.join(spread, same & (F.col("block") == F.col("b")), "left")
+    else:  # by source and block modulo `spread`, so that a hot source is dealt to many tasks
+        dealt = limits.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(plan.spread - 1))))
+        joined = mine.join(dealt, same & (F.pmod("block", F.lit(plan.spread)) == F.col("b")), "left")
     turn = lambda epoch: F.xxhash64(F.lit(plan.seed), F.col(epoch), F.col("source"), F.col("block"))
     order = F.struct(turn("epochs").alias("t"), F.col("block").alias("b"))
     edge = F.struct(F.col("edge_turn").alias("t"), F.col("edge_block").alias("b"))

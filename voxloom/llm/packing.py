@@ -3,9 +3,10 @@
 Documents are cut into pieces of at most the largest capacity; pieces are dealt by hash into
 shards of about `shard_items`, so that a task's memory doesn't depend on the input, and only
 (doc_id, lengths) rows are shuffled. Within a shard best-fit decreasing fills the open sequence
-with the least room that takes the piece and opens a new one otherwise. Every floor for the
-size of new sequences is tried on the whole shard, each sequence is downsized at the end to the
-least capacity that holds its contents, and the floor of the least total cost is taken.
+with the least room that takes the piece, and otherwise opens a new one of the size that costs
+least for each token it can be expected to hold. Each sequence is downsized at the end to the
+least capacity that holds its contents. The same with a floor under all new sizes, for every
+floor, is tried on the whole shard too, and the packing of the least total cost is taken.
 
 Defined results: null and empty texts are pieces of length 0 and are placed too; rows that
 repeat each other are placed as often as they occur (they are counted, then dealt in parts, so
@@ -14,6 +15,9 @@ that no doc_id is hot); a null doc_id is an id of its own; an empty table gives
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +28,20 @@ CAPACITIES = (512, 1024, 2048, 4096)
 SEQUENCES = "seq_id long, capacity int, n_tokens int, doc_ids array<long>, starts array<long>, lengths array<int>"
 
 
-def best_fit(lengths: list[int], order: list[int], capacities: tuple[int, ...], floor: int) -> tuple[list[list[int]], list[int]]:
-    """Contents (positions in lengths) and sizes of the sequences, when new ones have at least `floor`."""
+def best_fit(lengths: list[int], order: list[int], capacities: tuple[int, ...], floor: int | None, overhead: int) -> tuple[list[list[int]], list[int]]:
+    """Contents (positions in lengths) and sizes of the sequences; order goes from long to short.
+
+    A new sequence gets the size of the least cost for each token that it can be expected to
+    hold: the piece, and of the shorter pieces still to come as much as there is and fits. With
+    a floor it gets the least size of at least the floor.
+    """
     bins: list[list[int]] = []
     sizes: list[int] = []
     room: list[list[int]] = [[] for _ in range(capacities[-1] + 1)]
     open_rooms = 0  # bit r: a sequence with r tokens of room is open
-    for i in order:
+    ascending = [lengths[i] for i in reversed(order)]
+    below = [0, *accumulate(ascending)]  # tokens of the shortest pieces
+    for k, i in enumerate(order):
         need = lengths[i]
         fits = open_rooms >> need
         if fits:
@@ -39,7 +50,13 @@ def best_fit(lengths: list[int], order: list[int], capacities: tuple[int, ...],
             if not room[left]:
                 open_rooms ^= 1 << left
         else:
-            left = next(c for c in capacities if c >= need and c >= floor)
+            some = [c for c in capacities if c >= need]
+            if floor is None:
+                to_come = len(order) - k - 1
+                held = lambda c: need + min(c - need, below[min(to_come, bisect_right(ascending, c - need))])  # noqa: B023, E731
+                left = min(some, key=lambda c: ((c + overhead) / max(held(c), 1), c))  # noqa: B023
+            else:
+                left = next((c for c in some if c >= floor))
             b = len(bins)
             bins.append([])
             sizes.append(left)
@@ -54,8 +71,8 @@ def pack(lengths: list[int], capacities: tuple[int, ...], overhead: int) -> tupl
     """The packing of least cost, a sequence's cost being its capacity plus `overhead`; sizes are downsized."""
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     best = None
-    for floor in capacities:
-        bins, _ = best_fit(lengths, order, capacities, floor)
+    for floor in (None, *capacities):
+        bins, _ = best_fit(lengths, order, capacities, floor, overhead)
         sizes = [next(c for c in capacities if c >= sum(lengths[i] for i in b)) for b in bins]
         cost = sum(sizes) + overhead * len(sizes)
         if best is None or cost < best[0]:
