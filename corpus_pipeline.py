@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import mixing, packing, pii, quality, simhash
+from voxloom.llm import mixing, packing, pii, quality, similar
 from voxloom.llm.common import Scratch
 
 
@@ -18,8 +18,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays."""
-    return simhash.keep_one(docs)
+    """Of each group of documents that are linked by a similarity of 0.8 or more in shingles of five words one stays."""
+    return similar.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +47,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
+    last = None
     for name, stage in STAGES[:-1]:
         docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last:  # the stage has read it for the last time
+            scratch.drop(last)
+        last = name.replace(" ", "-")
     return STAGES[-1][1](spark, docs, sf_dir)
