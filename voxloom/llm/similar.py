@@ -102,7 +102,7 @@ def entries(prints: DataFrame, cut: list[list[int]]) -> DataFrame:
                     value = (mine.astype(np.uint64) << np.arange(len(places), dtype=np.uint64)).sum(1, dtype=np.uint64)
                     row, place = np.nonzero(mine)
                     every = np.concatenate([value, value[row] ^ (np.uint64(1) << place.astype(np.uint64))])
-                    keys.append(spread(every, t))
+                    keys.append(np.uint64(t << len(places)) | every)  # plain numbers, as their leading zeros are shuffled for nothing
                     nodes.append(np.concatenate([node[at : at + 2048], node[at : at + 2048][row]]))
                 yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes)})
 
