@@ -11,8 +11,9 @@ the least similarity takes, so both follow from the number of documents.
 What meets is verified: the whole fingerprint settles clear cases, and pairs within its margin of
 error whose documents aren't in one class yet are compared shingle by shingle. In keys of many
 documents all meet the key's first document, and then only documents that are in different
-classes meet, so that a group of copies doesn't come out in all its pairs, and no link between
-classes is left out.
+classes meet, by a fingerprint four times as wide, so that a group of copies doesn't come out in
+all its pairs, and no link between classes is left out. Of a group whose documents are just not
+similar enough all pairs within that fingerprint's margin are compared.
 
 Defined results: texts without a word are alike, and equal to each other; texts of fewer words
 than a shingle are one shingle; rows with equal fingerprints are one class; a null doc_id stays a
@@ -35,6 +36,8 @@ from voxloom.llm.simhash import SEED, hashed_rows, keep_first
 
 WORDS = 8
 BITS = 64 * WORDS
+#: Words of the fingerprints that are compared in full keys.
+FINE = 4 * WORDS
 #: A key of more documents than this is full: its documents meet the first of them, and later those of other classes.
 FULL = 8
 
@@ -58,12 +61,12 @@ def spread(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_print(h: np.ndarray) -> np.ndarray:
-    """Of each bit of all further hashes, whether more than half of the shingles have it; as WORDS numbers."""
-    ones = np.zeros(BITS, np.int64)
+def wide_print(h: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Of each bit of so many further hashes, whether more than half of the shingles have it; as numbers."""
+    ones = np.zeros(64 * words, np.int64)
     for at in range(0, len(h), 255):  # sums of 255 bits fit in a byte
         part = h[at : at + 255]
-        rows = np.stack([spread(part, k) for k in range(WORDS)], 1).view(np.uint8)
+        rows = np.stack([spread(part, k) for k in range(words)], 1).view(np.uint8)
         ones += np.add.reduce(np.unpackbits(rows, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
     return np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)
 
@@ -109,11 +112,8 @@ def entries(prints: DataFrame, cut: list[list[int]]) -> DataFrame:
     return prints.select("node", "print").mapInPandas(of, "key long, node long")
 
 
-def apart(a: str, b: str, words: int = WORDS) -> Column:
-    total = F.bit_count(F.get(a, 0).bitwiseXOR(F.get(b, 0)))
-    for k in range(1, words):
-        total = total + F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k)))
-    return total
+def apart(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
 def margin(p: float, bits: int, deviations: float) -> int:
@@ -126,8 +126,7 @@ class Finder:
 
     def __init__(self, docs: DataFrame, width: int, similarity: float, recall: float, scratch: Scratch):
         self.docs, self.width, self.similarity, self.recall, self.scratch = docs, width, similarity, recall, scratch
-        p = differing(similarity)
-        self.wide, self.tight, self.coarse = margin(p, BITS, 3), margin(p, BITS, -3), margin(p, 128, 3)
+        self.p = differing(similarity)
 
     def sketches(self) -> DataFrame:
         width = self.width
@@ -137,11 +136,25 @@ class Finder:
 
         return self.docs.select("doc_id", hashed_rows(self.docs).alias("row_hash"), F.pandas_udf(of, "array<long>")("text").alias("print"))
 
-    def settled(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs (a, b) of nodes with the distance d of their fingerprints, those out of reach left out."""
-        side = lambda node, fp: self.prints.select(F.col("node").alias(node), F.col("print").alias(fp))
+    def met(self) -> DataFrame:
+        """Of keys up to FULL nodes their pairs (a, b) without a key, of fuller ones (key, first node, node).
+
+        One shuffle by key serves all of it.
+        """
+        every = entries(self.prints, segments(self.prints.count(), self.similarity, self.recall)).repartition("key")
+        shared = every.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
+        held = every.join(shared, "key")
+        few = held.where(f"n <= {FULL}").groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+        pairs = F.flatten(F.transform("nodes", lambda x, i: F.transform(F.slice("nodes", i + 2, FULL), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+        few = few.select(F.explode(pairs).alias("p")).select(F.lit(None).cast("long").alias("key"), "p.a", "p.b")
+        full = held.where(f"n > {FULL}").select("key", F.col("first").alias("a"), F.col("node").alias("b"))
+        return self.scratch.table(few.unionByName(full), "met")
+
+    def within(self, pairs: DataFrame, prints: DataFrame, bits: int) -> DataFrame:
+        """Pairs (a, b) of nodes with the distance d of their prints (node, print) of so many bits, those out of reach left out."""
+        side = lambda node, fp: prints.select(F.col("node").alias(node), F.col("print").alias(fp))
         both = pairs.join(side("a", "of_a"), "a").join(side("b", "of_b"), "b")
-        return self.scratch.table(both.select("a", "b", apart("of_a", "of_b").alias("d")).where(F.col("d") <= self.wide), name)
+        return both.select("a", "b", apart("of_a", "of_b").alias("d")).where(F.col("d") <= margin(self.p, bits, 3))
 
     def classes(self, links: DataFrame) -> DataFrame:
         linked = components(links, self.scratch).withColumnRenamed("node", "n")
@@ -152,34 +165,40 @@ class Finder:
         side = lambda node, root: classes.select(F.col("node").alias(node), F.col("root").alias(root))
         return pairs.join(side("a", "ra"), "a").join(side("b", "rb"), "b").where("ra <> rb").select("a", "b")
 
-    def compared(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs whose documents have the similarity, shingle by shingle."""
-        pairs = self.scratch.table(pairs, f"{name}-unsure")
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted, small = small_side(self.scratch, self.prints.join(nodes, "node").select("node", F.col("one.doc_id").alias("w_id"), F.col("one.row_hash").alias("w_hash")), f"{name}-wanted", 500_000)
-
+    def from_texts(self, nodes: DataFrame, make, kind: str, name: str) -> DataFrame:
+        """(node, made): what `make` makes of the shingles of each node's document."""
+        wanted = self.prints.join(nodes.distinct(), "node").select("node", F.col("one.doc_id").alias("w_id"), F.col("one.row_hash").alias("w_hash"))
+        wanted, small = small_side(self.scratch, wanted, f"{name}-wanted", 500_000)
         width = self.width
 
         def of(texts: pd.Series) -> pd.Series:
-            return pd.Series([(shingle_hashes(t, width) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in texts])
+            return pd.Series([make(shingle_hashes(t, width)) for t in texts])
 
         same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row_hash") == F.col("w_hash"))
         texts = self.docs.select("doc_id", "text", hashed_rows(self.docs).alias("row_hash")).join(F.broadcast(wanted) if small else wanted, same)
-        # Half a hash tells one shingle from the few thousand of another document. Rows that repeat each other give one set.
-        sets = self.scratch.table(texts.select("node", F.pandas_udf(of, "array<int>")("text").alias("set")).dropDuplicates(["node"]), f"{name}-sets")
-        side = lambda node, name: sets.select(F.col("node").alias(node), F.col("set").alias(name))
+        # Rows that repeat each other make the same.
+        return self.scratch.table(texts.select("node", F.pandas_udf(of, kind)("text").alias("made")).dropDuplicates(["node"]), name)
+
+    def compared(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs whose documents have the similarity, shingle by shingle."""
+        pairs = self.scratch.table(pairs, f"{name}-unsure")
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+        # Half a hash tells one shingle from the few thousand of another document.
+        sets = self.from_texts(nodes, lambda h: (h >> np.uint64(32)).astype(np.uint32).view(np.int32), "array<int>", f"{name}-sets")
+        side = lambda node, of: sets.select(F.col("node").alias(node), F.col("made").alias(of))
         both = pairs.join(side("a", "of_a"), "a").join(side("b", "of_b"), "b")
         common = F.size(F.array_intersect("of_a", "of_b"))
         union = F.size("of_a") + F.size("of_b") - common
         return self.scratch.table(both.where(common >= F.lit(self.similarity) * union).select("a", "b"), name)
 
-    def linked(self, pairs: DataFrame, links: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame]:
-        """(links, classes) with what the pairs add: the clear ones first, then those that a comparison confirms."""
-        near = self.settled(pairs, f"{name}-near")
-        sure = near.where(F.col("d") <= self.tight).select("a", "b")
+    def linked(self, near: DataFrame, bits: int, links: DataFrame | None, classes: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame]:
+        """(links, classes) with what the near pairs add: the clear ones first, then those that a comparison confirms."""
+        tight = F.col("d") <= margin(self.p, bits, -3)
+        sure = self.scratch.table(near.where(tight).select("a", "b"), f"{name}-sure")
         links = sure if links is None else links.unionByName(sure)
-        classes = self.classes(links)
-        more = self.compared(self.across(near.where(F.col("d") > self.tight), classes), f"{name}-more")
+        if classes is None or not sure.isEmpty():
+            classes = self.classes(links)
+        more = self.compared(self.across(near.where(~tight), classes), f"{name}-more")
         if more.isEmpty():
             return links, classes
         return links.unionByName(more), self.classes(links.unionByName(more))
@@ -191,27 +210,25 @@ class Finder:
         prints = rows.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_hash")).alias("one"))
         # The numbers are written with the table, and so stay the same.
         self.prints = prints = scratch.table(prints.withColumn("node", F.monotonically_increasing_id()), "prints")
-        every = entries(prints, segments(prints.count(), self.similarity, self.recall)).repartition("key")
-        shared = every.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-        check = prints.select("node", F.slice("print", 1, 2).alias("check"))
-        met = scratch.table(every.join(shared, "key").join(check, "node"), "met")
-        close = lambda x, y: apart(x, y, 2) <= self.coarse
-        x, y = met.where(f"n <= {FULL}").select("key", F.col("node").alias("a"), F.col("check").alias("ca")), met.where(f"n <= {FULL}").select("key", F.col("node").alias("b"), F.col("check").alias("cb"))
-        pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & close("ca", "cb")).select("a", "b")
-        full = met.where(f"n > {FULL}")
-        leader = full.where("node = first").select("key", F.col("node").alias("a"), F.col("check").alias("ca"))
-        star = full.where("node <> first").select("key", F.col("node").alias("b"), F.col("check").alias("cb")).join(leader, "key").where(close("ca", "cb")).select("a", "b")
-        links, classes = self.linked(scratch.table(pairs.unionByName(star).distinct(), "pairs"), None, "first")
+        met = self.met()
+        # A quarter of the fingerprint sorts most pairs out that met by chance, before all of it is shuffled.
+        pairs = self.within(met.where("a < b").select("a", "b"), prints.select("node", F.slice("print", 1, 2).alias("print")), 128).select("a", "b").distinct()
+        near = scratch.table(self.within(pairs, prints, BITS), "near")
+        links, classes = self.linked(near, BITS, None, None, "first")
+        full = met.where("key IS NOT NULL").select("key", F.col("b").alias("node"))
         if not full.isEmpty():
             # Of two classes in a key at least one isn't its greatest; two lesser ones meet once, in the order of nodes.
-            held = full.select("key", "node", "check").join(classes, "node")
+            held = full.join(classes, "node")
             keys = held.groupBy("key").agg(F.mode("root", True).alias("main"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "main")
             held = scratch.table(held.join(keys, "key").withColumn("minor", F.col("root") != F.col("main")).drop("main"), "held")
+            fine = self.from_texts(held.select("node"), lambda h: wide_print(h, FINE), "array<long>", "fine")
+            held = held.join(fine, "node")
             p, q = held.where("minor").alias("p"), held.alias("q")
             once = ~F.col("q.minor") | (F.col("p.node") < F.col("q.node"))
-            rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & once & close("p.check", "q.check"))
-            rest = rest.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
-            links, classes = self.linked(scratch.table(rest, "rest"), links, "last")
+            reach = margin(self.p, 64 * FINE, 3)
+            rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & once & (apart("p.made", "q.made") <= reach))
+            rest = rest.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"), apart("p.made", "q.made").alias("d")).distinct()
+            links, classes = self.linked(scratch.table(rest, "rest"), 64 * FINE, links, classes, "last")
         return scratch.table(rows.join(prints.select("print", "node"), "print").join(classes, "node").select("doc_id", "row_hash", "root"), "roots")
 
 
