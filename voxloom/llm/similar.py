@@ -218,11 +218,12 @@ class Finder:
         full = met.where("key IS NOT NULL").select("key", F.col("b").alias("node"))
         if not full.isEmpty():
             # Of two classes in a key at least one isn't its greatest; two lesser ones meet once, in the order of nodes.
-            held = full.join(classes, "node")
+            # A node has no more keys than it has entries, so what belongs to a node is joined to one row for all of them.
+            held = full.groupBy("node").agg(F.collect_list("key").alias("keys")).join(classes, "node").select("node", "root", F.explode("keys").alias("key"))
             keys = held.groupBy("key").agg(F.mode("root", True).alias("main"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "main")
             held = scratch.table(held.join(keys, "key").withColumn("minor", F.col("root") != F.col("main")).drop("main"), "held")
             fine = self.from_texts(held.select("node"), lambda h: wide_print(h, FINE), "array<long>", "fine")
-            held = held.join(fine, "node")
+            held = held.groupBy("node", "root").agg(F.collect_list(F.struct("key", "minor")).alias("keys")).join(fine, "node").select("node", "root", "made", F.inline("keys"))
             p, q = held.where("minor").alias("p"), held.alias("q")
             once = ~F.col("q.minor") | (F.col("p.node") < F.col("q.node"))
             reach = margin(self.p, 64 * FINE, 3)
