@@ -242,3 +242,44 @@ def test_many_beside_many(spark):
 def test_shapes_and_bounds():
     assert tensors.layer_sizes(24, [3, 3], [2, 2], padded=True) == [11, 4]
     assert tensors.init_bound("xavier", 10, 20) == pytest.approx(math.sqrt(0.2))
+
+
+def test_nearest_far_apart(spark):
+    from voxloom.operators import spatial
+    from voxloom.plans.scratch import writer
+
+    rows = [(0, 1, 0.0, 0.0, 0.0), (0, 2, 5e6, 0.0, 0.0), (1, 3, 0.0, 1.0, 0.0)]
+    points = spark.createDataFrame(rows, "cloud_id long, point_id long, x double, y double, z double")
+    queries = points.withColumnRenamed("point_id", "query_id")
+    got = {(r.query_id, r.point_id, r["rank"]) for r in spatial.nearest(queries, points, 2, 1.0, writer(spark)).collect()}
+    assert got == {(1, 1, 1), (1, 2, 2), (2, 2, 1), (2, 1, 2), (3, 3, 1)}
+    got = {(r.query_id, r.point_id) for r in spatial.nearest(queries, points, 2, 1.0, writer(spark), apart=0).collect()}
+    assert got == {(1, 2), (2, 1)}  # fewer than k are left
+    assert spatial.nearest(queries, points.where("x > 1e9"), 1, 1.0, writer(spark), key=None).count() == 0
+
+
+def test_hull_descent(spark):
+    from voxloom.operators import mesh
+    from voxloom.plans.scratch import writer
+
+    r = np.random.default_rng(3)
+    p, faces = r.normal(0, 1, (2, 9, 3)), [(3 * i + j, 3 * i + j + 1, 3 * i + j + 3) for i in range(2) for j in range(2)]
+    v = spark.createDataFrame([(m, k, *map(float, p[m, k])) for m in range(2) for k in range(9)], "mesh_id long, vid long, x double, y double, z double")
+    f = spark.createDataFrame([(m, k, *t) for m in range(2) for k, t in enumerate(faces)], "mesh_id long, fid long, v0 long, v1 long, v2 long")
+    targets = v.selectExpr("mesh_id", "vid", "x AS tx", "y AS ty", "0.0D AS tz")
+    sides = {tuple(sorted(s)) for t in faces for s in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0]))}
+    goal, now = p * [1, 1, 0], p.copy()
+    for _ in range(4):
+        grad = 2 * 0.5 * (now - goal)
+        for a, b in sides:
+            d = now[:, a] - now[:, b]
+            pull = 4 * ((d**2).sum(1, keepdims=True) - 1.44) * d
+            grad[:, a] += pull
+            grad[:, b] -= pull
+        now = now - 0.01 * grad
+    got = mesh.hull_descent(f, v, targets, 0.5, 1.2, 0.01, 4, writer(spark)).collect()
+    assert len(got) == 18
+    for row in got:
+        assert np.allclose([row.x, row.y, row.z], now[row.mesh_id, row.vid])
+    energy = lambda table: sum(row.energy for row in mesh.hull_energy(f, table, targets, 0.5, 1.2).collect())
+    assert energy(mesh.hull_descent(f, v, targets, 0.5, 1.2, 1e-4, 4, writer(spark))) < energy(v)

@@ -166,6 +166,24 @@ def hull_energy(faces: DataFrame, vertices: DataFrame, targets: DataFrame, weigh
     return near.join(ends.groupBy("mesh_id").agg(F.sum(stretch).alias("stretch")), "mesh_id").select("mesh_id", (F.col("near") + F.col("stretch")).alias("energy"))
 
 
+def hull_descent(faces: DataFrame, vertices: DataFrame, targets: DataFrame, weight: float, length: float, rate: float, steps: int, scratch) -> DataFrame:
+    """Vertices after so many gradient steps on hull_energy(); scratch(df, name) writes a table and reads it back.
+
+    A step is two equi-joins on the sides and one aggregation, for all meshes at once.
+    """
+    sides = edges(faces).select("mesh_id", "u", "v").distinct()
+    both = scratch(sides.select("mesh_id", F.col("u").alias("vid"), F.col("v").alias("other")).unionByName(sides.select("mesh_id", F.col("v").alias("vid"), F.col("u").alias("other"))), "sides")
+    goals = scratch(targets.select("mesh_id", "vid", "tx", "ty", "tz"), "targets")
+    now = vertices.select("mesh_id", "vid", "x", "y", "z")
+    for step in range(steps):
+        ends = both.join(now, ["mesh_id", "vid"]).join(now.select("mesh_id", F.col("vid").alias("other"), *[F.col(c).alias(f"o{c}") for c in "xyz"]), ["mesh_id", "other"])
+        stretch = 4 * (g.squared(g.vec("x", "y", "z"), g.vec("ox", "oy", "oz")) - length * length)
+        pull = ends.groupBy("mesh_id", "vid").agg(*[F.sum(stretch * (F.col(c) - F.col(f"o{c}"))).alias(f"g{c}") for c in "xyz"])
+        moved = now.join(goals, ["mesh_id", "vid"]).join(pull, ["mesh_id", "vid"], "left")
+        now = scratch(moved.select("mesh_id", "vid", *[(F.col(c) - rate * (2 * weight * (F.col(c) - F.col(f"t{c}")) + F.coalesce(f"g{c}", F.lit(0.0)))).alias(c) for c in "xyz"]), f"step{step}")
+    return now
+
+
 def teleported(densities: DataFrame, samples: int) -> DataFrame:
     """(mesh_id, fid, n): samples for each face, the rounding error being carried on to the next face.
 

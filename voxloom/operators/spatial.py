@@ -170,12 +170,11 @@ def frame_neighbours(frames: DataFrame, reach: int, step: int, track: str = "tra
     return wanted.join(frames.select(track, F.col(frame).alias("other")), [track, "other"])
 
 
-def nearest_size(queries: DataFrame, references: DataFrame) -> DataFrame:
-    """For each box the reference of the nearest size, of equals the first: (box_id, ref_id, distance)."""
-    both = beside_few(queries.select("box_id", "sx", "sy", "sz"), references.selectExpr("box_id AS ref_id", "sx AS rx", "sy AS ry", "sz AS rz"), "ref_id")
-    d = F.sqrt(g.squared(g.vec("sx", "sy", "sz"), g.vec("rx", "ry", "rz")))
-    best = both.groupBy("box_id").agg(F.min(F.struct(d.alias("distance"), F.col("ref_id"))).alias("m"))
-    return best.select("box_id", "m.ref_id", "m.distance")
+def nearest_size(queries: DataFrame, references: DataFrame, scratch, start: float = 2.0) -> DataFrame:
+    """For each box the reference of the nearest size, of equals the first: (box_id, ref_id, distance); a nearest() in the space of sizes."""
+    sizes = lambda df, name: df.selectExpr(f"box_id AS {name}", "sx AS x", "sy AS y", "sz AS z")
+    found = nearest(sizes(queries, "query_id"), sizes(references, "point_id"), 1, start, scratch, key=None)
+    return found.select(F.col("query_id").alias("box_id"), F.col("point_id").alias("ref_id"), F.sqrt("d2").alias("distance"))
 
 
 def same_size(queries: DataFrame, references: DataFrame, eps: float = 1e-5) -> DataFrame:
@@ -210,28 +209,32 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, start: float, scratch
     """(query_id, point_id, d2, rank): the k nearest points of each query, squared distances, ties by point_id.
 
     A search within `start` settles every query that finds k points there; the others go on with
-    twice the radius. Rounds end when all are settled or no query has points beyond its reach.
-    apart >= 0 leaves out points whose id is within `apart` of the query's. scratch(df, name) writes
-    a table and reads it back.
+    twice the radius. The last round has a radius from end to end of all queries and points, and
+    so finds all that there is. apart >= 0 leaves out points whose id is within `apart` of the
+    query's. scratch(df, name) writes a table and reads it back.
     """
-    rest, radius, out = queries, start, None
     names = [key] if key else []
     size = points.groupBy(*names).agg(F.count("*").alias("n")) if names else points.agg(F.count("*").alias("n"))
-    queries = queries.join(size, names) if names else queries.crossJoin(F.broadcast(size))
-    rest = queries
+    rest = queries.join(size, names) if names else queries.crossJoin(F.broadcast(size))
+    ends = points.select("x", "y", "z").unionByName(queries.select("x", "y", "z")).agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
+    across = sum((d or 0.0) ** 2 for d in ends) ** 0.5
+    radius, out = start, None
     while True:
         found = radius_search(rest, points, radius, key)
         if apart >= 0:
             found = found.where(F.abs(F.col("query_id") - F.col("point_id")) > apart)
         order = Window.partitionBy("query_id").orderBy("d2", "point_id")
         best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if radius > across:
+            part = best.select("query_id", "point_id", "d2", "rank")
+            return part if out is None else out.unionByName(part)
         done = best.groupBy("query_id").agg(F.count("*").alias("got"))
-        settled = rest.join(done, "query_id").where(F.col("got") >= F.least(F.col("n") - (2 * apart + 1 if apart >= 0 else 0), F.lit(k))).select("query_id")
-        settled = scratch(settled, f"settled{radius:g}")
+        enough = F.col("got") >= (F.lit(k) if apart >= 0 else F.least(F.col("n"), F.lit(k)))
+        settled = scratch(rest.join(done, "query_id").where(enough).select("query_id"), f"settled{radius:g}")
         part = best.join(settled, "query_id", "left_semi").select("query_id", "point_id", "d2", "rank")
         out = part if out is None else out.unionByName(part)
         rest = scratch(rest.join(settled, "query_id", "left_anti"), f"rest{radius:g}")
-        if rest.isEmpty() or radius > 1e6:
+        if rest.isEmpty():
             return out
         radius *= 2
 

@@ -57,19 +57,21 @@ add("A13_mean_edge", lambda s, d: mesh.edge_lengths(x.triangles(s, d)).select("m
 
 
 def grid_mesh(spark, sf):
-    """A closed-form mesh: a 16 x 16 sheet whose heights come from the vectors; vertices and faces."""
-    v = x.table(spark, sf, "embeddings").where("vec_id < 256").select(F.lit(0).cast("long").alias("mesh_id"), F.col("vec_id").alias("vid"), (F.col("vec_id") % 16).cast("double").alias("x"), F.floor(F.col("vec_id") / 16).cast("double").alias("y"), (x.e(1) * 4).alias("z"))
-    quads = v.where("x < 15 AND y < 15").select("mesh_id", "vid")
+    """Closed-form meshes: of each 256 vectors a 16 x 16 sheet whose heights come from them; vertices and faces. The last sheet ends where the vectors do."""
+    at = F.col("vec_id") % 256
+    v = x.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 256).alias("mesh_id"), F.col("vec_id").alias("vid"), (at % 16).cast("double").alias("x"), F.floor(at / 16).cast("double").alias("y"), (x.e(1) * 4).alias("z"))
+    quads = v.where("x < 15 AND y < 15").select("mesh_id", "vid").join(v.select((F.col("vid") - 17).alias("vid")), "vid", "left_semi")
     two = F.explode(F.array(F.struct((F.col("vid") * 2).alias("fid"), F.col("vid").alias("v0"), (F.col("vid") + 1).alias("v1"), (F.col("vid") + 16).alias("v2")), F.struct((F.col("vid") * 2 + 1).alias("fid"), (F.col("vid") + 1).alias("v0"), (F.col("vid") + 17).alias("v1"), (F.col("vid") + 16).alias("v2"))))
     return v, quads.select("mesh_id", two.alias("f")).select("mesh_id", "f.*")
 
 
-SHEET_V = f"(SELECT CAST(0 AS BIGINT) AS mesh_id, vec_id AS vid, CAST(vec_id % 16 AS DOUBLE) AS x, CAST(vec_id // 16 AS DOUBLE) AS y, {x.E(1)}*4 AS z FROM embeddings WHERE vec_id < 256)"
-SHEET_F = f"(SELECT mesh_id, vid*2 AS fid, vid AS v0, vid+1 AS v1, vid+16 AS v2 FROM {SHEET_V} WHERE x < 15 AND y < 15 UNION ALL SELECT mesh_id, vid*2+1, vid+1, vid+17, vid+16 FROM {SHEET_V} WHERE x < 15 AND y < 15)"
+SHEET_V = f"(SELECT vec_id // 256 AS mesh_id, vec_id AS vid, CAST(vec_id % 16 AS DOUBLE) AS x, CAST((vec_id % 256) // 16 AS DOUBLE) AS y, {x.E(1)}*4 AS z FROM embeddings)"
+QUADS = "x < 15 AND y < 15 AND vid+17 IN (SELECT vec_id FROM embeddings)"
+SHEET_F = f"(SELECT mesh_id, vid*2 AS fid, vid AS v0, vid+1 AS v1, vid+16 AS v2 FROM {SHEET_V} WHERE {QUADS} UNION ALL SELECT mesh_id, vid*2+1, vid+1, vid+17, vid+16 FROM {SHEET_V} WHERE {QUADS})"
 SHEET_E = f"(SELECT mesh_id, fid, least(p,q) AS u, greatest(p,q) AS v, o FROM (SELECT mesh_id, fid, v0 AS p, v1 AS q, v2 AS o FROM {SHEET_F} UNION ALL SELECT mesh_id, fid, v1, v2, v0 FROM {SHEET_F} UNION ALL SELECT mesh_id, fid, v2, v0, v1 FROM {SHEET_F}))"
 
 
-@op("A14_hull_energy", f"SELECT CAST(0 AS BIGINT) AS mesh_id, {R(energy=f'(SELECT 0.5*sum(z*z) FROM {SHEET_V}) + (SELECT sum(pow(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2)-1.44,2)) FROM (SELECT DISTINCT u, v FROM {SHEET_E}) e JOIN {SHEET_V} a ON a.vid = e.u JOIN {SHEET_V} b ON b.vid = e.v)')}")
+@op("A14_hull_energy", f"SELECT mesh_id, {R(energy='near+stretch')} FROM (SELECT mesh_id, 0.5*sum(z*z) AS near FROM {SHEET_V} GROUP BY 1) JOIN (SELECT e.mesh_id, sum(pow(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2)-1.44,2)) AS stretch FROM (SELECT DISTINCT mesh_id, u, v FROM {SHEET_E}) e JOIN {SHEET_V} a ON a.vid = e.u JOIN {SHEET_V} b ON b.vid = e.v GROUP BY 1) USING (mesh_id)")
 def hull_energy(spark, sf):
     v, f = grid_mesh(spark, sf)
     targets = v.select("mesh_id", "vid", F.col("x").alias("tx"), F.col("y").alias("ty"), F.lit(0.0).alias("tz"))
@@ -147,7 +149,7 @@ add("L11_initial_weights", lambda s, d: x.table(s, d, "embeddings").select("vec_
 SIZES = {axis: tensors.layer_sizes(n, [3, 3, 3], [2, 2, 3]) for axis, n in zip("hwd", x.GRID, strict=True)}
 add("L12_layer_sizes", lambda s, d: s.createDataFrame([(k + 1, *(SIZES[a][k] for a in "hwd")) for k in range(3)], "layer long, h long, w long, d long"), f"SELECT CAST(layer AS BIGINT) AS layer, CAST({H}//p AS BIGINT) AS h, CAST({W}//p AS BIGINT) AS w, CAST({D}//p AS BIGINT) AS d FROM (VALUES (1, 2), (2, 4), (3, 12)) t(layer, p)")
 add("L13_max_pool", lambda s, d: volume.pooled(x.volume(s, d), 2).select("sample_id", "h", "w", "d", r6(F.col("value")).alias("value")), f"SELECT sample_id, CAST(h//2 AS INT) AS h, CAST(w//2 AS INT) AS w, CAST(d//2 AS INT) AS d, {R(value='max(value)')} FROM {x.VOLUME} GROUP BY 1, 2, 3, 4")
-add("L13_upsample", lambda s, d: volume.upsampled(x.volume(s, d).where("sample_id < 50"), 2).select("sample_id", "h", "w", "d", r6(F.col("value")).alias("value")), f"SELECT sample_id, CAST(h*2+a AS INT) AS h, CAST(w*2+b AS INT) AS w, CAST(d*2+c AS INT) AS d, {R(value='value')} FROM {x.VOLUME}, (SELECT unnest(range(2)) AS a), (SELECT unnest(range(2)) AS b), (SELECT unnest(range(2)) AS c) WHERE sample_id < 50")
+add("L13_upsample", lambda s, d: volume.upsampled(x.volume(s, d), 2).select("sample_id", "h", "w", "d", r6(F.col("value")).alias("value")), f"SELECT sample_id, CAST(h*2+a AS INT) AS h, CAST(w*2+b AS INT) AS w, CAST(d*2+c AS INT) AS d, {R(value='value')} FROM {x.VOLUME}, (SELECT unnest(range(2)) AS a), (SELECT unnest(range(2)) AS b), (SELECT unnest(range(2)) AS c)")
 
 
 @op("L14_linear_layer", "WITH m AS (SELECT o, i, (o*7+i*3)%11/10.0-0.5 AS w FROM (SELECT unnest(range(4)) AS o), (SELECT unnest(range(64)) AS i)) SELECT vec_id, CAST(o AS INT) AS o, round(sum(w*CAST(embedding[i+1] AS DOUBLE)),6)+0.0 AS value FROM embeddings, m GROUP BY 1, 2")
@@ -170,8 +172,8 @@ def shape_reconstruction(spark, sf):
 add("O1_natural_order", lambda s, d: x.table(s, d, "documents").select("source").distinct().select("source", strings.natural_key(F.col("source")).alias("key")), "SELECT DISTINCT source, 'src' || lpad(replace(source, 'src', ''), 12, '0') AS key FROM documents")
 add("O2_latest", lambda s, d: x.table(s, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("latest")), "SELECT user_id, arg_max(event_type, event_id) AS latest FROM events GROUP BY 1")
 add("O3_every_nth", lambda s, d: sampling.every_nth(x.detections(s, d), "det_id", 3, "frame").select("frame", "det_id"), f"SELECT frame, det_id FROM {x.DETECTIONS} QUALIFY (row_number() OVER (PARTITION BY frame ORDER BY det_id)-1) % 3 = 0")
-add("O4_smallest_k", lambda s, d: spatial.radius_search(x.points(s, d).withColumnRenamed("point_id", "query_id").where("query_id < 40"), x.points(s, d), 12.0).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "point_id"))), 1, 2).alias("best")).select("query_id", F.explode("best").alias("b")).select("query_id", "b.point_id"),
-    f"SELECT q.point_id AS query_id, p.point_id FROM {x.POINTS} q JOIN {x.POINTS} p USING (cloud_id) WHERE q.point_id < 40 AND pow(q.x-p.x,2)+pow(q.y-p.y,2)+pow(q.z-p.z,2) <= 144 QUALIFY row_number() OVER (PARTITION BY q.point_id ORDER BY pow(q.x-p.x,2)+pow(q.y-p.y,2)+pow(q.z-p.z,2), p.point_id) <= 2")
+add("O4_smallest_k", lambda s, d: spatial.radius_search(x.points(s, d).withColumnRenamed("point_id", "query_id"), x.points(s, d), 12.0).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "point_id"))), 1, 2).alias("best")).select("query_id", F.explode("best").alias("b")).select("query_id", "b.point_id"),
+    f"SELECT q.point_id AS query_id, p.point_id FROM {x.POINTS} q JOIN {x.POINTS} p USING (cloud_id) WHERE pow(q.x-p.x,2)+pow(q.y-p.y,2)+pow(q.z-p.z,2) <= 144 QUALIFY row_number() OVER (PARTITION BY q.point_id ORDER BY pow(q.x-p.x,2)+pow(q.y-p.y,2)+pow(q.z-p.z,2), p.point_id) <= 2")
 add("O5_selection", lambda s, d: x.points(s, d).groupBy("cloud_id").agg(r6(F.percentile("y", F.lit(0.25))).alias("q1")), f"SELECT cloud_id, {R(q1='quantile_cont(y, 0.25)')} FROM {x.POINTS} GROUP BY 1")
 add("O6_disjoint_split", lambda s, d: sampling.exact_split(x.table(s, d, "documents"), "doc_id", {"train": 0.45, "test": 0.45, "val": 0.1}, "source"),
     "WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('split:'||doc_id), doc_id)-1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, doc_id, CASE WHEN k < floor(0.45*n) THEN 'train' WHEN k < 2*floor(0.45*n) THEN 'test' ELSE 'val' END AS part FROM r WHERE k < 2*floor(0.45*n)+floor(0.1*n)")

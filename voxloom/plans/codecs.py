@@ -5,13 +5,16 @@ The driver's tables hold no files, so objects are written as texts by the sinks
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from voxloom.operators import fitting, mesh, volume
 from voxloom.plans import fixtures as x
 from voxloom.plans.aggregates import SHEET_F, SHEET_V, grid_mesh
-from voxloom.plans.fixtures import Catalog, r6, rounded
+from voxloom.plans.fixtures import Catalog, R, r6, rounded
+from voxloom.plans.scratch import shared_folder, writer
 from voxloom.sources import binary, text, writers
 
 catalog = Catalog()
@@ -23,20 +26,33 @@ def r3(c) -> F.Column:
 
 
 def sheet(spark, sf):
+    """The sheets with vertices numbered from 0 in each."""
     v, f = grid_mesh(spark, sf)
-    return v.withColumn("z", r3(F.col("z"))), f
+    own = lambda df, *names: df.withColumns({n: F.col(n) - 256 * F.col("mesh_id") for n in names})
+    return own(v.withColumn("z", r3(F.col("z"))), "vid"), own(f, "v0", "v1", "v2")
+
+
+V3 = f"(SELECT mesh_id, vid-256*mesh_id AS vid, x, y, round(z, 3)+0.0 AS z FROM {SHEET_V})"
+F3 = f"(SELECT mesh_id, fid, v0-256*mesh_id AS v0, v1-256*mesh_id AS v1, v2-256*mesh_id AS v2 FROM {SHEET_F})"
+
 
+def mesh_text(head: str, vertex: str, face: str) -> str:
+    """SQL for a text of each mesh."""
+    v = f"(SELECT mesh_id, count(*) AS nv, string_agg({vertex}, '\n' ORDER BY vid) AS tv FROM {V3} GROUP BY 1)"
+    f = f"(SELECT mesh_id, count(*) AS nf, string_agg({face}, '\n' ORDER BY fid) AS tf FROM {F3} GROUP BY 1)"
+    return f"SELECT CAST(mesh_id AS VARCHAR) AS file_id, {head} || tv || '\n' || coalesce(tf || '\n', '') AS text FROM {v} LEFT JOIN {f} USING (mesh_id)"
 
-V3 = f"(SELECT mesh_id, vid, x, y, round(z, 3)+0.0 AS z FROM {SHEET_V})"
-OFF_TEXT = f"'OFF\n' || (SELECT count(*) FROM {V3}) || ' ' || (SELECT count(*) FROM {SHEET_F}) || ' 0\n' || (SELECT string_agg(x || ' ' || y || ' ' || z, '\n' ORDER BY vid) FROM {V3}) || '\n' || (SELECT string_agg('3 ' || v0 || ' ' || v1 || ' ' || v2, '\n' ORDER BY fid) FROM {SHEET_F}) || '\n'"
-OBJ_TEXT = f"(SELECT string_agg('v ' || x || ' ' || y || ' ' || z, '\n' ORDER BY vid) FROM {V3}) || '\n' || (SELECT string_agg('f ' || (v0+1) || ' ' || (v1+1) || ' ' || (v2+1), '\n' ORDER BY fid) FROM {SHEET_F}) || '\n'"
-add("K2_write_off", lambda s, d: writers.off(*sheet(s, d)), f"SELECT '0' AS file_id, {OFF_TEXT} AS text")
-add("K3_write_obj", lambda s, d: writers.obj(*sheet(s, d)), f"SELECT '0' AS file_id, {OBJ_TEXT} AS text")
+
+OFF_TEXT = mesh_text("'OFF\n' || nv || ' ' || coalesce(nf, 0) || ' 0\n'", "x || ' ' || y || ' ' || z", "'3 ' || v0 || ' ' || v1 || ' ' || v2")
+OBJ_TEXT = mesh_text("''", "'v ' || x || ' ' || y || ' ' || z", "'f ' || (v0+1) || ' ' || (v1+1) || ' ' || (v2+1)")
+VERTICES = f"SELECT CAST(mesh_id AS VARCHAR) AS file_id, vid, x, y, z FROM {V3}"
+add("K2_write_off", lambda s, d: writers.off(*sheet(s, d)), OFF_TEXT)
+add("K3_write_obj", lambda s, d: writers.obj(*sheet(s, d)), OBJ_TEXT)
 one_line = lambda files: files.withColumn("text", F.regexp_replace("text", "^OFF\n", "OFF"))
-add("S2_read_off", lambda s, d: text.parse_off(writers.off(*sheet(s, d)))[0].select("vid", "x", "y", "z"), f"SELECT vid, x, y, z FROM {V3}")
-add("S2_read_off_faces", lambda s, d: text.parse_off(one_line(writers.off(*sheet(s, d))))[1].select("fid", "v0", "v1", "v2"), f"SELECT row_number() OVER (ORDER BY fid)-1 AS fid, v0, v1, v2 FROM {SHEET_F}")
-add("S3_read_obj", lambda s, d: text.parse_obj(writers.obj(*sheet(s, d)))[0].select("vid", "x", "y", "z"), f"SELECT vid, x, y, z FROM {V3}")
-add("K13_off_to_obj", lambda s, d: convert(writers.off(*sheet(s, d))), f"SELECT '0' AS file_id, {OBJ_TEXT} AS text")
+add("S2_read_off", lambda s, d: text.parse_off(writers.off(*sheet(s, d)))[0].select("file_id", "vid", "x", "y", "z"), VERTICES)
+add("S2_read_off_faces", lambda s, d: text.parse_off(one_line(writers.off(*sheet(s, d))))[1].select("file_id", "fid", "v0", "v1", "v2"), f"SELECT CAST(mesh_id AS VARCHAR) AS file_id, row_number() OVER (PARTITION BY mesh_id ORDER BY fid)-1 AS fid, v0, v1, v2 FROM {F3}")
+add("S3_read_obj", lambda s, d: text.parse_obj(writers.obj(*sheet(s, d)))[0].select("file_id", "vid", "x", "y", "z"), VERTICES)
+add("K13_off_to_obj", lambda s, d: convert(writers.off(*sheet(s, d))), OBJ_TEXT)
 
 
 def convert(files):
@@ -97,8 +113,8 @@ def poses(spark, sf):
 
 
 add("K10_write_detections", lambda s, d: writers.detections(poses(s, d), "frame"), f"SELECT CAST(frame AS VARCHAR) AS file_id, string_agg(frame || ' ' || box_id || ' Car -1 -1 -10 0 0 0 0 2 2 4.2 ' || tx || ' ' || ty || ' ' || tz || ' 0.0 1', '\n' ORDER BY box_id) || '\n' AS text FROM {BOXED} GROUP BY frame")
-matrix = lambda s, d: x.volume(s, d).where("sample_id < 100").select("sample_id", (F.col("h") * 4 + F.col("w")).cast("long").alias("row"), F.col("d").cast("long").alias("col"), r3(F.col("value")).alias("value"))
-MATRIX = f"(SELECT sample_id, CAST(h*4+w AS BIGINT) AS row, CAST(d AS BIGINT) AS col, round(value,3)+0.0 AS value FROM {x.VOLUME} WHERE sample_id < 100)"
+matrix = lambda s, d: x.volume(s, d).select("sample_id", (F.col("h") * 4 + F.col("w")).cast("long").alias("row"), F.col("d").cast("long").alias("col"), r3(F.col("value")).alias("value"))
+MATRIX = f"(SELECT sample_id, CAST(h*4+w AS BIGINT) AS row, CAST(d AS BIGINT) AS col, round(value,3)+0.0 AS value FROM {x.VOLUME})"
 add("K9_write_matrix", lambda s, d: writers.matrix_csv(matrix(s, d), "sample_id"), f"SELECT CAST(sample_id AS VARCHAR) AS file_id, string_agg(value, ',' ORDER BY row, col) AS text FROM {MATRIX} GROUP BY sample_id")
 add("S13_read_matrix", lambda s, d: text.parse_matrix_csv(writers.matrix_csv(matrix(s, d), "sample_id"), 4), f"SELECT CAST(sample_id AS VARCHAR) AS file_id, row, col, value FROM {MATRIX}")
 
@@ -176,12 +192,12 @@ def read_binvox(spark, sf):
 add("K7_binvox_runs", RUNS, f"WITH c AS (SELECT sample_id, (h*4+w)*4+d AS k, CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END AS value FROM {x.VOLUME}), g AS (SELECT sample_id, value, min(k) AS f, count(*) AS n FROM (SELECT *, k - row_number() OVER (PARTITION BY sample_id, value ORDER BY k) AS i FROM c) GROUP BY sample_id, value, i) SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY f)-1 AS run, CAST(value AS DOUBLE) AS value, n FROM g")
 
 
-@op("S5_read_m", f"SELECT vid, x, y, z FROM {V3}")
+@op("S5_read_m", VERTICES)
 def read_m(spark, sf):
     v, f = sheet(spark, sf)
-    lines = v.select(F.concat(F.lit("Vertex "), (F.col("vid") + 1).cast("string"), F.lit(" "), writers.coordinates("x", "y", "z")).alias("line"), "vid")
-    files = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vid", "line"))), lambda r: r["line"]), "\n").alias("text")).withColumn("file_id", F.lit("0"))
-    return text.parse_m(files)[0].select("vid", "x", "y", "z")
+    lines = v.select(F.concat(F.lit("Vertex "), (F.col("vid") + 1).cast("string"), F.lit(" "), writers.coordinates("x", "y", "z")).alias("line"), "vid", F.col("mesh_id").cast("string").alias("file_id"))
+    files = lines.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vid", "line"))), lambda r: r["line"]), "\n").alias("text"))
+    return text.parse_m(files)[0].select("file_id", "vid", "x", "y", "z")
 
 
 def tracklet_texts(spark, sf):
@@ -198,10 +214,12 @@ add("S10_read_tracklets", lambda s, d: text.parse_tracklets(tracklet_texts(s, d)
     f"SELECT CAST(frame AS VARCHAR) AS file_id, 'Car' AS object_type, sx AS h, box_id AS first_frame, box_id+k AS frame, CASE WHEN k = 0 THEN tx ELSE ty END AS tx, CASE WHEN k = 0 THEN ty ELSE tx END AS ty, rz, CAST(-1 AS INT) AS truncation FROM {BOXED}, (SELECT unnest(range(2)) AS k)")
 
 
-@op("K1_tensor_columns", f"SELECT sample_id, count(*) AS n FROM {x.VOLUME} GROUP BY 1")
-def tensor_columns(spark, sf):
-    """The landing layout of tensors: long rows, a sample's rows together and in order."""
-    return x.volume(spark, sf).repartition("sample_id").sortWithinPartitions("sample_id", "h", "w", "d").groupBy("sample_id").agg(F.count("*").alias("n"))
+@op("K1_landed_tensors", f"SELECT sample_id, h, w, d, {R(value='value')} FROM {x.VOLUME}")
+def landed_tensors(spark, sf):
+    """Tensors written to the shared folder, a sample's rows together and in order, and read back."""
+    path = f"{shared_folder(spark)}/tensors-{uuid.uuid4().hex}"
+    binary.write_tensor(x.volume(spark, sf), path)
+    return binary.read_tensor(spark, path).select("sample_id", "h", "w", "d", r6(F.col("value")).alias("value"))
 
 
 # Iterative fits: rows only; tests recover known motions and shapes.
@@ -242,5 +260,12 @@ def small_clouds(spark, sf):
 add("G4_shape_fit", lambda s, d: fitting.shape_fits(small_clouds(s, d), *model(), pose=False).select("cloud_id", F.round(F.get("z", 0), 3).alias("z0"), F.round("cost", 3).alias("cost")))
 add("G5_pose_fit", lambda s, d: fitting.shape_fits(small_clouds(s, d), *model()).select("cloud_id", F.round("yaw", 2).alias("yaw"), F.round("cost", 2).alias("cost")))
 add("G6_alternating_fit", lambda s, d: fitting.shape_fits(small_clouds(s, d), *model()).select("cloud_id", F.round("cost", 2).alias("cost")))
-add("G8_surface", lambda s, d: fitting.surface(x.volume(s, d).where("sample_id < 50"), (4, 4, 4)).groupBy("sample_id").agg(F.count("*").alias("triangles")))
-add("G10_hull_step", lambda s, d: mesh.smoothed_values(grid_mesh(s, d)[0].withColumnRenamed("z", "value"), grid_mesh(s, d)[1]).select("mesh_id", "vid", r6(F.col("value")).alias("value")))
+add("G8_surface", lambda s, d: fitting.surface(x.volume(s, d), (4, 4, 4)).groupBy("sample_id").agg(F.count("*").alias("triangles")))
+
+
+@op("G10_hull_descent")
+def hull_descent(spark, sf):
+    """Three steps of gradient descent on the hull energy (A14); tests hold them against numpy."""
+    v, f = grid_mesh(spark, sf)
+    targets = v.select("mesh_id", "vid", F.col("x").alias("tx"), F.col("y").alias("ty"), F.lit(0.0).alias("tz"))
+    return mesh.hull_descent(f, v, targets, 0.5, 1.2, 0.01, 3, writer(spark)).select("mesh_id", "vid", *rounded(**{c: F.col(c) for c in "xyz"}))

@@ -39,18 +39,18 @@ POINTS = f"(SELECT vec_id AS point_id, CAST(label AS BIGINT) AS cloud_id, {XYZ(1
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id < 20").select(
+    return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("box_id"), (12 + 40 * F.abs(e(4))).alias("sx"), (8 + 20 * F.abs(e(5))).alias("sy"), (8 + 20 * F.abs(e(6))).alias("sz"), *xyz(7, "tx", "ty", "tz"), (e(10) * math.pi).alias("yaw"))
 
 
-BOXES = f"(SELECT vec_id AS box_id, 12+40*abs({E(4)}) AS sx, 8+20*abs({E(5)}) AS sy, 8+20*abs({E(6)}) AS sz, {XYZ(7, 'tx', 'ty', 'tz')}, {E(10)}*pi() AS yaw FROM embeddings WHERE vec_id < 20)"
+BOXES = f"(SELECT vec_id AS box_id, 12+40*abs({E(4)}) AS sx, 8+20*abs({E(5)}) AS sy, 8+20*abs({E(6)}) AS sz, {XYZ(7, 'tx', 'ty', 'tz')}, {E(10)}*pi() AS yaw FROM embeddings)"
 
 
 def rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).where("point_id < 50").withColumnRenamed("point_id", "ray_id")
+    return points(spark, sf_dir).withColumnRenamed("point_id", "ray_id")
 
 
-RAYS = f"(SELECT point_id AS ray_id, cloud_id, x, y, z FROM {POINTS} WHERE point_id < 50)"
+RAYS = f"(SELECT point_id AS ray_id, cloud_id, x, y, z FROM {POINTS})"
 
 
 def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +89,14 @@ def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 CODES = "(SELECT vec_id AS sample_id, CAST(k AS INT) AS dim, CAST(embedding[k+1] AS DOUBLE) AS mu, CAST(embedding[k+33] AS DOUBLE) AS lv FROM embeddings, (SELECT unnest(range(32)) AS k))"
 
 
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference sizes."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("box_id"), (12 + 40 * F.abs(e(11))).alias("sx"), (8 + 20 * F.abs(e(12))).alias("sy"), (8 + 20 * F.abs(e(13))).alias("sz"))
+
+
+SIZES = f"(SELECT vec_id AS box_id, 12+40*abs({E(11)}) AS sx, 8+20*abs({E(12)}) AS sy, 8+20*abs({E(13)}) AS sz FROM embeddings)"
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, top = 50 + 100 * e(20), 50 + 100 * e(21)
     return table(spark, sf_dir, "embeddings").select(

@@ -37,27 +37,27 @@ INSIDE = "abs(cos(yaw)*(x-tx)+sin(yaw)*(z-tz)) <= sx/2 AND abs(y-ty) <= sy/2 AND
 catalog.add("J4_crop_by_frame", lambda s, d: spatial.crop_to_boxes(x.points(s, d).withColumn("frame", F.col("point_id") % 5), x.boxes(s, d).withColumn("frame", F.col("box_id") % 5)).select("box_id", "point_id"), f"SELECT box_id, point_id FROM {x.POINTS} p JOIN {x.BOXES} b ON p.point_id % 5 = b.box_id % 5 WHERE {INSIDE}")
 
 
-@catalog.op("J5_position_mapping", "WITH m AS (SELECT vec_id AS pos, label AS drive FROM embeddings), r AS (SELECT vec_id AS j, (vec_id*7+3) % 500 + 1 AS v FROM embeddings WHERE vec_id < 500) SELECT j, CAST(drive AS BIGINT) AS drive FROM r JOIN m ON m.pos = r.v - 1")
+@catalog.op("J5_position_mapping", "WITH m AS (SELECT vec_id AS pos, label AS drive FROM embeddings), r AS (SELECT vec_id AS j, (vec_id*7+3) % (SELECT count(*) FROM embeddings) + 1 AS v FROM embeddings) SELECT j, CAST(drive AS BIGINT) AS drive FROM r JOIN m ON m.pos = r.v - 1")
 def position_mapping(spark, sf):
     vectors = x.table(spark, sf, "embeddings")
     mapping = vectors.select(F.col("vec_id").alias("pos"), F.col("label").cast("long").alias("drive"))
-    shuffled = vectors.where("vec_id < 500").select(F.col("vec_id").alias("j"), ((F.col("vec_id") * 7 + 3) % 500).alias("pos"))
+    shuffled = vectors.select(F.col("vec_id").alias("j"), ((F.col("vec_id") * 7 + 3) % vectors.count()).alias("pos"))
     return shuffled.join(mapping, "pos").select("j", "drive")
 
 
 catalog.add("J6_frame_neighbourhood", lambda s, d: spatial.frame_neighbours(x.frames(s, d), 10, 5), f'SELECT a.track, a.frame, o AS "offset", b.frame AS other FROM {x.FRAMES} a, (SELECT CAST(unnest([-10,-5,5,10]) AS BIGINT) AS o) k, {x.FRAMES} b WHERE b.track = a.track AND b.frame = a.frame + o')
 
 
-@catalog.op("J7_nearest_size", f"WITH q AS (SELECT * FROM {x.BOXES}), p AS (SELECT q.box_id, r.box_id AS ref_id, sqrt((q.sx-r.sx)*(q.sx-r.sx)+(q.sy-r.sy)*(q.sy-r.sy)+(q.sz-r.sz)*(q.sz-r.sz)) AS distance FROM q, q r WHERE r.box_id >= 10) SELECT box_id, ref_id, round(distance,6)+0.0 AS distance FROM p QUALIFY row_number() OVER (PARTITION BY box_id ORDER BY p.distance, ref_id) = 1")
+@catalog.op("J7_nearest_size", f"WITH q AS (SELECT * FROM {x.BOXES}), p AS (SELECT q.box_id, r.box_id AS ref_id, sqrt((q.sx-r.sx)*(q.sx-r.sx)+(q.sy-r.sy)*(q.sy-r.sy)+(q.sz-r.sz)*(q.sz-r.sz)) AS distance FROM q, {x.SIZES} r) SELECT box_id, ref_id, round(distance,6)+0.0 AS distance FROM p QUALIFY row_number() OVER (PARTITION BY box_id ORDER BY p.distance, ref_id) = 1")
 def nearest_size(spark, sf):
     b = x.boxes(spark, sf)
-    return spatial.nearest_size(b, b.where("box_id >= 10")).select("box_id", "ref_id", r6(F.col("distance")).alias("distance"))
+    return spatial.nearest_size(b, x.sizes(spark, sf), writer(spark)).select("box_id", "ref_id", r6(F.col("distance")).alias("distance"))
 
 
-@catalog.op("J8_same_size", f"SELECT q.box_id, max(r.box_id) AS ref_id FROM {x.BOXES} q, (SELECT * FROM {x.BOXES} UNION ALL SELECT box_id+100, sx, sy, sz, tx, ty, tz, yaw FROM {x.BOXES} WHERE box_id % 2 = 0) r WHERE (q.sx-r.sx)*(q.sx-r.sx)+(q.sy-r.sy)*(q.sy-r.sy)+(q.sz-r.sz)*(q.sz-r.sz) <= 1e-10*least(q.sx*q.sx+q.sy*q.sy+q.sz*q.sz, r.sx*r.sx+r.sy*r.sy+r.sz*r.sz) GROUP BY q.box_id")
+@catalog.op("J8_same_size", f"SELECT q.box_id, max(r.box_id) AS ref_id FROM {x.BOXES} q, (SELECT * FROM {x.BOXES} UNION ALL SELECT box_id+(SELECT max(vec_id)+1 FROM embeddings), sx, sy, sz, tx, ty, tz, yaw FROM {x.BOXES} WHERE box_id % 2 = 0) r WHERE (q.sx-r.sx)*(q.sx-r.sx)+(q.sy-r.sy)*(q.sy-r.sy)+(q.sz-r.sz)*(q.sz-r.sz) <= 1e-10*least(q.sx*q.sx+q.sy*q.sy+q.sz*q.sz, r.sx*r.sx+r.sy*r.sy+r.sz*r.sz) GROUP BY q.box_id")
 def same_size(spark, sf):
     b = x.boxes(spark, sf)
-    return spatial.same_size(b, b.unionByName(b.where("box_id % 2 = 0").withColumn("box_id", F.col("box_id") + 100)))
+    return spatial.same_size(b, b.unionByName(b.where("box_id % 2 = 0").crossJoin(F.broadcast(b.agg((F.max("box_id") + 1).alias("more")))).withColumn("box_id", F.col("box_id") + F.col("more")).drop("more")))
 
 
 @catalog.op("J9_used_match", "WITH e AS (SELECT label AS g, vec_id AS position, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS j FROM embeddings WHERE vec_id % 3 <> 0) SELECT CAST(g AS BIGINT) AS \"group\", j, position FROM e WHERE j < 5")
@@ -184,16 +184,16 @@ def trajectories(spark, sf):
 catalog.add("U1_cloud_union", lambda s, d: x.points(s, d).select("point_id", "cloud_id").unionByName(x.rays(s, d).select(F.col("ray_id").alias("point_id"), "cloud_id")).groupBy("cloud_id").agg(F.count("*").alias("n")), f"SELECT cloud_id, count(*) AS n FROM (SELECT point_id, cloud_id FROM {x.POINTS} UNION ALL SELECT ray_id, cloud_id FROM {x.RAYS}) GROUP BY 1")
 
 
-@catalog.op("U2_voxel_cubes", f"SELECT sample_id, 8*count(*) AS vertices, 12*count(*) AS faces, CAST(sum(8*(w+h+d)+12) AS BIGINT) AS total FROM {x.VOLUME} WHERE value > 0.5 AND sample_id < 100 GROUP BY 1")
+@catalog.op("U2_voxel_cubes", f"SELECT sample_id, 8*count(*) AS vertices, 12*count(*) AS faces, CAST(sum(8*(w+h+d)+12) AS BIGINT) AS total FROM {x.VOLUME} WHERE value > 0.5 GROUP BY 1")
 def voxel_cubes(spark, sf):
-    vertices, faces = volume.cubes(volume.sparse(x.volume(spark, sf).where("sample_id < 100")))
+    vertices, faces = volume.cubes(volume.sparse(x.volume(spark, sf)))
     counted = vertices.groupBy("sample_id").agg(F.count("*").alias("vertices"), F.sum(F.col("x") + F.col("y") + F.col("z")).cast("long").alias("total"))
     return counted.join(faces.groupBy("sample_id").agg(F.count("*").alias("faces")), "sample_id")
 
 
 catalog.add("U3_mask_union", lambda s, d: x.volume(s, d).where("value > 2").select("h", "w", "d").union(x.volume(s, d).where("value < -2").select("h", "w", "d")).distinct(), f"SELECT h, w, d FROM {x.VOLUME} WHERE value > 2 UNION SELECT h, w, d FROM {x.VOLUME} WHERE value < -2")
 catalog.add("U3_mask_intersection", lambda s, d: x.volume(s, d).where("value > 4 AND sample_id % 2 = 0").select("h", "w", "d").intersect(x.volume(s, d).where("value > 4 AND sample_id % 2 = 1").select("h", "w", "d")), f"SELECT h, w, d FROM {x.VOLUME} WHERE value > 4 AND sample_id % 2 = 0 INTERSECT SELECT h, w, d FROM {x.VOLUME} WHERE value > 4 AND sample_id % 2 = 1")
-catalog.add("U4_tensor_append", lambda s, d: volume.appended(x.volume(s, d), x.volume(s, d).where("sample_id < 10")).groupBy("sample_id").agg(r6(F.sum("value")).alias("total")), f"WITH v AS (SELECT * FROM {x.VOLUME}) SELECT sample_id, {R(total='sum(value)')} FROM (SELECT sample_id, value FROM v UNION ALL SELECT sample_id + (SELECT max(sample_id)+1 FROM v), value FROM v WHERE sample_id < 10) GROUP BY 1")
+catalog.add("U4_tensor_append", lambda s, d: volume.appended(x.volume(s, d), x.volume(s, d).withColumn("value", F.col("value") * 2)).groupBy("sample_id").agg(r6(F.sum("value")).alias("total")), f"WITH v AS (SELECT * FROM {x.VOLUME}) SELECT sample_id, {R(total='sum(value)')} FROM (SELECT sample_id, value FROM v UNION ALL SELECT sample_id + (SELECT max(sample_id)+1 FROM v), value*2 FROM v) GROUP BY 1")
 catalog.add("U4_channels", lambda s, d: volume.stacked(x.volume(s, d), x.volume(s, d).withColumn("value", -F.col("value"))).groupBy("sample_id", "channel").agg(r6(F.max("value")).alias("top")), f"SELECT sample_id, channel, round(max(value),6)+0.0 AS top FROM (SELECT sample_id, 0 AS channel, value FROM {x.VOLUME} UNION ALL SELECT sample_id, 1, -value FROM {x.VOLUME}) GROUP BY 1, 2")
 
 # Windows.

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from voxloom.functions import geometry as g
-from voxloom.operators import spatial
+from voxloom.operators import volume, spatial
 from voxloom.plans import fixtures as x
 from voxloom.plans.fixtures import R, Catalog, rounded
 
@@ -67,10 +67,11 @@ over_points("F13_keep_road", lambda: {n: F.when((F.col("y") < 8) & (F.col("x") *
             {n: f"CASE WHEN y < 8 AND x*x+z*z < 1600 THEN {n} ELSE 0 END" for n in "xyz"})
 
 
-@catalog.op("P11_box_canonical", f"SELECT point_id, box_id, {R(x='(cos(yaw)*(x-tx)+sin(yaw)*(z-tz))*54/sx', y='(y-ty)*54/sx', z='(cos(yaw)*(z-tz)-sin(yaw)*(x-tx))*54/sx')} FROM {x.POINTS}, {x.BOXES} WHERE point_id < 200")
+@catalog.op("P11_box_canonical", f"SELECT point_id, box_id, {R(x='(cos(yaw)*(x-tx)+sin(yaw)*(z-tz))*54/sx', y='(y-ty)*54/sx', z='(cos(yaw)*(z-tz)-sin(yaw)*(x-tx))*54/sx')} FROM {x.POINTS}, {x.BOXES} WHERE abs(cos(yaw)*(x-tx)+sin(yaw)*(z-tz)) <= sx/2 AND abs(y-ty) <= sy/2 AND abs(cos(yaw)*(z-tz)-sin(yaw)*(x-tx)) <= sz/2")
 def box_canonical(spark, sf):
-    """Points of a frame in each box's own coordinates; the boxes' number is checked before they are broadcast."""
-    both = spatial.beside_few(x.points(spark, sf).where("point_id < 200"), x.boxes(spark, sf), "box_id")
+    """The points of each box in the box's own coordinates."""
+    boxes = x.boxes(spark, sf)
+    both = spatial.points_in_boxes(x.points(spark, sf), boxes).select("box_id", "point_id", "x", "y", "z").join(boxes, "box_id")
     return both.select("point_id", "box_id", *rounded(**named(g.canonical(P, g.vec("sx", "sy", "sz"), g.vec("tx", "ty", "tz"), F.col("yaw"), 54))))
 
 
@@ -97,12 +98,12 @@ def look_at(spark, sf):
     return x.points(spark, sf).select("point_id", *rounded(f=view[2][0], k=g.intrinsics(50, 45, 27, 12)[0][0], r11=plane[0][0]))
 
 
-@catalog.op("P16_pixel_normals", f"""WITH v AS (SELECT vec_id AS img, CAST(k//8 AS INT) AS v, CAST(k%8 AS INT) AS u, CAST(k%8 AS DOUBLE) AS x, CAST(k//8 AS DOUBLE) AS y, CAST(embedding[k+1] AS DOUBLE)*5 AS z FROM embeddings, (SELECT unnest(range(64)) AS k) WHERE vec_id < 100)
+@catalog.op("P16_pixel_normals", f"""WITH v AS (SELECT vec_id AS img, CAST(k//8 AS INT) AS v, CAST(k%8 AS INT) AS u, CAST(k%8 AS DOUBLE) AS x, CAST(k//8 AS DOUBLE) AS y, CAST(embedding[k+1] AS DOUBLE)*5 AS z FROM embeddings, (SELECT unnest(range(64)) AS k))
 SELECT a.img, a.v, a.u, {R(nx='-(b.z-a.z)/sqrt((b.z-a.z)*(b.z-a.z)+(c.z-a.z)*(c.z-a.z)+1)', ny='-(c.z-a.z)/sqrt((b.z-a.z)*(b.z-a.z)+(c.z-a.z)*(c.z-a.z)+1)', nz='1/sqrt((b.z-a.z)*(b.z-a.z)+(c.z-a.z)*(c.z-a.z)+1)')}
 FROM v a JOIN v b ON a.img=b.img AND b.v=a.v AND b.u=a.u+1 JOIN v c ON a.img=c.img AND c.u=a.u AND c.v=a.v+1""")
 def pixel_normals(spark, sf):
     k = F.col("k")
-    grid = x.table(spark, sf, "embeddings").where("vec_id < 100").select(F.col("vec_id").alias("img"), F.posexplode("embedding").alias("k", "e"))
+    grid = x.table(spark, sf, "embeddings").select(F.col("vec_id").alias("img"), F.posexplode("embedding").alias("k", "e"))
     grid = grid.select("img", F.floor(k / 8).cast("int").alias("v"), (k % 8).alias("u"), (k % 8).cast("double").alias("x"), F.floor(k / 8).cast("double").alias("y"), (F.col("e").cast("double") * 5).alias("z"))
     return spatial.pixel_normals(grid, "img").select("img", "v", "u", *rounded(nx=F.col("nx"), ny=F.col("ny"), nz=F.col("nz")))
 
@@ -168,12 +169,12 @@ def ray_box(spark, sf):
 
 A, B, C = g.vec("ax", "ay", "az"), g.vec("kx", "ky", "kz"), g.vec("cx", "cy", "cz")
 RT = """SELECT ray_id, fid, e2x*qx+e2y*qy+e2z*qz AS tn, det, -ax*px-ay*py-az*pz AS un, x*qx+y*qy+z*qz AS vn FROM (SELECT *, -ay*e1z+az*e1y AS qx, -az*e1x+ax*e1z AS qy, -ax*e1y+ay*e1x AS qz, e1x*px+e1y*py+e1z*pz AS det FROM (
-SELECT *, y*e2z-z*e2y AS px, z*e2x-x*e2z AS py, x*e2y-y*e2x AS pz FROM (SELECT *, kx-ax AS e1x, ky-ay AS e1y, kz-az AS e1z, cx-ax AS e2x, cy-ay AS e2y, cz-az AS e2z FROM {rays}, {triangles} WHERE fid < 200)))"""
+SELECT *, y*e2z-z*e2y AS px, z*e2x-x*e2z AS py, x*e2y-y*e2x AS pz FROM (SELECT *, kx-ax AS e1x, ky-ay AS e1y, kz-az AS e1z, cx-ax AS e2x, cy-ay AS e2y, cz-az AS e2z FROM {rays}, {triangles})))"""
 
 
 @catalog.op("F5_ray_triangle", f"SELECT ray_id, fid, {R(t='tn/det')} FROM ({RT.format(rays=x.RAYS, triangles=x.TRIANGLES)}) WHERE abs(det) > 1e-6 AND un/det BETWEEN 0 AND 1 AND vn/det >= 0 AND un/det+vn/det <= 1")
 def ray_triangle(spark, sf):
-    both = spatial.beside_few(x.triangles(spark, sf).where("fid < 200"), x.rays(spark, sf), "ray_id")
+    both = spatial.beside_few(x.triangles(spark, sf), x.rays(spark, sf), "ray_id")
     return both.withColumn("hit", g.ray_triangle(lits(0, 0, 0), P, A, B, C)).where("hit IS NOT NULL").select("ray_id", "fid", *rounded(t=F.col("hit")))
 
 
@@ -186,15 +187,16 @@ def triangle_box(spark, sf):
 AREA = "(({p}y-y)*({q}x-x)-({p}x-x)*({q}y-y))"
 
 
-@catalog.op("F7_point_in_triangle", f"SELECT point_id, fid FROM {x.POINTS} p JOIN (SELECT * FROM {x.TRIANGLES} WHERE fid < 200) t ON p.cloud_id = t.mesh_id WHERE sign({AREA.format(p='k', q='c')}) = sign({AREA.format(p='c', q='a')}) AND sign({AREA.format(p='c', q='a')}) = sign({AREA.format(p='a', q='k')})")
+@catalog.op("F7_point_in_triangle", f"SELECT point_id, fid FROM {x.POINTS} p JOIN {x.TRIANGLES} t ON p.cloud_id = t.mesh_id WHERE sign({AREA.format(p='k', q='c')}) = sign({AREA.format(p='c', q='a')}) AND sign({AREA.format(p='c', q='a')}) = sign({AREA.format(p='a', q='k')})")
 def point_in_triangle(spark, sf):
-    both = x.points(spark, sf).join(x.triangles(spark, sf).where("fid < 200"), F.col("cloud_id") == F.col("mesh_id"))
+    both = x.points(spark, sf).join(x.triangles(spark, sf), F.col("cloud_id") == F.col("mesh_id"))
     return both.where(g.point_in_triangle_2d(P[:2], A[:2], B[:2], C[:2])).select("point_id", "fid")
 
 
 counted("F8_type_filter", lambda s, d: x.table(s, d, "events").where(F.lower("event_type") == "purchase").select("event_id"), "SELECT event_id FROM events WHERE lower(event_type) = 'purchase'")
 counted("F9_min_points", lambda s, d: spatial.boxes_with_points(x.points(s, d), x.boxes(s, d), 50), f"SELECT box_id, count(*) AS n FROM {x.POINTS}, {x.BOXES} WHERE {IN_BOX} GROUP BY box_id HAVING count(*) >= 50")
 counted("F10_valid_depth", lambda s, d: x.points(s, d).where("z < 12").select("point_id"), f"SELECT point_id FROM {x.POINTS} WHERE z < 12")
+counted("F11_non_empty_samples", lambda s, d: volume.non_empty(x.volume(s, d))[0].select("sample_id", "h", "w", "d", *rounded(value=F.col("value"))), f"SELECT sample_id, h, w, d, {R(value='value')} FROM {x.VOLUME} WHERE sample_id IN (SELECT sample_id FROM {x.VOLUME} GROUP BY 1 HAVING sum(value) > 0)")
 counted("F12_exclude_list", lambda s, d: spatial.without(x.table(s, d, "documents").select("doc_id", "lang"), x.table(s, d, "labels").where("toxic = 1").select("doc_id"), "doc_id"), "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 counted("F14_crop_to_rectangle", lambda s, d: spatial.crop_to_detection(x.points(s, d).withColumn("frame", F.col("point_id") % 50), x.detections(s, d), 15.0).select("det_id", "point_id"),
         f"SELECT det_id, point_id FROM {x.POINTS} p JOIN {x.DETECTIONS} d ON p.point_id % 50 = d.frame WHERE x+30 >= l AND x+30 < r AND y+40 >= t AND y+40 < b AND NOT (abs(x) < 1 AND abs(y) < 1 AND abs(z) < 1) AND (x-27)*(x-27)+(y-12)*(y-12)+(z-12)*(z-12) <= 225")
