@@ -38,6 +38,8 @@ WORDS = 8
 BITS = 64 * WORDS
 #: Words of the fingerprints that are compared in full keys.
 FINE = 4 * WORDS
+#: Bits of a node's number within a member of a key.
+CUT = 56
 #: A key of more documents than this is full: its documents meet the first of them, and later those of other classes.
 FULL = 8
 
@@ -91,7 +93,7 @@ def segments(documents: int, similarity: float, recall: float) -> list[list[int]
 
 
 def entries(prints: DataFrame, cut: list[list[int]]) -> DataFrame:
-    """(key, node): of each table the segment itself and its deletion variants."""
+    """(key, member): of each table the segment itself and its deletion variants. member: the node, and above it 1 + the deleted bit, or 0."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -106,10 +108,23 @@ def entries(prints: DataFrame, cut: list[list[int]]) -> DataFrame:
                     row, place = np.nonzero(mine)
                     every = np.concatenate([value, value[row] ^ (np.uint64(1) << place.astype(np.uint64))])
                     keys.append(np.uint64(t << len(places)) | every)  # plain numbers, as their leading zeros are shuffled for nothing
-                    nodes.append(np.concatenate([node[at : at + 2048], node[at : at + 2048][row]]))
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes)})
+                    nodes.append(np.concatenate([node[at : at + 2048], node[at : at + 2048][row] | (place + 1) << CUT]))
+                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "member": np.concatenate(nodes)})
 
-    return prints.select("node", "print").mapInPandas(of, "key long, node long")
+    return prints.select("node", "print").mapInPandas(of, "key long, member long")
+
+
+def node_of(member: Column) -> Column:
+    return member.bitwiseAND(F.lit((1 << CUT) - 1))
+
+
+def cut_of(member: Column) -> Column:
+    return F.shiftright(member, CUT)
+
+
+def alike(x: Column, y: Column) -> Column:
+    """Whether two members of a key have the same bit deleted: then their segments are equal, and meet as they are, too."""
+    return (cut_of(x) == cut_of(y)) & (cut_of(x) > 0)
 
 
 def apart(a: str, b: str) -> Column:
@@ -137,17 +152,19 @@ class Finder:
         return self.docs.select("doc_id", hashed_rows(self.docs).alias("row_hash"), F.pandas_udf(of, "array<long>")("text").alias("print"))
 
     def met(self) -> DataFrame:
-        """Of keys up to FULL nodes their pairs (a, b) without a key, of fuller ones (key, first node, node).
+        """Of keys up to FULL nodes their pairs (a, b) without a key, of fuller ones (key, first node a, node b, member).
 
-        One shuffle by key serves all of it.
+        One shuffle by key serves all of it. A key in which all have the same bit deleted says no more than their whole segment.
         """
         every = entries(self.prints, segments(self.prints.count(), self.similarity, self.recall)).repartition("key")
-        shared = every.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
+        shared = every.groupBy("key").agg(F.count("*").alias("n"), F.min("member").alias("first"), F.max(cut_of(F.col("member"))).alias("last_cut"))
+        shared = shared.where((F.col("n") > 1) & ((F.col("last_cut") == 0) | (cut_of(F.col("first")) < F.col("last_cut")))).drop("last_cut")
         held = every.join(shared, "key")
-        few = held.where(f"n <= {FULL}").groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
-        pairs = F.flatten(F.transform("nodes", lambda x, i: F.transform(F.slice("nodes", i + 2, FULL), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-        few = few.select(F.explode(pairs).alias("p")).select(F.lit(None).cast("long").alias("key"), "p.a", "p.b")
-        full = held.where(f"n > {FULL}").select("key", F.col("first").alias("a"), F.col("node").alias("b"))
+        few = held.where(f"n <= {FULL}").groupBy("key").agg(F.array_sort(F.collect_list("member")).alias("all"))
+        pairs = F.flatten(F.transform("all", lambda x, i: F.transform(F.filter(F.slice("all", i + 2, FULL), lambda y: ~alike(x, y)), lambda y: F.struct(F.least(node_of(x), node_of(y)).alias("a"), F.greatest(node_of(x), node_of(y)).alias("b")))))
+        none = F.lit(None).cast("long")
+        few = few.select(F.explode(pairs).alias("p")).select(none.alias("key"), "p.a", "p.b", none.alias("member"))
+        full = held.where(f"n > {FULL}").select("key", node_of(F.col("first")).alias("a"), node_of(F.col("member")).alias("b"), "member")
         return self.scratch.table(few.unionByName(full), "met")
 
     def within(self, pairs: DataFrame, prints: DataFrame, bits: int) -> DataFrame:
@@ -212,20 +229,20 @@ class Finder:
         self.prints = prints = scratch.table(prints.withColumn("node", F.monotonically_increasing_id()), "prints")
         met = self.met()
         # A quarter of the fingerprint sorts most pairs out that met by chance, before all of it is shuffled.
-        pairs = self.within(met.where("a < b").select("a", "b"), prints.select("node", F.slice("print", 1, 2).alias("print")), 128).select("a", "b").distinct()
+        pairs = self.within(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), prints.select("node", F.slice("print", 1, 2).alias("print")), 128).select("a", "b").distinct()
         near = scratch.table(self.within(pairs, prints, BITS), "near")
         links, classes = self.linked(near, BITS, None, None, "first")
-        full = met.where("key IS NOT NULL").select("key", F.col("b").alias("node"))
+        full = met.where("key IS NOT NULL").select("key", F.col("b").alias("node"), "member")
         if not full.isEmpty():
             # Of two classes in a key at least one isn't its greatest; two lesser ones meet once, in the order of nodes.
             # A node has no more keys than it has entries, so what belongs to a node is joined to one row for all of them.
-            held = full.groupBy("node").agg(F.collect_list("key").alias("keys")).join(classes, "node").select("node", "root", F.explode("keys").alias("key"))
+            held = full.groupBy("node").agg(F.collect_list(F.struct("key", "member")).alias("keys")).join(classes, "node").select("node", "root", F.inline("keys"))
             keys = held.groupBy("key").agg(F.mode("root", True).alias("main"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "main")
             held = scratch.table(held.join(keys, "key").withColumn("minor", F.col("root") != F.col("main")).drop("main"), "held")
             fine = self.from_texts(held.select("node"), lambda h: wide_print(h, FINE), "array<long>", "fine")
-            held = held.groupBy("node", "root").agg(F.collect_list(F.struct("key", "minor")).alias("keys")).join(fine, "node").select("node", "root", "made", F.inline("keys"))
+            held = held.groupBy("node", "root").agg(F.collect_list(F.struct("key", "member", "minor")).alias("keys")).join(fine, "node").select("node", "root", "made", F.inline("keys"))
             p, q = held.where("minor").alias("p"), held.alias("q")
-            once = ~F.col("q.minor") | (F.col("p.node") < F.col("q.node"))
+            once = (~F.col("q.minor") | (F.col("p.node") < F.col("q.node"))) & ~alike(F.col("p.member"), F.col("q.member"))
             reach = margin(self.p, 64 * FINE, 3)
             rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & once & (apart("p.made", "q.made") <= reach))
             rest = rest.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"), apart("p.made", "q.made").alias("d")).distinct()
