@@ -155,43 +155,47 @@ def train(docs: DataFrame, per_language: int = 400, model_path: str = DEFAULT_MO
     return fit({name: some.tolist() for name, some in rows.groupby("lang")["text"]}, load_pieces(model_path))
 
 
-def identify(docs: DataFrame, model: Languages, most_cached: int = 1 << 21) -> DataFrame:
+def identify(docs: DataFrame, model: Languages, most_cached: int = 1_200_000) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row. most_cached: numbers, one for each known word and language."""
     many = len(model.names)
-    step = max(256, most_cached // max(many, 1))
+    kept = max(512, most_cached // max(many, 1))  # words
+    run = min(kept // 2, 1 << 15)  # distinct words of texts that are scored together
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         trie = PieceTrie(model.pieces) if many else None
         place: dict[str, int] = {}
-        scores = np.empty((0, many))
-
-        def learn(words: list[str]) -> None:
-            nonlocal scores
-            parts = [forward(words, trie, model.weights[:, k : k + BLOCK], model.unknown[k : k + BLOCK]) for k in range(0, many, BLOCK)]
-            place.update({w: len(place) + k for k, w in enumerate(words)})
-            scores = np.concatenate([scores, np.concatenate(parts, 1)])
+        scores = np.empty((kept, many))
+
+        def add(part: list[tuple[int, list[tuple[str, int]]]], total: np.ndarray) -> None:
+            """Add to each row of total what some of its text's words say."""
+            new = list(dict.fromkeys(w for _, items in part for w, _ in items if w not in place))
+            if len(place) + len(new) > kept:
+                place.clear()
+                new = list(dict.fromkeys(w for _, items in part for w, _ in items))
+            if new:
+                for k in range(0, many, BLOCK):
+                    scores[len(place) : len(place) + len(new), k : k + BLOCK] = forward(new, trie, model.weights[:, k : k + BLOCK], model.unknown[k : k + BLOCK])
+                place.update({w: len(place) + k for k, w in enumerate(new)})
+            for row, items in part:
+                total[row] += np.array([n for _, n in items], float) @ scores[[place[w] for w, _ in items]]
 
         for texts in batches:
-            counted = [Counter(words_of(t)) if trie else Counter() for t in texts]
-            total = np.zeros((len(counted), many))
-            flat = [(k, w, n) for k, c in enumerate(counted) for w, n in c.items()]
-            for at in range(0, len(flat), step):
-                part = flat[at : at + step]
-                new = list(dict.fromkeys(w for _, w, _ in part if w not in place))
-                if len(place) + len(new) > 2 * step:
-                    place.clear()
-                    scores = np.empty((0, many))
-                    new = list(dict.fromkeys(w for _, w, _ in part))
-                if new:
-                    learn(new)
-                row = np.array([k for k, _, _ in part])
-                start = np.flatnonzero(np.diff(row, prepend=-1))
-                for a, b in zip(start, [*start[1:], len(part)], strict=True):
-                    total[row[a]] += np.array([n for _, _, n in part[a:b]], float) @ scores[[place[w] for _, w, _ in part[a:b]]]
-            top = total.argmax(1) if many else np.zeros(len(counted), int)
-            best = total[np.arange(len(counted)), top] if many else np.zeros(len(counted))
+            total, some = np.zeros((len(texts), many)), np.zeros(len(texts), bool)
+            part, size = [], 0
+            for row, text in enumerate(texts):
+                items = list(Counter(words_of(text)).items()) if trie else []
+                some[row] = bool(items)
+                for at in range(0, len(items), run):
+                    part.append((row, items[at : at + run]))
+                    size += len(part[-1][1])
+                    if size >= run:
+                        add(part, total)
+                        part, size = [], 0
+            if part:
+                add(part, total)
+            top = total.argmax(1) if many else np.zeros(len(texts), int)
+            best = total[np.arange(len(texts)), top] if many else np.zeros(len(texts))
             sure = 1 / np.exp(np.clip(total - best[:, None], -700, 0)).sum(1) if many else best
-            some = [bool(c) for c in counted]
             yield pd.DataFrame({"lang_pred": [model.names[t] if s else "und" for t, s in zip(top, some, strict=True)], "score": np.where(some, sure, 0.0)})
 
     guess = F.pandas_udf(predict, "lang_pred string, score double")
