@@ -229,7 +229,9 @@ class Finder:
         self.prints = prints = scratch.table(prints.withColumn("node", F.monotonically_increasing_id()), "prints")
         met = self.met()
         # A quarter of the fingerprint sorts most pairs out that met by chance, before all of it is shuffled.
-        pairs = self.within(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), prints.select("node", F.slice("print", 1, 2).alias("print")), 128).select("a", "b").distinct()
+        # A pair that met in many keys is one before that: by a's partitions, which the join with a needs anyway.
+        pairs = met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).repartition("a").distinct()
+        pairs = self.within(pairs, prints.select("node", F.slice("print", 1, 2).alias("print")), 128).select("a", "b")
         near = scratch.table(self.within(pairs, prints, BITS), "near")
         links, classes = self.linked(near, BITS, None, None, "first")
         full = met.where("key IS NOT NULL").select("key", F.col("b").alias("node"), "member")
