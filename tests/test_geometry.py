@@ -283,3 +283,45 @@ def test_hull_descent(spark):
         assert np.allclose([row.x, row.y, row.z], now[row.mesh_id, row.vid])
     energy = lambda table: sum(row.energy for row in mesh.hull_energy(f, table, targets, 0.5, 1.2).collect())
     assert energy(mesh.hull_descent(f, v, targets, 0.5, 1.2, 1e-4, 4, writer(spark))) < energy(v)
+
+
+def test_average_planes_against_a_plain_version(spark):
+    r = np.random.default_rng(8)
+    clouds = r.normal(0, 1, (3, 40, 3)) * [5, 0.5, 3] + [0, 7, 1]
+    rows = [(k, *map(float, p)) for k, c in enumerate(clouds) for p in c] + [(9, 1.0, 2.0, 3.0)]
+    got = {row.cloud_id: row for row in spatial.average_planes(spark.createDataFrame(rows, "cloud_id long, x double, y double, z double")).collect()}
+    assert sorted(got) == [0, 1, 2]  # one point is no plane
+    for k, c in enumerate(clouds):
+        n, mean = np.linalg.svd(c - c.mean(0))[2][2], c.mean(0)
+        n = -n if n @ mean > 0 else n
+        assert np.allclose([got[k].nx, got[k].ny, got[k].nz, got[k].d], [*n, -n @ mean])
+
+
+def test_transformed_plane_holds_transformed_points(spark):
+    m = ((1, 0.1, 0, 2), (0, 1, 0.2, -1), (0.3, 0, 1, 0.5), (0, 0, 0, 1))
+    row = spark.range(1).select(*[c.alias(k) for k, c in zip("abcd", g.transform_plane(m, tuple(F.lit(v) for v in (0.6, -0.8, 0.2, 1.5))), strict=True)]).first()
+    for x, z in ((0, 0), (3, -2), (-7, 4)):
+        moved = np.array(m) @ [x, (0.6 * x + 0.2 * z + 1.5) / 0.8, z, 1]
+        assert abs(np.dot(row[:3], moved[:3]) + row.d) < 1e-9
+    flat = ((1, 0, 0, 0), (0, 0, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1))
+    assert spark.range(1).select(g.transform_plane(flat, tuple(F.lit(v) for v in (0.6, -0.8, 0.2, 1.5)))[0].alias("a")).first().a is None
+
+
+def test_plane_alignment_recovers_a_motion():
+    r = np.random.default_rng(9)
+    xz = r.uniform(-5, 5, (400, 2))
+    p = np.stack([xz[:, 0], 0.1 * xz[:, 0] ** 2 - 0.05 * xz[:, 1] ** 2 + 0.3 * np.sin(xz.sum(1)), xz[:, 1]], 1)
+    a = 0.02
+    m = np.array([[math.cos(a), 0, math.sin(a)], [0, 1, 0], [-math.sin(a), 0, math.cos(a)]])
+    f = fitting.align(p, p @ m.T + [0.03, -0.02, 0.02], plane=True)
+    assert np.allclose(f["r"], m, atol=0.01) and np.allclose(f["t"], [0.03, -0.02, 0.02], atol=0.02)
+
+
+def test_accumulated_moves_the_template_only(spark):
+    rows = [(1, "template", 1.0, 0.0, 0.0), (1, "model", 9.0, 8.0, 7.0), (2, "template", 5.0, 5.0, 5.0), (2, "model", 1.0, 1.0, 1.0)]
+    clouds = spark.createDataFrame(rows, "pair_id long, side string, x double, y double, z double")
+    turn = [[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]]
+    names = [f"r{i}{j}" for i in range(3) for j in range(3)] + ["t0", "t1", "t2"]
+    fits = spark.createDataFrame([(1, *sum(turn, []), 10.0, 20.0, 30.0)], "pair_id long, " + ", ".join(f"{n} double" for n in names))
+    got = sorted(tuple(row) for row in fitting.accumulated(clouds, fits).collect())
+    assert got == [(1, "model", 9.0, 8.0, 7.0), (1, "template", 10.0, 21.0, 30.0), (2, "model", 1.0, 1.0, 1.0)]  # a pair without a fit keeps its model

@@ -352,3 +352,10 @@ def inverse3(m) -> list[list[Column]]:
         return F.try_divide(minor if (i + j) % 2 == 0 else -minor, det)
 
     return [[cofactor(i, j) for j in range(3)] for i in range(3)]
+
+
+def transform_plane(m, plane: tuple) -> tuple:
+    """Plane (a, b, c, d) of n x + d = 0 after an affine 4x4 matrix: the normal goes by the inverse transpose and isn't made a unit vector; null where the matrix is singular."""
+    inverse = inverse3([[F.lit(float(v)) for v in row[:3]] for row in m[:3]])
+    n = matmul(list(zip(*inverse, strict=True)), plane[:3])
+    return (*n, plane[3] - dot(n, tuple(F.lit(float(row[3])) for row in m[:3])))

@@ -322,9 +322,30 @@ def neighbour_normals(points: DataFrame, radius: float, key: str = "cloud_id", l
     """
     queries = points.select(F.col("point_id").alias("query_id"), key, "x", "y", "z")
     pairs = radius_search(queries, points, radius, key).join(points.select("point_id", "x", "y", "z"), "point_id")
-    names = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
-    spread = pairs.groupBy("query_id").agg(F.count("*").alias("n"), *[F.covar_pop(a, b).alias(f"c_{a}{b}") for a, b in names]).where(F.col("n") >= least)
-    spread = spread.join(queries, "query_id")
+    spread = covariances(pairs, "query_id", least).join(queries, "query_id")
+    return spread.select("query_id", least_spread().alias("m")).select("query_id", "m.*")
+
+
+def average_planes(points: DataFrame, key: str = "cloud_id", least: int = 3) -> DataFrame:
+    """(key, nx, ny, nz, d): the plane n x + d = 0 through each cloud's centroid along its direction of least spread.
+
+    One aggregation; clouds of fewer than `least` points have no row. The normal points towards the origin.
+    """
+    spread = covariances(points, key, least, *[F.avg(c).alias(c) for c in "xyz"])
+    planes = spread.select(key, "x", "y", "z", least_spread().alias("m")).select(key, "x", "y", "z", "m.*")
+    return planes.select(key, "nx", "ny", "nz", (-g.dot(g.vec("nx", "ny", "nz"), g.vec("x", "y", "z"))).alias("d"))
+
+
+COVARIANCE = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
+
+
+def covariances(points: DataFrame, key: str, least: int, *more: Column) -> DataFrame:
+    """The six covariances of each group that has `least` points, beside further aggregates."""
+    return points.groupBy(key).agg(F.count("*").alias("n"), *[F.covar_pop(a, b).alias(f"c_{a}{b}") for a, b in COVARIANCE], *more).where(F.col("n") >= least)
+
+
+def least_spread() -> Column:
+    """Struct nx, ny, nz: the direction of least spread by c_xx to c_zz, towards the origin from x, y, z."""
 
     def normal(rows: pd.DataFrame) -> pd.DataFrame:
         xx, xy, xz, yy, yz, zz, x, y, z = rows.to_numpy(float).T
@@ -333,6 +354,4 @@ def neighbour_normals(points: DataFrame, radius: float, key: str = "cloud_id", l
         n = n * np.where((n * np.stack([x, y, z], 1)).sum(1) > 0, -1.0, 1.0)[:, None]
         return pd.DataFrame(n, columns=["nx", "ny", "nz"])
 
-    of = F.pandas_udf(normal, "nx double, ny double, nz double")
-    return spread.select("query_id", of(F.struct(*[f"c_{a}{b}" for a, b in names], "x", "y", "z")).alias("m")).select("query_id", "m.*")
-
+    return F.pandas_udf(normal, "nx double, ny double, nz double")(F.struct(*[f"c_{a}{b}" for a, b in COVARIANCE], "x", "y", "z"))

@@ -49,6 +49,9 @@ over_points("P10_to_grid", lambda: named(g.to_grid(P, lits(27, 12, 12), F.lit(0.
 over_points("P15_disparity", lambda: {"depth": g.disparity_to_depth(F.col("x") * 256, 0.54, 721.0), "disparity": g.depth_to_disparity(F.col("z") + 1, 0.54, 721.0).cast("double")},
             {"depth": "CASE WHEN 0.54*721.0/x BETWEEN 1 AND 1000 THEN 0.54*721.0/x END", "disparity": "CASE WHEN z+1 BETWEEN 1 AND 1000 THEN floor(0.54*721.0/(z+1)*256) END"})
 over_points("P19_height", lambda: {"y": g.height_at((0.02, -0.99, 0.05, 1.6), F.col("x"), F.col("z"))}, {"y": "(-1.6-0.05*z-0.02*x)/-0.99"})
+AFFINE = (*M4[:3], (0, 0, 0, 1))
+TURNED = ("((x+0.06*y-0.3*z)/1.006)", "((-0.1*x+y+0.03*z)/1.006)", "((0.02*x-0.2*y+z)/1.006)")
+over_points("P20_transform_plane", lambda: named(g.transform_plane(AFFINE, (*P, F.col("x") - F.col("y"))), ("a", "b", "c", "d")), named((*TURNED, f"x-y-(2*{TURNED[0]}-{TURNED[1]}+0.5*{TURNED[2]})"), ("a", "b", "c", "d")))
 ANGLE = "(x*40-1000)"
 over_points("P21_wrap", lambda: {"wrapped": g.wrap_angle(F.col("x") * 40 - 1000, -180, 180), "bounced": g.bounce_angle(F.col("x") * 40 - 1000, -90, 90)},
             {"wrapped": f"{ANGLE}-360*floor(({ANGLE}+180)/360)", "bounced": f"90-abs(({ANGLE}+90)-360*floor(({ANGLE}+90)/360)-180)"})
