@@ -878,7 +878,10 @@ def test_long_attributes_and_open_heads():
     long = 'data-x="' + "y" * 500 + '" class="comments"'
     assert htmltext.parse(f"<div {long}>Text</div>")[0][2] == htmltext.path_tokens("div", 'class="comments"')
     assert [b[0] for b in htmltext.parse("<html><head><meta charset=x><title>T</title>\n<p>First.<p>Second.")] == ["First.", "Second."]
-    assert [b[0] for b in htmltext.parse("<head><link rel=x>dropped</head>Kept.")] == ["Kept."]
+    assert [b[0] for b in htmltext.parse("<head><link rel=x>\n <title>t</title></head>Kept.")] == ["Kept."]
+    # Text ends an open head, as in a browser, and a stray head hides nothing.
+    assert [b[0] for b in htmltext.parse("<html><head><meta charset=x>Hello there<p>b</p>")] == ["Hello there", "b"]
+    assert [b[0] for b in htmltext.parse("<p>a</p><head>mid</head><p>c</p>")] == ["a", "mid", "c"]
 
 
 MARKUP = {
@@ -908,6 +911,29 @@ def test_any_page_takes_linear_time(piece):
     assert time.perf_counter() - start < 2
 
 
+def test_blocks_without_letters(spark):
+    r = random.Random(4)
+    pages = {0: "<article><p>Some text here.</p><p>2001</p></article>", 1: "<article><p>Some text here.</p><p>***</p><table><tr><td>1999</td><td>20</td></tr></table><p>It was so until then.</p></article>", 2: "<p>***</p>", 3: "<td>20</td>", 4: "<article><p>日本語 テキスト。</p><p>😀😀</p></article>"}
+    some = lambda: "".join(r.choices("0123456789.,-*#%$|—日本語한국😀 ", k=r.randint(1, 30)))
+    pages |= {k: "<article>" + "".join(f"<p>{some()}</p>" for _ in range(r.randint(1, 9))) + "</article>" for k in range(5, 60)}
+    got = {x.page_id: x.text for x in htmltext.extract(spark.createDataFrame([(k, "u", p) for k, p in pages.items()], "page_id long, url string, html string")).collect()}
+    assert len(got) == len(pages) and got[0] == "Some text here.\n2001" and got[1] == "Some text here.\n***\n1999\n20\nIt was so until then." and got[4] == "日本語 テキスト。\n😀😀"
+
+
+def test_pages_built_of_layout_tables(spark):
+    page = "<table><tr><td><a href=/>Home</a> | <a href=/n>News</a> | <a href=/c>Contact</a></td></tr><tr><td><h1>The long story</h1><p>This is the first paragraph of a story that goes on, with commas.</p><p>And a second one.</p></td></tr><tr><td><font size=1>Copyright 1999</font></td></tr></table>"
+    assert htmltext.main_text([page], htmltext.trained()) == ["The long story\nThis is the first paragraph of a story that goes on, with commas.\nAnd a second one."]
+
+
+def test_saved_arrays_are_those_of_the_fit():
+    fresh, saved = htmltext.fitted(40, 17), htmltext.Labeller()
+    with np.load(htmltext.ARRAYS) as arrays:  # the file holds every array of the labeller, and no driver fits anew
+        assert set(arrays.files) == {"made_of", *fresh.p} and all(arrays[k].shape == v.shape for k, v in saved.p.items())
+    start = time.perf_counter()
+    htmltext.trained.__wrapped__()
+    assert time.perf_counter() - start < 2
+
+
 def test_long_pages_in_parts():
     r = random.Random(11)
     model = htmltext.Labeller(size=5)

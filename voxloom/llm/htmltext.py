@@ -19,6 +19,7 @@ import random
 import re
 import zlib
 from functools import cache, lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -149,9 +150,11 @@ def parse(page: str | None) -> list[tuple[str, frozenset[int], frozenset[int], f
 
     at, page = 0, page or ""
     for start, stop, closing, tag, rest in Tags(page):
-        if start > at and not head:
-            parts.append(html.unescape(page[at:start]))
-            linked += links and start - at
+        if start > at:
+            head = head and page[at:start].isspace()  # other text can't stand in a head
+            if not head:
+                parts.append(html.unescape(page[at:start]))
+                linked += links and start - at
         at = stop
         if not tag:
             continue
@@ -182,7 +185,7 @@ def parse(page: str | None) -> list[tuple[str, frozenset[int], frozenset[int], f
             above = stack[-1][1] if stack else none
             stack.append((tag, above if own <= above else both(above, own), own))
             links += tag == "a"
-    if at < len(page) and not head:
+    if at < len(page) and not (head and page[at:].isspace()):
         parts.append(html.unescape(page[at:]))
         linked += links and len(page) - at
     end()
@@ -215,7 +218,7 @@ def as_arrays(pages: list[list], before: int = 0, total: int | None = None) -> t
             words = {zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS for w in LETTERS.findall(text.lower())}
             cells[3].extend([cell] * len(words))
             cells[4].extend(words)
-            cells[5].extend([1.0 / len(words)] * len(words))
+            cells[5].extend([1.0 / max(1, len(words))] * len(words))
     return tuple(np.array(c) for c in cells), some, mask
 
 
@@ -388,7 +391,9 @@ def generated_page(r: random.Random) -> tuple[list, list[int]]:
 
     def words(low: int, high: int, stop: bool = True) -> str:
         some = [word() for _ in range(r.randint(low, high))]
-        if r.random() < 0.06:  # noisy texts belong to articles too
+        if r.random() < 0.04:  # figures, signs and years are blocks too
+            some = [r.choice(("%d" % r.randint(0, 2100), "***", "%d.%d" % (r.randint(0, 99), r.randint(0, 99)), "---", "$$")) for _ in range(r.randint(1, 4))]
+        elif r.random() < 0.06:  # noisy texts belong to articles too
             some = [w + r.choice(("###", "%%%", "&amp;&amp;&amp;", "***", "$$$", "!!")) for w in some]
         elif r.random() < 0.06:
             some = " | ".join(some).split(" ")
@@ -446,6 +451,25 @@ def generated_page(r: random.Random) -> tuple[list, list[int]]:
             return f"<table><tr><td>{words(1, 5)}</td><td>{words(1, 5)}</td></tr></table>"
         return f"<p>{some}</p>"
 
+    def table_layout(pieces: list[tuple[str, int]]) -> list[tuple[str, int | None]]:
+        cell = lambda: f"<td{r.choice(('', '', ' valign=top', ' bgcolor=#eeeeee', ' width=160'))}>"
+        links = lambda low, high, between: between.join(f'<a href="/{word()}">{words(1, 2, False)}</a>' for _ in range(r.randint(low, high)))
+        menu = lambda: links(2, 7, r.choice((" | ", "<br>", " &middot; ", " ")))
+        line = lambda part: f"{r.choice(('', '<font size=1>', '<small>', '<center>'))}{junk_text(part)}"
+        out: list[tuple[str, int | None]] = [("<table>", None)]
+        for _ in range(r.randint(0, 2)):
+            out += [(f"<tr>{cell()}", None), (r.choice((menu, menu, lambda: f"<b>{words(1, 4, False)}</b>", lambda: line("notice")))(), 0), ("</td></tr>", None)]
+        out.append(("<tr>", None))
+        if r.random() < 0.5:
+            out += [(cell(), None), (menu(), 0), ("</td>", None)]
+        out += [(cell(), None), *pieces, ("</td>", None)]
+        if r.random() < 0.3:
+            out += [(cell(), None), (r.choice((menu, lambda: line("ad")))(), 0), ("</td>", None)]
+        out.append(("</tr>", None))
+        if r.random() < 0.7:
+            out += [(f"<tr>{cell()}", None), (r.choice((menu, lambda: line("footer"), lambda: line("footer"), lambda: f"&copy; {word()} {menu()}"))(), 0), ("</td></tr>", None)]
+        return [*out, ("</table>", None)]
+
     inside = "".join(paragraph() for _ in range(r.choice((0, 1, 2, 3, 5, 8, 14, 25))))
     title = f"<h1>{words(1, 12, False)}</h1>" if r.random() < 0.8 else ""
     title = f"<header>{title}<p>{words(1, 6)}</p></header>" if title and r.random() < 0.15 else title
@@ -456,7 +480,10 @@ def generated_page(r: random.Random) -> tuple[list, list[int]]:
     if r.random() < 0.15:
         pieces.append((junk("comments"), 0))
     opened = r.choice(("<article>", "<article>", f'<article class="{r.choice(main)}">', f'<div class="{r.choice(main)}">', f'<div id="{r.choice(main)}">', "<main>", f'<section class="{r.choice(main)}">'))
-    if r.random() < 0.2:
+    if r.random() < 0.08:  # an article in no element of its own
+        opened, inside_first = "", words(1, 30) if r.random() < 0.5 else ""
+        pieces[0] = (inside_first + pieces[0][0], 1)
+    elif r.random() < 0.2:
         opened = r.choice((f'<main id="{r.choice(main)}">', '<div class="wrapper">', f'<div class="{r.choice(main)}">')) + opened
     shut = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", opened)))
     before = [p for p in ("header", "nav", "notice", "ad", "form", "nav", "side") if r.random() < 0.35]
@@ -465,16 +492,34 @@ def generated_page(r: random.Random) -> tuple[list, list[int]]:
         before, after = ["nav", "ad"], ["footer"]
     if r.random() < 0.06:
         pieces = []
-    parts = [(junk(p), 0) for p in before] + [(opened, None)] * bool(pieces) + pieces + [(shut, None)] * bool(pieces) + [(junk(p), 0) for p in after]
-    page = "<body>" + "".join(p if kind is None else f"{p}" if kind == 0 else re.sub(r">([^<>]+)", lambda m: ">\x02" + m[1], p) for p, kind in parts) + r.choice(("</body></html>", ""))
+    if r.random() < 0.12:  # a layout of tables, whose cells have no names
+        parts = table_layout(pieces)
+    else:
+        parts = [(junk(p), 0) for p in before] + [(opened, None)] * bool(pieces) + pieces + [(shut, None)] * bool(pieces) + [(junk(p), 0) for p in after]
+    marked = lambda p: re.sub(r"(^|>)([^<>]+)", lambda m: m[1] + "\x02" + m[2], p)
+    page = "<body>" + "".join(p if kind is None else f"{p}" if kind == 0 else marked(p) for p, kind in parts) + r.choice(("</body></html>", ""))
     blocks = parse(page)
     labels = [int("\x02" in b[0]) for b in blocks]
     return [(" ".join(b[0].replace("\x02", " ").split()), *b[1:]) for b in blocks], labels
 
 
+#: The arrays that trained() finds with its own arguments, made by `python -m voxloom.llm.htmltext`; only the driver reads them.
+ARRAYS = Path(__file__).with_name("labeller.npz")
+
+
 @cache
 def trained(pages: int = 1600, seed: int = 17) -> Labeller:
-    """The labeller, fitted on so many generated pages; the same for the same arguments."""
+    """The labeller, fitted on so many generated pages; the same for the same arguments. Arrays that were saved for them are read."""
+    if ARRAYS.exists():
+        with np.load(ARRAYS) as saved:
+            if saved["made_of"].tolist() == [pages, seed]:
+                model = Labeller()
+                model.p = {k: saved[k].astype(float) for k in model.p}
+                return model
+    return fitted(pages, seed)
+
+
+def fitted(pages: int, seed: int) -> Labeller:
     r = random.Random(seed)
     made = [p for p in (generated_page(r) for _ in range(pages)) if p[0]]
     model = Labeller()
@@ -496,3 +541,7 @@ def extract(pages: DataFrame, model: Labeller | None = None, rows: int = 256) ->
         return pd.Series([t for k in range(0, len(some), rows) for t in main_text(some[k : k + rows], model)], dtype=object)
 
     return pages.select("page_id", "url", F.pandas_udf(of, "string")("html").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+if __name__ == "__main__":
+    np.savez_compressed(ARRAYS, made_of=np.array([1600, 17]), **{k: v.astype(np.float32) for k, v in fitted(1600, 17).p.items()})
