@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import htmltext, langid, media, mixing, packing, pii, quality, simhash, tokens, toxicity
+from voxloom.llm import htmltext, langid, media, mixing, packing, passages, pii, quality, simhash, tokens, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,9 +65,30 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(read(spark, sf_dir, "pages"))
 
 
+def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.without_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = (op1_pii, op2_langid, op3_simhash, op4_mixing, op5_quality, op6_tokens, op7_media, op8_toxicity, op9_packing, op10_html, op11_passages)
+
+#: Plain self-joins over whole tables, for the oracle's small ones.
+ORACLES = {
+    "op11_passages": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS s FROM d, unnest(range(1, len(w) - 11)) AS t(i)),
+least AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM win JOIN least USING (s) WHERE first < doc_id),
+kept AS (SELECT doc_id, k, w[k] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(k) ANTI JOIN gone USING (doc_id, k)),
+again AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS text FROM kept GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(again.text, '')) AS kept_sha256
+FROM d LEFT JOIN again USING (doc_id)""",
+}
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_langid, op3_simhash, op4_mixing, op5_quality, op6_tokens, op7_media, op8_toxicity, op9_packing, op10_html)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
