@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import htmltext, langid, media, mixing, packing, passages, pii, quality, simhash, tokens, toxicity
+from voxloom.llm import htmltext, langid, media, mixing, packing, passages, pii, quality, search, simhash, tokens, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +70,11 @@ def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = (op1_pii, op2_langid, op3_simhash, op4_mixing, op5_quality, op6_tokens, op7_media, op8_toxicity, op9_packing, op10_html, op11_passages)
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = (op1_pii, op2_langid, op3_simhash, op4_mixing, op5_quality, op6_tokens, op7_media, op8_toxicity, op9_packing, op10_html, op11_passages, op12_search)
 
 #: Plain self-joins over whole tables, for the oracle's small ones.
 ORACLES = {
@@ -84,6 +88,16 @@ kept AS (SELECT * FROM every ANTI JOIN gone USING (doc_id, k)),
 again AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS text FROM kept GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(again.text, '')) AS kept_sha256
 FROM d LEFT JOIN again USING (doc_id)""",
+    "op12_search": r"""
+WITH folded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n FROM folded WHERE len(w) > 0),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+asked AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+q AS (SELECT DISTINCT item_id, unnest(w) AS term FROM asked),
+p AS (SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+f AS (SELECT term, CAST(count(*) AS BIGINT) AS df FROM p GROUP BY 1),
+hit AS (SELECT item_id, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN f USING (term), whole GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM hit WHERE score > 0 QUALIFY rank <= 10""",
 }
 
 
