@@ -37,11 +37,12 @@ class Scratch:
         self.paths: dict[str, str] = {}
         self.n = 0
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """df written under name and read back; an older table of that name is removed."""
+    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """df written under name, partitioned by a column if one is given, and read back; an older table of that name is removed."""
         self.n += 1
         path = f"{self.root}/{name}-{self.n}"
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         if name in self.paths:
             self.remove(self.paths[name])
         self.paths[name] = path

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import htmltext, langid, media, mixing, packing, passages, pii, quality, search, simhash, tokens, toxicity
+from voxloom.llm import htmltext, langid, manifest, media, mixing, packing, passages, pii, quality, search, simhash, tokens, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +74,12 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = (op1_pii, op2_langid, op3_simhash, op4_mixing, op5_quality, op6_tokens, op7_media, op8_toxicity, op9_packing, op10_html, op11_passages, op12_search)
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = manifest.manifest(read(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+QUERIES = (op1_pii, op2_langid, op3_simhash, op4_mixing, op5_quality, op6_tokens, op7_media, op8_toxicity, op9_packing, op10_html, op11_passages, op12_search, op13_manifest)
 
 #: Plain self-joins over whole tables, for the oracle's small ones.
 ORACLES = {
