@@ -165,8 +165,10 @@ PROVEN = "name string, group long, place long, leaf string, proof string, proof_
 
 
 def proven(known: pd.DataFrame, run: pd.DataFrame) -> pd.DataFrame:
+    if not len(run):  # an empty table
+        return pd.DataFrame(columns=[f.split()[0] for f in PROVEN.split(", ")], dtype=object)
     run = run.sort_values("place")
-    mine = siblings(run["digest"].tolist(), int(run["size"].iloc[0]), int(run["place"].iloc[0])) if len(run) else []
+    mine = siblings(run["digest"].tolist(), int(run["size"].iloc[0]), int(run["place"].iloc[0]))
     proofs = [p + known["proof"].iloc[0] for p in mine]
     return pd.DataFrame({
         "name": run["name"], "group": run["group"], "place": run["place"], "leaf": run["digest"], "proof": proofs,

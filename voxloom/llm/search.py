@@ -32,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from voxloom.llm.common import Scratch
 
@@ -228,7 +227,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, block: int = BLOCK, m
             if blocks > 1:
                 scratch.drop("segments")
     if not parts:
-        return spark.createDataFrame([], items.select("item_id").schema.add("rank", "int").add("doc_id", LongType()).add("score", "long"))
+        return spark.createDataFrame([], f"item_id {kind.simpleString()}, rank int, doc_id long, score long")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
