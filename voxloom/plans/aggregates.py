@@ -7,9 +7,10 @@ import math
 from pyspark.sql import functions as F
 
 from voxloom.functions import strings, tensors
-from voxloom.operators import mesh, metrics, sampling, spatial, volume
+from voxloom.operators import mesh, metrics, remesh, sampling, spatial, volume
 from voxloom.plans import fixtures as x
 from voxloom.plans.fixtures import R, Catalog, r6, rounded
+from voxloom.plans.scratch import writer
 
 catalog = Catalog()
 op, add = catalog.op, catalog.add
@@ -222,6 +223,62 @@ NORMALS = f"(SELECT fid, {cross_sql('x')} AS nx, {cross_sql('y')} AS ny, {cross_
 FEATURES = f"SELECT mesh_id, u, v, CASE WHEN n = 1 THEN 'contour' ELSE 'crease' END AS kind FROM (SELECT e.mesh_id, e.u, e.v, count(*) AS n, list(struct_pack(x := nx, y := ny, z := nz) ORDER BY e.fid) AS s FROM {SHEET_E} e JOIN {NORMALS} m USING (fid) GROUP BY 1, 2, 3) WHERE n = 1 OR (n = 2 AND (s[1].x*s[2].x+s[1].y*s[2].y+s[1].z*s[2].z)/(sqrt(s[1].x*s[1].x+s[1].y*s[1].y+s[1].z*s[1].z)*sqrt(s[2].x*s[2].x+s[2].y*s[2].y+s[2].z*s[2].z)) < 0.7)"
 add("R3_feature_edges", lambda s, d: mesh.feature_edges(*sheet_triangles(s, d), 0.7), FEATURES)
 add("R4_skeleton_corners", lambda s, d: mesh.feature_degrees(mesh.feature_edges(*sheet_triangles(s, d), 0.7)).where("n <> 2"), f"SELECT mesh_id, vid, count(*) AS n FROM (SELECT mesh_id, unnest([u, v]) AS vid FROM ({FEATURES})) GROUP BY 1, 2 HAVING count(*) <> 2")
+
+
+def walked(features: str) -> str:
+    """The chains of feature edges as walks, edge by edge: open ones from a corner, closed ones from the least vertex of their circle."""
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT mesh_id, u, v FROM ({features})), b AS (SELECT mesh_id, u, v FROM e UNION ALL SELECT mesh_id, v, u FROM e),
+n AS (SELECT mesh_id, u, count(*) AS n FROM b GROUP BY 1, 2), corner AS (SELECT mesh_id, u FROM n WHERE n <> 2),
+w AS (SELECT mesh_id, u AS first, v AS second, u AS prev, v AS tip, CAST(1 AS BIGINT) AS place FROM b SEMI JOIN corner USING (mesh_id, u)
+    UNION ALL SELECT w.mesh_id, first, second, w.tip, b.v, place+1 FROM w JOIN b ON b.mesh_id = w.mesh_id AND b.u = w.tip AND b.v <> w.prev WHERE NOT EXISTS (SELECT 1 FROM corner c WHERE c.mesh_id = w.mesh_id AND c.u = w.tip)),
+ends AS (SELECT mesh_id, first, second, tip AS last, prev AS pre FROM w SEMI JOIN (SELECT mesh_id, u AS tip FROM corner) USING (mesh_id, tip)),
+mine AS (SELECT * FROM ends WHERE first < last OR (first = last AND second < pre)),
+opened AS (SELECT DISTINCT mesh_id, first, second, place, tip AS vid FROM w SEMI JOIN mine USING (mesh_id, first, second) UNION SELECT mesh_id, first, second, 0, first FROM mine),
+free AS (SELECT b.* FROM b ANTI JOIN (SELECT mesh_id, vid AS u FROM opened) USING (mesh_id, u)),
+low AS (SELECT mesh_id, u, u AS r FROM (SELECT DISTINCT mesh_id, u FROM free) UNION SELECT l.mesh_id, f.v, l.r FROM low l JOIN free f ON f.mesh_id = l.mesh_id AND f.u = l.u WHERE l.r < f.v),
+roots AS (SELECT mesh_id, u, min(r) AS r FROM low GROUP BY 1, 2),
+c AS (SELECT mesh_id, u AS first, min(v) AS second, u AS prev, min(v) AS tip, CAST(1 AS BIGINT) AS place FROM free SEMI JOIN (SELECT mesh_id, u FROM roots WHERE u = r) USING (mesh_id, u) GROUP BY 1, 2
+    UNION ALL SELECT c.mesh_id, first, second, c.tip, f.v, place+1 FROM c JOIN free f ON f.mesh_id = c.mesh_id AND f.u = c.tip AND f.v <> c.prev WHERE f.v <> c.first)
+SELECT *, false AS closed FROM opened UNION ALL SELECT mesh_id, first, second, place, tip, true FROM c UNION ALL SELECT mesh_id, first, second, CAST(0 AS BIGINT), first, true FROM c WHERE place = 1"""
+
+
+add("R4_backbones", lambda s, d: remesh.backbones(mesh.feature_edges(*sheet_triangles(s, d), 0.7), writer(s)), walked(FEATURES))
+add("R4_contour_circles", lambda s, d: remesh.backbones(mesh.feature_edges(*sheet_triangles(s, d), 0.7).where("kind = 'contour'"), writer(s)), walked(f"SELECT * FROM ({FEATURES}) WHERE kind = 'contour'"))
+LEANING = f"(SELECT vec_id // 256 AS mesh_id, vec_id AS vid, CAST(vec_id % 16 AS DOUBLE)+0.5*{x.E(2)}+1.7*((vec_id % 256) // 16 + 0.5*{x.E(3)}) AS x, (vec_id % 256) // 16 + 0.5*{x.E(3)} AS y, 0.0 AS z FROM embeddings)"
+
+
+def leaning_mesh(spark, sf):
+    """The sheets in a plane, their vertices moved and the rows shifted, so that most sides fail the circle test."""
+    y = F.floor((F.col("vec_id") % 256) / 16) + 0.5 * x.e(3)
+    vertices = x.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 256).alias("mesh_id"), F.col("vec_id").alias("vid"), ((F.col("vec_id") % 16) + 0.5 * x.e(2) + 1.7 * y).alias("x"), y.alias("y"), F.lit(0.0).alias("z"))
+    return vertices, grid_mesh(spark, sf)[1]
+
+
+@op("R10_delaunay", f"SELECT f.mesh_id, count(*) AS faces, {R(area='sum(abs((q.x-p.x)*(r.y-p.y)-(q.y-p.y)*(r.x-p.x)))/2')}, CAST(0 AS BIGINT) AS failing FROM {SHEET_F} f JOIN {LEANING} p ON p.vid = v0 JOIN {LEANING} q ON q.vid = v1 JOIN {LEANING} r ON r.vid = v2 GROUP BY 1")
+def delaunay(spark, sf):
+    """Sides are flipped until none fails the circle test; for each mesh the faces, their area, and the inner sides that fail and whose corners are convex. Tests hold the faces against flips one by one."""
+    vertices, faces = leaning_mesh(spark, sf)
+    done = remesh.flipped(faces, vertices, writer(spark))
+    failing = remesh.side_pairs(done, vertices).where(remesh.opposed() & remesh.convex()).groupBy("mesh_id").agg(F.count("*").alias("failing"))
+    totals = mesh.areas(mesh.with_corners(done, vertices)).groupBy("mesh_id").agg(F.count("*").alias("faces"), r6(F.sum("area")).alias("area"))
+    return totals.join(failing, "mesh_id", "left").select("mesh_id", "faces", "area", F.coalesce("failing", F.lit(0)).cast("long").alias("failing"))
+
+
+@op("R8_decimation", f"SELECT mesh_id, greatest(4, n*3//4) AS vertices, v-e+f AS euler, rims FROM (SELECT mesh_id, count(*) AS n FROM {SHEET_V} GROUP BY 1) JOIN (SELECT mesh_id, count(*) AS f FROM {SHEET_F} GROUP BY 1) USING (mesh_id) JOIN (SELECT mesh_id, count(*) AS e, CAST(0 AS BIGINT) AS rims FROM (SELECT DISTINCT mesh_id, u, v FROM {SHEET_E}) GROUP BY 1) USING (mesh_id) JOIN (SELECT mesh_id, count(DISTINCT p) AS v FROM (SELECT mesh_id, unnest([u, v]) AS p FROM {SHEET_E}) GROUP BY 1) USING (mesh_id)")
+def decimation(spark, sf):
+    """Three quarters of each sheet's vertices stay. For each mesh: vertices, the Euler characteristic of what faces use, and border vertices with other than two border sides; tests hold the cost against collapses one by one."""
+    vertices, faces = grid_mesh(spark, sf)
+    budgets = vertices.groupBy("mesh_id").agg(F.greatest(F.lit(4).cast("long"), F.floor(F.count("*") * 3 / 4)).alias("budget"))
+    points, left, _ = remesh.decimated(vertices, faces, budgets, writer(spark))
+    sides = mesh.edges(left).groupBy("mesh_id", "u", "v").agg(F.count("*").alias("n"))
+    ends = sides.select("mesh_id", "n", F.explode(F.array("u", "v")).alias("p")).groupBy("mesh_id", "p").agg(F.count_if(F.col("n") == 1).alias("rim"))
+    counts = [points.groupBy("mesh_id").agg(F.count("*").alias("vertices")), left.groupBy("mesh_id").agg(F.count("*").alias("f")), sides.groupBy("mesh_id").agg(F.count("*").alias("e")), ends.groupBy("mesh_id").agg(F.count("*").alias("v"), F.count_if(~F.col("rim").isin(0, 2)).alias("rims"))]
+    both = counts[0]
+    for some in counts[1:]:
+        both = both.join(some, "mesh_id")
+    return both.select("mesh_id", "vertices", (F.col("v") - F.col("e") + F.col("f")).alias("euler"), "rims")
+
+
 SLICE = " UNION ALL ".join(f"SELECT mesh_id, fid, {k} AS side, {', '.join(f'{p}{c}+({p}z-0.1)/(({p}z-0.1)-({q}z-0.1))*({q}{c}-{p}{c}) AS {c}' for c in 'xyz')} FROM {SHEET_T} WHERE ({p}z-0.1)*({q}z-0.1) < 0" for k, (p, q) in enumerate((("a", "k"), ("k", "c"), ("c", "a"))))
 add("R13_plane_slices", lambda s, d: mesh.sliced(sheet_triangles(s, d)[0], (0.0, 0.0, 1.0, -0.1)).select("mesh_id", "fid", "side", *rounded(**{c: F.col(c) for c in "xyz"})), f"SELECT mesh_id, fid, CAST(side AS INT) AS side, {R(x='x', y='y', z='z')} FROM ({SLICE})")
 add("W7_carried_rounding", lambda s, d: mesh.teleported(mesh.areas(x.triangles(s, d)), 1000), f"WITH a AS (SELECT mesh_id, fid, floor(sum({AREA}) OVER (PARTITION BY mesh_id ORDER BY fid ROWS UNBOUNDED PRECEDING)/sum({AREA}) OVER (PARTITION BY mesh_id)*1000+0.5) AS u FROM {x.TRIANGLES}) SELECT mesh_id, fid, CAST(u-coalesce(lag(u) OVER (PARTITION BY mesh_id ORDER BY fid), 0) AS BIGINT) AS n FROM a")
