@@ -288,3 +288,55 @@ def pointed(links: DataFrame, scratch) -> DataFrame:
         now = moved.drop("moved")
         if moved.where("moved").isEmpty():
             return now
+
+
+# Relaxation.
+def border_vertices(faces: DataFrame) -> DataFrame:
+    """(mesh_id, vid) of the ends of sides with one face."""
+    rim = edges(faces).groupBy("mesh_id", "u", "v").agg(F.count("*").alias("n")).where("n = 1")
+    return rim.select("mesh_id", F.explode(F.array("u", "v")).alias("vid")).distinct()
+
+
+def relaxed(vertices: DataFrame, faces: DataFrame, rounds: int, scratch, rate: float = 0.1, grow: float = 1.2) -> tuple[DataFrame, DataFrame]:
+    """(vertices, steps): inner vertices moved so that all faces of a mesh come nearer to one area.
+
+    What falls is the sum of (area - goal)^2 over a mesh's faces, the goal being its mean area at the
+    start. Each round moves every inner vertex against its gradient, within the plane that its faces'
+    normals give, which keeps it on a surface up to that plane. All meshes move at once, each by a
+    step of its own: where the sum falls and no face turns over, the move is taken and the next step
+    is greater by `grow`; elsewhere the mesh stays and its step is halved. Border vertices stay.
+    steps: (mesh_id, round, energy, rate, taken), the sum before each round, and what became of it.
+    """
+    a, b, c = (g.vec(*(f"{p}{n}" for n in "xyz")) for p in "akc")
+    normal = g.cross(g.sub(b, a), g.sub(c, a))
+    size = g.norm(normal)
+    corners = ((0, a, b, c), (1, b, c, a), (2, c, a, b))
+    now = vertices.select("mesh_id", "vid", "x", "y", "z")
+    inner = scratch(now.select("mesh_id", "vid").join(border_vertices(faces), ["mesh_id", "vid"], "left_anti").withColumn("free", F.lit(True)), "inner")
+    named = lambda v, prefix: tuple(x.alias(f"{prefix}{n}") for x, n in zip(v, "xyz", strict=True))
+    measured = lambda points: with_corners(faces, points).select("mesh_id", "fid", "v0", "v1", "v2", *named(a, "a"), *named(b, "k"), *named(c, "c"), (size / 2).alias("area"))
+    start = measured(now).groupBy("mesh_id").agg(F.avg("area").alias("goal"))
+    spread = F.pow(F.col("area") - F.col("goal"), F.lit(2.0))
+    state = measured(now).join(start, "mesh_id").groupBy("mesh_id").agg(F.sum(spread).alias("energy"), F.first("goal").alias("goal")).withColumn("rate", F.lit(rate))
+    state, steps = scratch(state, "state-0"), []
+    for k in range(rounds):
+        unit = tuple(F.try_divide(x, size) for x in normal)
+        pull = lambda p, q: g.scale(g.cross(unit, g.sub(q, p)), F.col("area") - F.col("goal"))  # noqa: B023, E731
+        parts = F.explode(F.array(*[F.struct(F.col(f"v{i}").alias("vid"), *named(pull(p, q), "g"), *named(normal, "n")) for i, _, p, q in corners])).alias("e")
+        sums = measured(now).join(state.select("mesh_id", "goal"), "mesh_id").select("mesh_id", parts).select("mesh_id", "e.*").groupBy("mesh_id", "vid").agg(*[F.sum(f"{p}{n}").alias(f"{p}{n}") for p in "gn" for n in "xyz"])
+        gradient, up = g.vec("gx", "gy", "gz"), g.vec("nx", "ny", "nz")
+        along = F.coalesce(F.try_divide(g.dot(gradient, up), g.dot(up, up)), F.lit(0.0))
+        both = now.join(inner, ["mesh_id", "vid"], "left").join(sums, ["mesh_id", "vid"], "left").join(state.select("mesh_id", "rate"), "mesh_id", "left")
+        moved = scratch(both.select("mesh_id", "vid", "x", "y", "z", *[F.coalesce(F.when(F.col("free"), F.col(n) - F.col("rate") * (s - along * u)), F.col(n)).alias(f"to_{n}") for n, s, u in zip("xyz", gradient, up, strict=True)]), f"moved-{k}")
+        new = with_corners(faces, moved.select("mesh_id", "vid", *[F.col(f"to_{n}").alias(n) for n in "xyz"])).select("mesh_id", "fid", (size / 2).alias("area"), *named(normal, "m"))
+        old = with_corners(faces, moved).select("mesh_id", "fid", *named(normal, "o"))
+        judged = new.join(old, ["mesh_id", "fid"]).join(state.select("mesh_id", "goal"), "mesh_id").groupBy("mesh_id").agg(F.sum(spread).alias("then"), F.bool_or(g.dot(g.vec("mx", "my", "mz"), g.vec("ox", "oy", "oz")) <= 0).alias("over"))
+        judged = scratch(state.join(judged, "mesh_id").select("mesh_id", "goal", "energy", "rate", "then", ((F.col("then") < F.col("energy")) & ~F.col("over")).alias("taken")), f"judged-{k}")
+        steps.append(judged.select("mesh_id", F.lit(k).alias("round"), "energy", "rate", "taken"))
+        taken = moved.join(judged.select("mesh_id", "taken"), "mesh_id", "left")
+        now = scratch(taken.select("mesh_id", "vid", *[F.when(F.col("taken"), F.col(f"to_{n}")).otherwise(F.col(n)).alias(n) for n in "xyz"]), f"now-{k}")
+        state = scratch(judged.select("mesh_id", "goal", F.when(F.col("taken"), F.col("then")).otherwise(F.col("energy")).alias("energy"), F.when(F.col("taken"), F.col("rate") * grow).otherwise(F.col("rate") / 2).alias("rate")), f"state-{k + 1}")
+    every = steps[0] if steps else state.select("mesh_id", F.lit(0).alias("round"), "energy", "rate", F.lit(False).alias("taken")).limit(0)
+    for more in steps[1:]:
+        every = every.unionByName(more)
+    return now, every

@@ -264,6 +264,29 @@ def delaunay(spark, sf):
     return totals.join(failing, "mesh_id", "left").select("mesh_id", "faces", "area", F.coalesce("failing", F.lit(0)).cast("long").alias("failing"))
 
 
+def relaxation_sql(rounds: int, rate: float) -> str:
+    """The rounds one after the other, in a plane."""
+    rim = f"SELECT mesh_id, unnest([u, v]) AS vid FROM (SELECT mesh_id, u, v FROM {SHEET_E} GROUP BY 1, 2, 3 HAVING count(*) = 1)"
+    faces = lambda points: f"SELECT f.mesh_id, fid, v0, v1, v2, a.x AS xa, a.y AS ya, b.x AS xb, b.y AS yb, c.x AS xc, c.y AS yc, ((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x))/2 AS s FROM {SHEET_F} f JOIN {points} a ON a.vid = v0 JOIN {points} b ON b.vid = v1 JOIN {points} c ON c.vid = v2"
+    out = [f"rim AS MATERIALIZED ({rim})", f"p0 AS MATERIALIZED (SELECT mesh_id, vid, x, y FROM {LEANING})", f"t0 AS MATERIALIZED ({faces('p0')})", "goal AS MATERIALIZED (SELECT mesh_id, avg(s) AS goal FROM t0 GROUP BY 1)", f"s0 AS MATERIALIZED (SELECT mesh_id, sum(pow(s-goal, 2)) AS energy, {rate} AS rate FROM t0 JOIN goal USING (mesh_id) GROUP BY 1)"]
+    for k in range(rounds):
+        pulls = " UNION ALL ".join(f"SELECT mesh_id, {v} AS vid, (s-goal)*(y{p}-y{q}) AS gx, (s-goal)*(x{q}-x{p}) AS gy FROM t{k} JOIN goal USING (mesh_id)" for v, p, q in (("v0", "b", "c"), ("v1", "c", "a"), ("v2", "a", "b")))
+        out += [f"g{k} AS MATERIALIZED (SELECT mesh_id, vid, sum(gx) AS gx, sum(gy) AS gy FROM ({pulls}) GROUP BY 1, 2)", f"m{k} AS MATERIALIZED (SELECT p.mesh_id, p.vid, p.x AS ox, p.y AS oy, x-coalesce(CASE WHEN r.vid IS NULL THEN rate*gx END, 0) AS x, y-coalesce(CASE WHEN r.vid IS NULL THEN rate*gy END, 0) AS y FROM p{k} p LEFT JOIN g{k} g USING (vid) LEFT JOIN (SELECT DISTINCT vid FROM rim) r USING (vid) JOIN s{k} ON s{k}.mesh_id = p.mesh_id)",
+            f"u{k} AS MATERIALIZED ({faces(f'm{k}')})", f"j{k} AS MATERIALIZED (SELECT mesh_id, energy, rate, t, t < energy AND low > 0 AS taken FROM s{k} JOIN (SELECT mesh_id, sum(pow(s-goal, 2)) AS t, min(s) AS low FROM u{k} JOIN goal USING (mesh_id) GROUP BY 1) USING (mesh_id))",
+            f"p{k + 1} AS MATERIALIZED (SELECT m.mesh_id, vid, CASE WHEN taken THEN x ELSE ox END AS x, CASE WHEN taken THEN y ELSE oy END AS y FROM m{k} m JOIN j{k} USING (mesh_id))", f"t{k + 1} AS MATERIALIZED ({faces(f'p{k + 1}')})", f"s{k + 1} AS MATERIALIZED (SELECT mesh_id, CASE WHEN taken THEN t ELSE energy END AS energy, CASE WHEN taken THEN rate*1.2 ELSE rate/2 END AS rate FROM j{k})"]
+    return f"WITH {', '.join(out)} SELECT mesh_id, vid, {R(x='x', y='y', energy='energy')} FROM p{rounds} JOIN s{rounds} USING (mesh_id)"
+
+
+@op("R11_area_relaxation", relaxation_sql(3, 0.1))
+def area_relaxation(spark, sf):
+    """Three rounds on the sheets in a plane: where each vertex is then, and the sum of squared differences of its mesh's areas that is left."""
+    vertices, faces = leaning_mesh(spark, sf)
+    points, _ = remesh.relaxed(vertices, faces, 3, scratch := writer(spark), 0.1)
+    area = scratch(mesh.areas(mesh.with_corners(faces, vertices)).groupBy("mesh_id").agg(F.avg("area").alias("goal")), "goal")
+    left = mesh.areas(mesh.with_corners(faces, points)).join(area, "mesh_id").groupBy("mesh_id").agg(F.sum(F.pow(F.col("area") - F.col("goal"), F.lit(2.0))).alias("energy"))
+    return points.join(left, "mesh_id").select("mesh_id", "vid", *rounded(x=F.col("x"), y=F.col("y"), energy=F.col("energy")))
+
+
 @op("R8_decimation", f"SELECT mesh_id, greatest(4, n*3//4) AS vertices, v-e+f AS euler, rims FROM (SELECT mesh_id, count(*) AS n FROM {SHEET_V} GROUP BY 1) JOIN (SELECT mesh_id, count(*) AS f FROM {SHEET_F} GROUP BY 1) USING (mesh_id) JOIN (SELECT mesh_id, count(*) AS e, CAST(0 AS BIGINT) AS rims FROM (SELECT DISTINCT mesh_id, u, v FROM {SHEET_E}) GROUP BY 1) USING (mesh_id) JOIN (SELECT mesh_id, count(DISTINCT p) AS v FROM (SELECT mesh_id, unnest([u, v]) AS p FROM {SHEET_E}) GROUP BY 1) USING (mesh_id)")
 def decimation(spark, sf):
     """Three quarters of each sheet's vertices stay. For each mesh: vertices, the Euler characteristic of what faces use, and border vertices with other than two border sides; tests hold the cost against collapses one by one."""
