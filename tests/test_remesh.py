@@ -219,3 +219,53 @@ def test_decimation_against_one_by_one(spark):
         q = quadrics({p[1]: np.array(p[2:]) for p in own_points}, {f[1]: f[2:] for f in own_faces})
         cost = sum(np.append(at[t], 1) @ q[v] @ np.append(at[t], 1) for v, t in {**{v: v for v in at}, **target}.items())
         assert cost < 2.5 * plain_decimation(own_points, own_faces, budgets[m]), m
+
+
+def plain_relaxation(points, faces, rounds, rate):
+    at, tri = np.array([p[2:] for p in points]), np.array([f[2:] for f in faces])
+    count: dict[tuple[int, int], int] = {}
+    for f in tri:
+        for i in range(3):
+            side = tuple(sorted((int(f[i]), int(f[(i + 1) % 3]))))
+            count[side] = count.get(side, 0) + 1
+    free = np.ones(len(at), bool)
+    free[[v for s, n in count.items() if n == 1 for v in s]] = False
+
+    def normals(p):
+        return np.cross(p[tri[:, 1]] - p[tri[:, 0]], p[tri[:, 2]] - p[tri[:, 0]])
+
+    areas = lambda p: np.linalg.norm(normals(p), axis=1) / 2
+    goal, steps = areas(at).mean(), []
+    for _ in range(rounds):
+        n, gradient, up = normals(at), np.zeros_like(at), np.zeros_like(at)
+        unit = n / np.linalg.norm(n, axis=1, keepdims=True)
+        for i in range(3):
+            pull = np.cross(unit, at[tri[:, (i + 2) % 3]] - at[tri[:, (i + 1) % 3]]) * (areas(at) - goal)[:, None]
+            np.add.at(gradient, tri[:, i], pull)
+            np.add.at(up, tri[:, i], n)
+        gradient -= up * ((gradient * up).sum(1) / (up * up).sum(1))[:, None]
+        new = np.where(free[:, None], at - rate * gradient, at)
+        before, then = ((areas(at) - goal) ** 2).sum(), ((areas(new) - goal) ** 2).sum()
+        taken = bool(then < before and ((normals(new) * n).sum(1) > 0).all())
+        steps.append((before, rate, taken))
+        at, rate = (new, rate * 1.2) if taken else (at, rate / 2)
+    return at, steps
+
+
+def test_relaxation_against_numpy(spark):
+    r = np.random.default_rng(6)
+    meshes = [sheet(0, 7, lambda j, i: (j + r.uniform(-0.3, 0.3), i + r.uniform(-0.3, 0.3), 0.5 * math.sin(j))), sheet(3, 6, lambda j, i: (3 * j + r.uniform(-0.9, 0.9), 3 * i + r.uniform(-0.9, 0.9), 0)), ball(4)]
+    points, faces = (spark.createDataFrame([x for some in meshes for x in some[k]], (POINT, FACE)[k]) for k in (0, 1))
+    rounds, rate = 4, 0.3  # too long a step for the second mesh: it is halved there only
+    now, steps = (x.collect() for x in remesh.relaxed(points, faces, rounds, writer(spark), rate))
+    refused = set()
+    for own_points, own_faces in meshes:
+        m = own_points[0][0]
+        want, want_steps = plain_relaxation(own_points, own_faces, rounds, rate)
+        got = {p.vid: (p.x, p.y, p.z) for p in now if p.mesh_id == m}
+        assert np.allclose([got[p[1]] for p in own_points], want, atol=1e-9)
+        mine = sorted((s.round, s.energy, s.rate, s.taken) for s in steps if s.mesh_id == m)
+        assert [s[3] for s in mine] == [s[2] for s in want_steps] and np.allclose([s[1:3] for s in mine], [s[:2] for s in want_steps])
+        assert all(b[1] < a[1] if a[3] else b[1] == a[1] for a, b in zip(mine, mine[1:], strict=False)) and any(s[3] for s in mine)  # the spread of areas falls with each step taken
+        refused |= {m for s in mine if not s[3]}
+    assert 3 in refused
