@@ -101,9 +101,9 @@ def look_at(spark, sf):
     return x.points(spark, sf).select("point_id", *rounded(f=view[2][0], k=g.intrinsics(50, 45, 27, 12)[0][0], r11=plane[0][0]))
 
 
-@catalog.op("P16_pixel_normals", f"""WITH v AS (SELECT vec_id AS img, CAST(k//8 AS INT) AS v, CAST(k%8 AS INT) AS u, CAST(k%8 AS DOUBLE) AS x, CAST(k//8 AS DOUBLE) AS y, CAST(embedding[k+1] AS DOUBLE)*5 AS z FROM embeddings, (SELECT unnest(range(64)) AS k))
-SELECT a.img, a.v, a.u, {R(nx='-(b.z-a.z)/sqrt((b.z-a.z)*(b.z-a.z)+(c.z-a.z)*(c.z-a.z)+1)', ny='-(c.z-a.z)/sqrt((b.z-a.z)*(b.z-a.z)+(c.z-a.z)*(c.z-a.z)+1)', nz='1/sqrt((b.z-a.z)*(b.z-a.z)+(c.z-a.z)*(c.z-a.z)+1)')}
-FROM v a JOIN v b ON a.img=b.img AND b.v=a.v AND b.u=a.u+1 JOIN v c ON a.img=c.img AND c.u=a.u AND c.v=a.v+1""")
+@catalog.op("P16_pixel_normals", f"""WITH v AS (SELECT vec_id AS img, CAST(k//8 AS INT) AS v, CAST(k%8 AS INT) AS u, CAST(embedding[k+1] AS DOUBLE)*5 AS z FROM embeddings, (SELECT unnest(range(64)) AS k)),
+n AS (SELECT img, v, u, lead(z) OVER (PARTITION BY img, v ORDER BY u)-z AS dx, lead(z) OVER (PARTITION BY img, u ORDER BY v)-z AS dy FROM v)
+SELECT img, v, u, {R(nx='-dx/sqrt(dx*dx+dy*dy+1)', ny='-dy/sqrt(dx*dx+dy*dy+1)', nz='1/sqrt(dx*dx+dy*dy+1)')} FROM n WHERE dx IS NOT NULL AND dy IS NOT NULL""")
 def pixel_normals(spark, sf):
     k = F.col("k")
     grid = x.table(spark, sf, "embeddings").select(F.col("vec_id").alias("img"), F.posexplode("embedding").alias("k", "e"))
