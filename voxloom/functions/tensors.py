@@ -108,6 +108,15 @@ def layer_sizes(size: int, kernels: list[int], pools: list[int], padded: bool =
     return out
 
 
+def layer_size_columns(size, kernels: list[int], pools: list[int], padded: bool = False) -> list:
+    """layer_sizes() of an axis whose size is a column."""
+    out = []
+    for kernel, pool in zip(kernels, pools, strict=True):
+        size = F.floor((size - 2 * (kernel // 2) * padded) / pool)
+        out.append(size)
+    return out
+
+
 def init_bound(method: str, fan_in: int, fan_out: int, value: float = 0.0) -> float:
     """Half-width of the uniform distribution that a method draws first weights from."""
     variance = {"heuristic": 1 / (3 * fan_in), "xavier": 2 / (fan_in + fan_out), "xavier_caffe": 1 / fan_in, "kaiming": 4 / (fan_in + fan_out)}

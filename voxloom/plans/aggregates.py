@@ -147,8 +147,14 @@ add("L10_weight_decay", lambda s, d: metrics.weight_decay(x.codes(s, d), 1e-4).s
 U01 = "(CAST('0x'||substr(md5('init:'||vec_id),1,8) AS BIGINT)/4294967296.0)"
 add("L11_initial_weights", lambda s, d: x.table(s, d, "embeddings").select("vec_id", *[r6(tensors.initial_weight(m, 24, 12, tensors.uniform_of(F.lit("init"), F.col("vec_id").cast("string")), F.lit(0.0), 0.05)).alias(m) for m in ("fixed", "uniform", "heuristic", "xavier", "xavier_caffe", "kaiming")]),
     f"SELECT vec_id, {R(fixed='0.05', uniform=f'(2*{U01}-1)*0.05', heuristic=f'(2*{U01}-1)*sqrt(1/24.0)', xavier=f'(2*{U01}-1)*sqrt(6/36.0)', xavier_caffe=f'(2*{U01}-1)*sqrt(3/24.0)', kaiming=f'(2*{U01}-1)*sqrt(12/36.0)')} FROM embeddings")
-SIZES = {axis: tensors.layer_sizes(n, [3, 3, 3], [2, 2, 3]) for axis, n in zip("hwd", x.GRID, strict=True)}
-add("L12_layer_sizes", lambda s, d: s.createDataFrame([(k + 1, *(SIZES[a][k] for a in "hwd")) for k in range(3)], "layer long, h long, w long, d long"), f"SELECT CAST(layer AS BIGINT) AS layer, CAST({H}//p AS BIGINT) AS h, CAST({W}//p AS BIGINT) AS w, CAST({D}//p AS BIGINT) AS d FROM (VALUES (1, 2), (2, 4), (3, 12)) t(layer, p)")
+@op("L12_layer_sizes", f"SELECT box_id, CAST(layer AS INT) AS layer, CAST(floor(sy) AS BIGINT)//p AS h, CAST(floor(sx) AS BIGINT)//p AS w, CAST(floor(sz) AS BIGINT)//p AS d FROM {x.BOXES}, (VALUES (1, 2), (2, 4), (3, 12)) t(layer, p)")
+def layer_sizes(spark, sf):
+    """The grid that a box of voxels has after each of three layers."""
+    axes = {n: tensors.layer_size_columns(F.floor(c), [3, 3, 3], [2, 2, 3]) for n, c in (("h", "sy"), ("w", "sx"), ("d", "sz"))}
+    layers = F.explode(F.array(*[F.struct(F.lit(k + 1).alias("layer"), *[axes[n][k].alias(n) for n in "hwd"]) for k in range(3)]))
+    return x.boxes(spark, sf).select("box_id", layers.alias("l")).select("box_id", "l.*")
+
+
 add("L13_max_pool", lambda s, d: volume.pooled(x.volume(s, d), 2).select("sample_id", "h", "w", "d", r6(F.col("value")).alias("value")), f"SELECT sample_id, CAST(h//2 AS INT) AS h, CAST(w//2 AS INT) AS w, CAST(d//2 AS INT) AS d, {R(value='max(value)')} FROM {x.VOLUME} GROUP BY 1, 2, 3, 4")
 add("L13_upsample", lambda s, d: volume.upsampled(x.volume(s, d), 2).select("sample_id", "h", "w", "d", r6(F.col("value")).alias("value")), f"SELECT sample_id, CAST(h*2+a AS INT) AS h, CAST(w*2+b AS INT) AS w, CAST(d*2+c AS INT) AS d, {R(value='value')} FROM {x.VOLUME}, (SELECT unnest(range(2)) AS a), (SELECT unnest(range(2)) AS b), (SELECT unnest(range(2)) AS c)")
 
