@@ -30,6 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,7 +127,7 @@ def pieces_of(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index("text"))).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(batch.schema.get_field_index("text"))).fill_null(0).to_numpy(zero_copy_only=False)
         upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         at = 0
         while at < batch.num_rows:
