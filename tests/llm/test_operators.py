@@ -400,6 +400,43 @@ def test_similar_documents_against_brute_force(spark, groups, size):
     assert kept == {min(v) for v in got.values()}
 
 
+def test_short_documents_meet_whatever_their_size(spark):
+    """Pairs at or just above the least similarity, by appended words: each is linked, and only these are."""
+    r, rows = random.Random(33), []
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+    for less, more in ((4, 5), (5, 6), (6, 7), (12, 15), (20, 25), (48, 60), (52, 65), (64, 80)):
+        for _ in range(40):
+            words = [word() for _ in range(more + 4)]
+            rows += [(len(rows), " ".join(words[: less + 4])), (len(rows) + 1, " ".join(words))]
+    rows += [(len(rows) + k, " ".join(word() for _ in range(r.randrange(1, 12)))) for k in range(200)]
+    got = {x.doc_id: x.root for x in similar.Finder(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8, 0.95, common.Scratch(spark, "test")).roots().collect()}
+    assert all((got[d] == got[d - 1]) == (d % 2 == 1) for d in range(1, 640))
+    assert len({got[d] for d in range(640, len(rows))}) == len({t for _, t in rows[640:]})
+
+
+def test_short_documents_of_common_passages_against_brute_force(spark):
+    """Shingles that hundreds of short documents share, as whole documents, copies or parts of unlike ones."""
+    r, texts = random.Random(34), {}
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    passages = [[word() for _ in range(24)] for _ in range(3)]
+    for _ in range(500):
+        own = [word() for _ in range(r.choice((0, 1, 2, 3, 6, 12)))]
+        words = r.choice(passages) + own if r.random() < 0.7 else own + r.choice(passages)[: r.randrange(12, 24)]
+        texts[len(texts)] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x.doc_id for x in similar.keep_one(docs).collect()} == set(similar_classes(texts).values())
+
+
+def test_chance_of_a_bit_in_short_documents():
+    """The chance by counting against drawn bits, and no pair of small sets beyond the greatest one."""
+    r = np.random.default_rng(35)
+    for n, m, common_ones in ((4, 5, 4), (5, 6, 5), (12, 15, 12), (7, 7, 7)):
+        bits = r.random((200_000, n + m - common_ones)) < 0.5
+        a, b = 2 * bits[:, :n].sum(1) > n, 2 * bits[:, n - common_ones :].sum(1) > m
+        assert (a != b).mean() < similar.differing_in_short(0.8) + 0.01
+    assert similar.differing_in_short(0.8, 4) == pytest.approx(0.1875)  # four of five
+
+
 def test_segments_meet_as_often_as_they_should():
     r = np.random.default_rng(16)
     for documents, similarity in ((1000, 0.8), (10**6, 0.8), (10**6, 0.9)):

@@ -8,6 +8,11 @@ joins find documents whose segments differ by one bit (or by one bit each). A se
 bits more than the documents' number has, and there are as many tables as the wanted recall at
 the least similarity takes, so both follow from the number of documents.
 
+That chance holds for sets of many shingles. Documents of few shingles meet exactly instead: of two
+that are similar enough each has, among its rarest shingles, one of the other's (their number follows
+from the similarity), so these shingles are their keys. What is rare is said by one order of all
+shingles, the most frequent ones last; any order finds the same pairs.
+
 What meets is verified: the whole fingerprint settles clear cases, and pairs within its margin of
 error whose documents aren't in one class yet are compared shingle by shingle. In keys of many
 documents all meet the key's first document, and then only documents that are in different
@@ -22,6 +27,7 @@ row; repeated rows are one class.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -40,6 +46,10 @@ BITS = 64 * WORDS
 FINE = 4 * WORDS
 #: Bits of a node's number within a member of a key.
 CUT = 56
+#: Documents of at most so many distinct shingles have their rarest shingles as keys.
+SHORT = 80
+#: So many of the most frequent shingles come last in the order of shingles.
+FREQUENT = 100_000
 #: A key of more documents than this is full: its documents meet the first of them, and later those of other classes.
 FULL = 8
 
@@ -78,6 +88,26 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+@functools.cache
+def differing_in_short(similarity: float, most: int = SHORT) -> float:
+    """The greatest chance that a bit differs, over all sizes of sets of which the smaller has at most so many shingles."""
+
+    def heads(n: int) -> np.ndarray:  # chances of 0 to n set bits
+        return np.array([math.comb(n, k) for k in range(n + 1)]) / 2**n
+
+    def majority(own: int, size: int, common: int) -> np.ndarray:  # of `size` shingles, for each number of common bits
+        tail = np.append(np.cumsum(heads(own)[::-1])[::-1], 0.0)
+        return tail[np.clip(size // 2 + 1 - np.arange(common + 1), 0, own + 1)]
+
+    greatest = 0.0
+    for n in range(1, most + 1):
+        for m in range(n, int(n / similarity + 1e-9) + 1):
+            common = math.ceil(similarity * (n + m) / (1 + similarity) - 1e-9)
+            a, b = majority(n - common, n, common), majority(m - common, m, common)
+            greatest = max(greatest, float((heads(common) * (a + b - 2 * a * b)).sum()))
+    return greatest
+
+
 def share_of_tables(bits: int, p: float) -> float:
     """The chance that two segments meet: none differs, one does, or two of which each document has one."""
     return (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1) + bits * (bits - 1) / 4 * p**2 * (1 - p) ** (bits - 2)
@@ -114,6 +144,33 @@ def entries(prints: DataFrame, cut: list[list[int]]) -> DataFrame:
     return prints.select("node", "print").mapInPandas(of, "key long, member long")
 
 
+def prefixes(prints: DataFrame, similarity: float, frequent: list[int]) -> DataFrame:
+    """(key, member): of each node (node, shingles) the rarest shingles, one of which any similar document has among its own.
+
+    frequent: shingles by falling frequency. Keys are negative, those of segments aren't.
+    """
+    known = np.array(frequent, np.int64)
+    place = np.argsort(known)
+    known, rank = known[place], len(known) - place
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for node, shingles in zip(batch["node"], batch["shingles"], strict=True):
+                h = np.asarray(shingles, np.int64)
+                at = np.searchsorted(known, h)
+                late = np.zeros(len(h), np.int64)
+                found = at < len(known)
+                found[found] = known[at[found]] == h[found]
+                late[found] = rank[at[found]]
+                h = h[np.lexsort((h, late))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+                keys.append(~(h.view(np.uint64) >> np.uint64(1)).view(np.int64))
+                nodes.append(np.full(len(h), node, np.int64))
+            yield pd.DataFrame({"key": np.concatenate(keys), "member": np.concatenate(nodes)})
+
+    return prints.select("node", "shingles").mapInPandas(of, "key long, member long")
+
+
 def node_of(member: Column) -> Column:
     return member.bitwiseAND(F.lit((1 << CUT) - 1))
 
@@ -143,35 +200,55 @@ class Finder:
         self.docs, self.width, self.similarity, self.recall, self.scratch = docs, width, similarity, recall, scratch
         self.p = differing(similarity)
 
+    def reach(self, short: Column, bits: int) -> Column:
+        """How many bits differ at most; of short documents no pair is left out before it is compared."""
+        return F.when(short, margin(differing_in_short(self.similarity), bits, 6)).otherwise(margin(self.p, bits, 3))
+
     def sketches(self) -> DataFrame:
+        """(doc_id, row_hash, print, shingles): the shingles of short documents, else null."""
         width = self.width
 
-        def of(texts: pd.Series) -> pd.Series:
-            return pd.Series([wide_print(shingle_hashes(t, width)) for t in texts])
+        def of(texts: pd.Series) -> pd.DataFrame:
+            sets = [shingle_hashes(t, width) for t in texts]
+            return pd.DataFrame({"print": [wide_print(h) for h in sets], "shingles": [h.view(np.int64) if len(h) <= SHORT else None for h in sets]})
+
+        made = F.pandas_udf(of, "print array<long>, shingles array<long>")("text")
+        return self.docs.select("doc_id", hashed_rows(self.docs).alias("row_hash"), made.alias("made")).select("doc_id", "row_hash", "made.*")
 
-        return self.docs.select("doc_id", hashed_rows(self.docs).alias("row_hash"), F.pandas_udf(of, "array<long>")("text").alias("print"))
+    def entries(self) -> DataFrame:
+        """(key, member) of all nodes: segments of documents with many shingles, the rarest shingles of short ones.
+
+        The sizes overlap, so that any two similar documents have keys of one kind.
+        """
+        short = self.prints.where("shingles IS NOT NULL").select("node", "shingles")
+        long = self.prints.where(F.col("shingles").isNull() | (F.size("shingles") > int(self.similarity * SHORT)))
+        counts = short.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(f"n > {FULL}")
+        frequent = [r.s for r in counts.orderBy(F.desc("n"), "s").limit(FREQUENT).collect()]
+        return entries(long, segments(long.count(), self.similarity, self.recall)).unionByName(prefixes(short, self.similarity, frequent))
 
     def met(self) -> DataFrame:
         """Of keys up to FULL nodes their pairs (a, b) without a key, of fuller ones (key, first node a, node b, member).
 
+        short: the key is a shingle.
         One shuffle by key serves all of it. A key in which all have the same bit deleted says no more than their whole segment.
         """
-        every = entries(self.prints, segments(self.prints.count(), self.similarity, self.recall)).repartition("key")
+        every = self.entries().repartition("key")
         shared = every.groupBy("key").agg(F.count("*").alias("n"), F.min("member").alias("first"), F.max(cut_of(F.col("member"))).alias("last_cut"))
         shared = shared.where((F.col("n") > 1) & ((F.col("last_cut") == 0) | (cut_of(F.col("first")) < F.col("last_cut")))).drop("last_cut")
         held = every.join(shared, "key")
         few = held.where(f"n <= {FULL}").groupBy("key").agg(F.array_sort(F.collect_list("member")).alias("all"))
         pairs = F.flatten(F.transform("all", lambda x, i: F.transform(F.filter(F.slice("all", i + 2, FULL), lambda y: ~alike(x, y)), lambda y: F.struct(F.least(node_of(x), node_of(y)).alias("a"), F.greatest(node_of(x), node_of(y)).alias("b")))))
         none = F.lit(None).cast("long")
-        few = few.select(F.explode(pairs).alias("p")).select(none.alias("key"), "p.a", "p.b", none.alias("member"))
-        full = held.where(f"n > {FULL}").select("key", node_of(F.col("first")).alias("a"), node_of(F.col("member")).alias("b"), "member")
+        short = (F.col("key") < 0).alias("short")
+        few = few.select(short, F.explode(pairs).alias("p")).select(none.alias("key"), "p.a", "p.b", none.alias("member"), "short")
+        full = held.where(f"n > {FULL}").select("key", node_of(F.col("first")).alias("a"), node_of(F.col("member")).alias("b"), "member", short)
         return self.scratch.table(few.unionByName(full), "met")
 
     def within(self, pairs: DataFrame, prints: DataFrame, bits: int) -> DataFrame:
-        """Pairs (a, b) of nodes with the distance d of their prints (node, print) of so many bits, those out of reach left out."""
+        """Pairs (a, b, short) of nodes with the distance d of their prints (node, print) of so many bits, those out of reach left out."""
         side = lambda node, fp: prints.select(F.col("node").alias(node), F.col("print").alias(fp))
         both = pairs.join(side("a", "of_a"), "a").join(side("b", "of_b"), "b")
-        return both.select("a", "b", apart("of_a", "of_b").alias("d")).where(F.col("d") <= margin(self.p, bits, 3))
+        return both.select("a", "b", "short", apart("of_a", "of_b").alias("d")).where(F.col("d") <= self.reach(F.col("short"), bits))
 
     def classes(self, links: DataFrame) -> DataFrame:
         linked = components(links, self.scratch).withColumnRenamed("node", "n")
@@ -210,7 +287,7 @@ class Finder:
 
     def linked(self, near: DataFrame, bits: int, links: DataFrame | None, classes: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame]:
         """(links, classes) with what the near pairs add: the clear ones first, then those that a comparison confirms."""
-        tight = F.col("d") <= margin(self.p, bits, -3)
+        tight = ~F.col("short") & (F.col("d") <= margin(self.p, bits, -3))
         sure = self.scratch.table(near.where(tight).select("a", "b"), f"{name}-sure")
         links = sure if links is None else links.unionByName(sure)
         if classes is None or not sure.isEmpty():
@@ -224,14 +301,15 @@ class Finder:
         """(doc_id, row_hash, root) for each row of docs."""
         scratch = self.scratch
         rows = scratch.table(self.sketches(), "rows")
-        prints = rows.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_hash")).alias("one"))
+        prints = rows.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_hash", "shingles")).alias("one"))
+        prints = prints.select("print", F.col("one").dropFields("shingles").alias("one"), "one.shingles")
         # The numbers are written with the table, and so stay the same.
         self.prints = prints = scratch.table(prints.withColumn("node", F.monotonically_increasing_id()), "prints")
         met = self.met()
         # A quarter of the fingerprint sorts most pairs out that met by chance, before all of it is shuffled.
         # A pair that met in many keys is one before that: by a's partitions, which the join with a needs anyway.
-        pairs = met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).repartition("a").distinct()
-        pairs = self.within(pairs, prints.select("node", F.slice("print", 1, 2).alias("print")), 128).select("a", "b")
+        pairs = met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "short").repartition("a").groupBy("a", "b").agg(F.max("short").alias("short"))
+        pairs = self.within(pairs, prints.select("node", F.slice("print", 1, 2).alias("print")), 128).select("a", "b", "short")
         near = scratch.table(self.within(pairs, prints, BITS), "near")
         links, classes = self.linked(near, BITS, None, None, "first")
         full = met.where("key IS NOT NULL").select("key", F.col("b").alias("node"), "member")
@@ -245,9 +323,10 @@ class Finder:
             held = held.groupBy("node", "root").agg(F.collect_list(F.struct("key", "member", "minor")).alias("keys")).join(fine, "node").select("node", "root", "made", F.inline("keys"))
             p, q = held.where("minor").alias("p"), held.alias("q")
             once = (~F.col("q.minor") | (F.col("p.node") < F.col("q.node"))) & ~alike(F.col("p.member"), F.col("q.member"))
-            reach = margin(self.p, 64 * FINE, 3)
+            reach = self.reach(F.col("p.key") < 0, 64 * FINE)
             rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & once & (apart("p.made", "q.made") <= reach))
-            rest = rest.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"), apart("p.made", "q.made").alias("d")).distinct()
+            rest = rest.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"), (F.col("p.key") < 0).alias("short"), apart("p.made", "q.made").alias("d"))
+            rest = rest.groupBy("a", "b", "d").agg(F.max("short").alias("short"))
             links, classes = self.linked(scratch.table(rest, "rest"), 64 * FINE, links, classes, "last")
         return scratch.table(rows.join(prints.select("print", "node"), "print").join(classes, "node").select("doc_id", "row_hash", "root"), "roots")
 
