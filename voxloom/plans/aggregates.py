@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from voxloom.functions import strings, tensors
-from voxloom.operators import mesh, metrics, remesh, sampling, spatial, volume
+from voxloom.operators import descent, layers, mesh, metrics, remesh, sampling, spatial, volume
 from voxloom.plans import fixtures as x
 from voxloom.plans.fixtures import R, Catalog, r6, rounded
 from voxloom.plans.scratch import writer
@@ -166,6 +167,63 @@ def linear_layer(spark, sf):
     return x.table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.array(*rows)).alias("o", "value")).select("vec_id", "o", r6(F.col("value")).alias("value"))
 
 
+def channels(spark, sf):
+    """Volumes of two channels: the values and their signs' half."""
+    both = F.array(F.col("value"), F.when(F.col("value") > 0, 0.5).otherwise(-0.5))
+    return x.volume(spark, sf).select("sample_id", "h", "w", "d", F.posexplode(both).alias("channel", "value"))
+
+
+CHANNELS = f"(SELECT sample_id, h, w, d, CAST(channel AS INT) AS channel, CASE WHEN channel = 0 THEN value WHEN value > 0 THEN 0.5 ELSE -0.5 END AS value FROM {x.VOLUME}, (SELECT unnest(range(2)) AS channel))"
+KERNEL = np.array([[[(o * 7 + i * 5 + k * 3) % 13 / 13.0 - 0.5 for k in range(27)] for i in range(2)] for o in range(3)]).reshape(3, 2, 3, 3, 3)
+NEIGHBOURS = f"SELECT p.sample_id, CAST(o AS INT) AS channel, p.h, p.w, p.d, sum(q.value*((o*7+q.channel*5+((q.h-p.h+1)*9+(q.w-p.w+1)*3+q.d-p.d+1)*3)%13/13.0-0.5))+o*0.1 AS value FROM {x.VOLUME} p JOIN {CHANNELS} q ON p.sample_id = q.sample_id AND abs(p.h-q.h) <= 1 AND abs(p.w-q.w) <= 1 AND abs(p.d-q.d) <= 1, (SELECT unnest(range(3)) AS o) GROUP BY p.sample_id, o, p.h, p.w, p.d"
+NORMALISED = "SELECT sample_id, channel, h, w, d, (value-avg(value) OVER (PARTITION BY channel))/sqrt(var_pop(value) OVER (PARTITION BY channel)+1e-5)*2+0.5 AS value FROM {of}"
+LAYER = ("sample_id", "channel", "h", "w", "d")
+
+
+def convolved(spark, sf):
+    return layers.convolved(channels(spark, sf), KERNEL, [0.0, 0.1, 0.2], (4, 4, 4))
+
+
+add("L14_convolution", lambda s, d: convolved(s, d).select(*LAYER, r6(F.col("value")).alias("value")), f"SELECT sample_id, channel, h, w, d, {R(value='value')} FROM ({NEIGHBOURS})")
+
+
+@op("L14_batch_norm", f"SELECT sample_id, channel, h, w, d, {R(value='value')} FROM ({NORMALISED.format(of=CHANNELS)})")
+def batch_norm(spark, sf):
+    volumes = channels(spark, sf)
+    return layers.normalised(volumes, layers.moments(volumes), 2.0, 0.5).select(*LAYER, r6(F.col("value")).alias("value"))
+
+
+@op("L14_encoder_block", f"SELECT sample_id, channel, CAST(h//2 AS INT) AS h, CAST(w//2 AS INT) AS w, CAST(d//2 AS INT) AS d, {R(value='max(greatest(value, 0))')} FROM ({NORMALISED.format(of=f'({NEIGHBOURS})')}) GROUP BY 1, 2, 3, 4, 5")
+def encoder_block(spark, sf):
+    """Convolution, normalisation, rectifier and pooling; the convolution is written once for the two that read it."""
+    inner = writer(spark)(convolved(spark, sf), "convolved")
+    block = layers.pooled(layers.rectified(layers.normalised(inner, layers.moments(inner), 2.0, 0.5)), 2)
+    return block.select(*LAYER, r6(F.col("value")).alias("value"))
+
+
+def coded(spark, sf):
+    """(sample_id, z, target): codes of 8 numbers and the occupancy of 64 voxels."""
+    numbers = F.transform("embedding", lambda v: v.cast("double") * 20)
+    return x.table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample_id"), F.slice(numbers, 1, 8).alias("z"), F.transform(numbers, lambda v: F.when(v > 0, 1.0).otherwise(0.0)).alias("target"))
+
+
+@op("L16_weight_descent")
+def weight_descent(spark, sf):
+    """The mean loss before each of 20 steps of momentum descent on shared weights; tests compare with a numpy loop."""
+    samples = writer(spark)(coded(spark, sf), "samples")
+    _, _, losses = descent.fit_weights(samples, 64, 8, 20, descent.Schedule(), weight_decay=1e-4)
+    return spark.createDataFrame([(k, v) for k, v in enumerate(losses)], "step int, loss double").select("step", r6(F.col("loss")).alias("loss"))
+
+
+@op("G9_code_descent")
+def code_descent(spark, sf):
+    """Each sample's code under a fixed decoder, from what is seen of it; tests compare with a loop for each sample."""
+    seen = coded(spark, sf).withColumn("target", F.transform("target", lambda v, k: F.when(F.pmod(k + F.col("sample_id"), F.lit(3)) != 0, v)))
+    weights = np.array([[(k * 3 + j * 5) % 7 / 7.0 - 0.4 for j in range(8)] for k in range(64)])
+    out = descent.fit_codes(seen, weights, np.zeros(64), 100, descent.Schedule(rate=0.02))
+    return out.select("sample_id", *rounded(first_loss=F.col("first_loss"), loss=F.col("loss")), "steps")
+
+
 @op("G7_shape_reconstruction", f"WITH m AS (SELECT CAST(k AS INT) AS k, avg(CAST(embedding[k+1] AS DOUBLE)) AS mean FROM embeddings, (SELECT unnest(range(64)) AS k) GROUP BY 1), z AS (SELECT sample_id, dim, mu FROM {x.CODES} WHERE dim < 5) SELECT z.sample_id, m.k, round(sum(((m.k*3+z.dim*5)%7/10.0-0.3)*z.mu)+max(m.mean),6)+0.0 AS value FROM z, m GROUP BY 1, 2")
 def shape_reconstruction(spark, sf):
     """basis x code + mean: 64 cells, 5 components."""
