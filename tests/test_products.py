@@ -9,6 +9,7 @@ from voxloom.functions import geometry as g
 from voxloom.operators import spatial
 from voxloom.plans import catalog
 from voxloom.plans import fixtures as x
+from voxloom.plans.scratch import writer
 
 
 def lits(*v):
@@ -67,3 +68,20 @@ def test_quick_rounding(spark):
     values = [0.0, -0.0, 1e-7, -1e-7, 0.0000005, -2.5e-7, 123.4567894, -54.0000015, 1e7 + 0.1234567, -3e12, None]
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", x.r6(F.col("v")).alias("a"), x.quick6(F.col("v")).alias("b")).collect()
     assert all((r.a is None and r.b is None) or r.a == r.b for r in got) and str(got[1].b) == "0.0"
+
+
+def test_nearest_among_crowds(spark):
+    """The first radius follows from the density, points at one place are cut to the first ids; as brute force."""
+    r = np.random.default_rng(9)
+    pts = np.concatenate([r.normal(0, 0.01, (300, 3)), r.uniform(-20, 20, (60, 3)), np.zeros((50, 3))])
+    df = spark.createDataFrame([(k, 0, *map(float, p)) for k, p in enumerate(pts)], "point_id long, cloud_id long, x double, y double, z double")
+    assert spatial.fitting_radius(df.where("point_id < 360"), 8.0, ["cloud_id"], 5) < 0.1
+    scratch = writer(spark)
+    tables = []
+    got = spatial.nearest(df.withColumnRenamed("point_id", "query_id"), df, 2, 8.0, lambda t, name: tables.append(name) or scratch(t, name), apart=3, within=12.0).collect()
+    want = set()
+    for q, p in enumerate(pts):
+        d = ((pts - p) ** 2).sum(1)
+        d[max(0, q - 3) : q + 4] = np.inf
+        want |= {(q, int(j), n + 1) for n, j in enumerate(np.lexsort((np.arange(len(d)), d))[:2]) if d[j] <= 144}
+    assert {(row.query_id, row.point_id, row["rank"]) for row in got} == want and "best8" in tables
