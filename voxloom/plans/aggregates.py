@@ -237,7 +237,7 @@ def shape_reconstruction(spark, sf):
 add("O1_natural_order", lambda s, d: x.table(s, d, "documents").select("source").distinct().select("source", strings.natural_key(F.col("source")).alias("key")), "SELECT DISTINCT source, 'src' || lpad(replace(source, 'src', ''), 12, '0') AS key FROM documents")
 add("O2_latest", lambda s, d: x.table(s, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("latest")), "SELECT user_id, arg_max(event_type, event_id) AS latest FROM events GROUP BY 1")
 add("O3_every_nth", lambda s, d: sampling.every_nth(x.detections(s, d), "det_id", 3, "frame").select("frame", "det_id"), f"SELECT frame, det_id FROM {x.DETECTIONS} QUALIFY (row_number() OVER (PARTITION BY frame ORDER BY det_id)-1) % 3 = 0")
-add("O4_smallest_k", lambda s, d: spatial.radius_search(x.points(s, d).withColumnRenamed("point_id", "query_id"), x.points(s, d), 12.0).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "point_id"))), 1, 2).alias("best")).select("query_id", F.explode("best").alias("b")).select("query_id", "b.point_id"),
+add("O4_smallest_k", lambda s, d: spatial.nearest(x.points(s, d).withColumnRenamed("point_id", "query_id"), x.points(s, d), 2, 12.0, writer(s), within=12.0).select("query_id", "point_id"),
     f"SELECT q.point_id AS query_id, p.point_id FROM {x.POINTS} q JOIN {x.POINTS} p USING (cloud_id) WHERE pow(q.x-p.x,2)+pow(q.y-p.y,2)+pow(q.z-p.z,2) <= 144 QUALIFY row_number() OVER (PARTITION BY q.point_id ORDER BY pow(q.x-p.x,2)+pow(q.y-p.y,2)+pow(q.z-p.z,2), p.point_id) <= 2")
 add("O5_selection", lambda s, d: x.points(s, d).groupBy("cloud_id").agg(r6(F.percentile("y", F.lit(0.25))).alias("q1")), f"SELECT cloud_id, {R(q1='quantile_cont(y, 0.25)')} FROM {x.POINTS} GROUP BY 1")
 add("O6_disjoint_split", lambda s, d: sampling.exact_split(x.table(s, d, "documents"), "doc_id", {"train": 0.45, "test": 0.45, "val": 0.1}, "source"),
