@@ -85,3 +85,25 @@ def test_nearest_among_crowds(spark):
         d[max(0, q - 3) : q + 4] = np.inf
         want |= {(q, int(j), n + 1) for n, j in enumerate(np.lexsort((np.arange(len(d)), d))[:2]) if d[j] <= 144}
     assert {(row.query_id, row.point_id, row["rank"]) for row in got} == want and "best8" in tables
+
+
+def test_triangle_kernels_against_the_expressions(spark, monkeypatch):
+    """Distances, parities and first hits by blocks; with a degenerate triangle and unknown numbers."""
+    triangles = x.triangles(spark, SF).where("fid < 120 AND mesh_id < 2")
+    odd = spark.createDataFrame([(0, 900, *[5.0] * 9), (1, 901, *[3.0] * 6, None, 1.0, 1.0)], triangles.schema)
+    triangles = triangles.unionByName(odd)
+    queries = x.points(spark, SF).where("point_id < 150 AND cloud_id < 2").selectExpr("point_id AS query_id", "cloud_id AS mesh_id", "x", "y", "z")
+    queries = queries.unionByName(spark.createDataFrame([(997, 0, None, 1.0, 2.0), (998, 1, 3.0, 3.0, 3.0)], queries.schema))
+    p, corners = g.vec("x", "y", "z"), (g.vec("ax", "ay", "az"), g.vec("kx", "ky", "kz"), g.vec("cx", "cy", "cz"))
+    hit, seen = g.ray_triangle(p, tuple(-v for v in p), *corners), g.ray_triangle(lits(0, 0, 0), p, *corners)
+    pairs = queries.join(triangles, "mesh_id")
+    want = {r.query_id: r for r in pairs.groupBy("query_id").agg(F.min(g.point_triangle_distance(p, *corners)).alias("near"), F.count_if(F.coalesce(hit >= 0, F.lit(False))).alias("hits"), F.min(F.when(seen > 0, seen)).alias("depth")).collect()}
+    monkeypatch.setattr(spatial.paired, "__defaults__", (16,))
+    plan = spatial.signed_distance(queries, triangles)
+    assert "FlatMapCoGroupsInArrow" in plan._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.query_id: r for r in plan.collect()}
+    assert got.keys() == want.keys() and got[997].distance is None and got[998].distance == pytest.approx(0)
+    for k, r in got.items():
+        assert r.hits == want[k].hits and (want[k].near is None or abs(r.distance) == pytest.approx(want[k].near, rel=1e-9, abs=1e-9))
+    depths = {r.ray_id: r.depth for r in spatial.depth_image(queries.withColumnRenamed("query_id", "ray_id"), triangles).collect()}
+    assert depths == pytest.approx({k: r.depth for k, r in want.items() if r.depth is not None})

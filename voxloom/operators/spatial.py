@@ -110,13 +110,22 @@ def corner_arrays(t: dict) -> tuple:
     return tuple(tuple(t[f"{p}{axis}"] for axis in "xyz") for p in "akc")
 
 
-def ray_hits(direction: tuple, corners: tuple) -> np.ndarray:
-    """g.ray_triangle on arrays, for rays from the origin; NaN where there is no hit."""
-    minus = lambda u, v: tuple(p - q for p, q in zip(u, v, strict=True))
-    dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
-    cross = lambda u, v: (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+def minus(u: tuple, v: tuple) -> tuple:
+    return tuple(p - q for p, q in zip(u, v, strict=True))
+
+
+def dot(u: tuple, v: tuple) -> np.ndarray:
+    return u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+
+
+def cross(u: tuple, v: tuple) -> tuple:
+    return (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+
+
+def ray_hits(origin: tuple, direction: tuple, corners: tuple) -> np.ndarray:
+    """g.ray_triangle on arrays; NaN where there is no hit."""
     a, b, c = corners
-    e1, e2, s = minus(b, a), minus(c, a), tuple(0.0 - v for v in a)
+    e1, e2, s = minus(b, a), minus(c, a), minus(origin, a)
     p, q = cross(direction, e2), cross(s, e1)
     det = dot(e1, p)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -124,13 +133,36 @@ def ray_hits(direction: tuple, corners: tuple) -> np.ndarray:
         return np.where((np.abs(det) > 1e-6) & (u >= 0) & (u <= 1) & (v >= 0) & (u + v <= 1), dot(e2, q) / det, np.nan)
 
 
+def triangle_distances(p: tuple, corners: tuple) -> np.ndarray:
+    """g.point_triangle_distance on arrays; unknown numbers are NaN, and a side with one is left out."""
+    a, b, c = corners
+
+    def to_edge(s: tuple, t: tuple) -> np.ndarray:
+        d = minus(t, s)
+        length = dot(d, d)
+        k = np.where(length == 0, 0.0, dot(minus(p, s), d) / length)
+        k = np.fmax(0.0, np.fmin(1.0, k))
+        off = minus(p, tuple(x + k * y for x, y in zip(s, d, strict=True)))
+        return dot(off, off)
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ab, ac, ap = minus(b, a), minus(c, a), minus(p, a)
+        d00, d01, d11, d20, d21 = dot(ab, ab), dot(ab, ac), dot(ac, ac), dot(ap, ab), dot(ap, ac)
+        det = d00 * d11 - d01 * d01
+        v, w = (d11 * d20 - d01 * d21) / det, (d00 * d21 - d01 * d20) / det
+        n = cross(ab, ac)
+        over = dot(ap, n)
+        edges = np.fmin(np.fmin(to_edge(a, b), to_edge(b, c)), to_edge(c, a))
+        return np.sqrt(np.where((v >= 0) & (w >= 0) & (v + w <= 1), over * over / dot(n, n), edges))
+
+
 def rays_on_triangles(rays: DataFrame, triangles: DataFrame) -> DataFrame:
     """(ray_id, fid, hit): every hit of rays from the origin and triangles."""
 
     def meet(r: dict, t: dict) -> dict:
         corners, out = corner_arrays(t), []
         for at in range(0, len(r["x"]), 64):
-            hit = ray_hits(tuple(r[axis][at : at + 64, None] for axis in "xyz"), corners)
+            hit = ray_hits((0.0, 0.0, 0.0), tuple(r[axis][at : at + 64, None] for axis in "xyz"), corners)
             i, j = np.nonzero(~np.isnan(hit))
             out.append((r["ray_id"][at + i], t["fid"][j], hit[i, j]))
         return dict(zip(("ray_id", "fid", "hit"), map(np.concatenate, zip(*out, strict=True)), strict=True))
@@ -387,27 +419,45 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, start: float, scratch
         radius *= 2
 
 
-def signed_distance(queries: DataFrame, triangles: DataFrame, key: str = "mesh_id") -> DataFrame:
-    """(query_id, distance): to the nearest triangle of the mesh, negative inside.
+def signed_distance(queries: DataFrame, triangles: DataFrame, key: str = "mesh_id", parity: bool = True) -> DataFrame:
+    """(query_id, distance, hits): to the nearest triangle of the mesh, negative inside.
 
     Inside is an odd number of triangles between the query and the origin side: the ray goes from the
-    query through the origin. One pass over the pairs of a mesh gives the minimum and the parity,
-    both combined before the shuffle.
+    query through the origin. Each product of a block of queries and one of triangles gives its minimum
+    and its number of hits for each query. Without parity nothing is negative, and there are no hits.
     """
-    p = g.vec("x", "y", "z")
-    a, b, c = g.vec("ax", "ay", "az"), g.vec("kx", "ky", "kz"), g.vec("cx", "cy", "cz")
-    hit = g.ray_triangle(p, tuple(-v for v in p), a, b, c)
-    pairs = queries.join(triangles, key)
-    found = pairs.groupBy("query_id").agg(F.min(g.point_triangle_distance(p, a, b, c)).alias("near"), F.count_if(F.coalesce(hit >= 0, F.lit(False))).alias("hits"))
+    names = [f"{p}{axis}" for p in "akc" for axis in "xyz"]
+    strange = F.isnan("x") | F.isnan("y") | F.isnan("z")
+
+    def meet(q: dict, t: dict) -> dict:
+        corners, near, hits = corner_arrays(t), [], []
+        for at in range(0, len(q["x"]), 64):
+            p = tuple(q[axis][at : at + 64, None] for axis in "xyz")
+            near.append(np.fmin.reduce(triangle_distances(p, corners), axis=1))
+            hits.append((ray_hits(p, tuple(-v for v in p), corners) >= 0).sum(1) if parity else np.zeros(len(p[0]), np.int64))
+        return {"query_id": q["query_id"], "near": np.concatenate(near), "hits": np.concatenate(hits)} | {"strange": q["strange"]}
+
+    sides = queries.select("query_id", key, "x", "y", "z", F.coalesce(strange, F.lit(False)).alias("strange")), triangles.select(key, *names)
+    made = paired(*sides, [key], meet, "query_id long, near double, hits long, strange boolean")
+    near = F.min(F.when(~F.isnan("near"), F.col("near")))
+    found = made.groupBy("query_id").agg(F.when(F.max("strange"), F.lit(float("nan"))).otherwise(near).alias("near"), F.sum("hits").alias("hits"))
     return found.select("query_id", F.when(F.col("hits") % 2 == 1, -F.col("near")).otherwise(F.col("near")).alias("distance"), "hits")
 
 
 def depth_image(rays: DataFrame, triangles: DataFrame, key: str = "mesh_id") -> DataFrame:
-    """(ray_id, depth): parameter of each ray's first hit; rays that hit nothing are left out."""
-    a, b, c = g.vec("ax", "ay", "az"), g.vec("kx", "ky", "kz"), g.vec("cx", "cy", "cz")
-    zero = (F.lit(0.0),) * 3
-    t = g.ray_triangle(zero, g.vec("x", "y", "z"), a, b, c)
-    return rays.join(triangles, key).withColumn("t", t).where("t > 0").groupBy("ray_id").agg(F.min("t").alias("depth"))
+    """(ray_id, depth): parameter of each ray's first hit; rays that hit nothing are left out. By blocks, as signed_distance."""
+
+    def meet(r: dict, t: dict) -> dict:
+        corners, first = corner_arrays(t), []
+        for at in range(0, len(r["x"]), 64):
+            hit = ray_hits((0.0, 0.0, 0.0), tuple(r[axis][at : at + 64, None] for axis in "xyz"), corners)
+            first.append(np.fmin.reduce(np.where(hit > 0, hit, np.inf), axis=1))
+        first = np.concatenate(first)
+        return {"ray_id": r["ray_id"][first < np.inf], "depth": first[first < np.inf]}
+
+    names = [f"{p}{axis}" for p in "akc" for axis in "xyz"]
+    sides = rays.select("ray_id", key, "x", "y", "z").dropna(), triangles.select(key, *names).dropna()
+    return paired(*sides, [key], meet, "ray_id long, depth double").groupBy("ray_id").agg(F.min("depth").alias("depth"))
 
 
 def unit_cube(points: DataFrame, padding: float, key: str = "cloud_id") -> DataFrame:
