@@ -116,7 +116,7 @@ SELECT point_id AS query_id, round(sqrt(min(CASE WHEN v >= 0 AND w >= 0 AND v+w
 @catalog.op("J12_triangle_distance", DISTANCE)
 def triangle_distance(spark, sf):
     queries = x.points(spark, sf).selectExpr("point_id AS query_id", "cloud_id AS mesh_id", "x", "y", "z")
-    return spatial.signed_distance(queries, x.triangles(spark, sf)).select("query_id", r6(F.abs("distance")).alias("distance"))
+    return spatial.signed_distance(queries, x.triangles(spark, sf), parity=False).select("query_id", r6(F.col("distance")).alias("distance"))
 
 
 HITS = f"""WITH p AS (SELECT point_id, -x AS dx, -y AS dy, -z AS dz, x-ax AS sx, y-ay AS sy, z-az AS sz, kx-ax AS e1x, ky-ay AS e1y, kz-az AS e1z, cx-ax AS e2x, cy-ay AS e2y, cz-az AS e2z FROM {x.POINTS} q JOIN {x.TRIANGLES} t ON q.cloud_id = t.mesh_id),
