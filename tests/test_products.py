@@ -6,7 +6,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from voxloom.functions import geometry as g
-from voxloom.operators import spatial
+from voxloom.operators import spatial, tracking
 from voxloom.plans import catalog
 from voxloom.plans import fixtures as x
 from voxloom.plans.scratch import writer
@@ -107,3 +107,15 @@ def test_triangle_kernels_against_the_expressions(spark, monkeypatch):
         assert r.hits == want[k].hits and (want[k].near is None or abs(r.distance) == pytest.approx(want[k].near, rel=1e-9, abs=1e-9))
     depths = {r.ray_id: r.depth for r in spatial.depth_image(queries.withColumnRenamed("query_id", "ray_id"), triangles).collect()}
     assert depths == pytest.approx({k: r.depth for k, r in want.items() if r.depth is not None})
+
+
+def test_greedy_overlaps_against_the_assignment_of_all_pairs(spark, monkeypatch):
+    """Without a group of all pairs of a frame; with equal rectangles, so that costs are tied."""
+    detections = x.detections(spark, SF).where("frame < 3")
+    twins = detections.where("det_id % 2 = 0").withColumn("det_id", F.col("det_id") + 100_000)
+    detections = detections.unionByName(twins)
+    costs = tracking.overlaps(detections).select("frame", F.col("det_a").alias("row_id"), F.col("det_b").alias("col_id"), (1 - F.col("iou")).alias("cost"))
+    want = tracking.greedy_assignment(costs).collect()
+    monkeypatch.setattr(spatial.paired, "__defaults__", (8,))
+    got = tracking.greedy_overlaps(detections, writer(spark)).select("frame", "row_id", "col_id", "cost").collect()
+    assert len(got) > 20 and sorted(got) == sorted(want)

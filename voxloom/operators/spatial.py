@@ -57,15 +57,16 @@ def paired(left: DataFrame, right: DataFrame, keys: list[str], kernel, schema: s
 
     For tests of many operations: on whole blocks they cost a fraction of what they cost pair by pair.
     """
-    numbers = lambda t: {n: t[n].to_numpy() for n in t.column_names if n != "voxloom_product"}
+    numbers = lambda t: {n.removeprefix("other_"): t[n].to_numpy() for n in t.column_names if not n.endswith("voxloom_product")}
     one, other = blocks_of(left, right, keys, rows)
+    other = other.select(*[F.col(c).alias(f"other_{c}") for c in other.columns])  # both sides can be one table
     names = [f.split()[0] for f in schema.split(", ")]
 
     def of(a: pa.Table, b: pa.Table) -> pa.Table:
         made = kernel(numbers(a), numbers(b))
         return pa.table({n: made[n] for n in names})
 
-    return one.groupBy("voxloom_product").cogroup(other.groupBy("voxloom_product")).applyInArrow(of, schema)
+    return one.groupBy("voxloom_product").cogroup(other.groupBy("other_voxloom_product")).applyInArrow(of, schema)
 
 
 def all_rows(side: DataFrame) -> DataFrame:

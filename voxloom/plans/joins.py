@@ -157,20 +157,20 @@ def prediction_errors(spark, sf):
 
 
 OVERLAP = f"SELECT a.frame, a.det_id AS det_a, b.det_id AS det_b, i/((a.r-a.l)*(a.b-a.t)+(b.r-b.l)*(b.b-b.t)-i) AS iou FROM {x.DETECTIONS} a JOIN {x.DETECTIONS} b ON a.frame = b.frame AND a.det_id < b.det_id, LATERAL (SELECT greatest(0, least(a.r,b.r)-greatest(a.l,b.l))*greatest(0, least(a.b,b.b)-greatest(a.t,b.t)) AS i) WHERE i > 0"
-catalog.add("J17_overlaps", lambda s, d: tracking.overlaps(x.detections(s, d)).select("frame", "det_a", "det_b", r6(F.col("iou")).alias("iou")), f"SELECT frame, det_a, det_b, round(iou,6)+0.0 AS iou FROM ({OVERLAP})")
+catalog.add("J17_overlaps", lambda s, d: tracking.overlaps(x.detections(s, d)).select("frame", "det_a", "det_b", x.quick6(F.col("iou")).alias("iou")), f"SELECT frame, det_a, det_b, round(iou,6)+0.0 AS iou FROM ({OVERLAP})")
 
 
 @catalog.op("J16_greedy_assignment")
 def greedy_assignment(spark, sf):
     """Tests hold it against a plain loop."""
-    costs = tracking.overlaps(x.detections(spark, sf)).select("frame", F.col("det_a").alias("row_id"), F.col("det_b").alias("col_id"), (1 - F.col("iou")).alias("cost"))
-    return tracking.greedy_assignment(costs).select("frame", "row_id", "col_id", r6(F.col("cost")).alias("cost"))
+    return tracking.greedy_overlaps(x.detections(spark, sf), writer(spark)).select("frame", "row_id", "col_id", r6(F.col("cost")).alias("cost"))
 
 
 @catalog.op("J16_first_round", f"SELECT frame, det_a AS row_id, det_b AS col_id FROM ({OVERLAP}) QUALIFY row_number() OVER (PARTITION BY frame ORDER BY 1-iou, det_a, det_b) = 1")
 def first_round(spark, sf):
     """The pair that each frame's greedy assignment takes first."""
-    pairs = tracking.overlaps(x.detections(spark, sf)).groupBy("frame").agg(F.min(F.struct((1 - F.col("iou")).alias("cost"), F.col("det_a").alias("row_id"), F.col("det_b").alias("col_id"))).alias("m"))
+    one = x.detections(spark, sf)
+    pairs = tracking.best_overlaps(one, one).groupBy("frame").agg(F.min(F.struct("cost", "row_id", "col_id")).alias("m"))
     return pairs.select("frame", "m.row_id", "m.col_id")
 
 
