@@ -6,7 +6,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from voxloom.functions import geometry as g
-from voxloom.operators import spatial, tracking
+from voxloom.operators import fitting, spatial, tracking
 from voxloom.plans import catalog
 from voxloom.plans import fixtures as x
 from voxloom.plans.scratch import writer
@@ -119,3 +119,33 @@ def test_greedy_overlaps_against_the_assignment_of_all_pairs(spark, monkeypatch)
     monkeypatch.setattr(spatial.paired, "__defaults__", (8,))
     got = tracking.greedy_overlaps(detections, writer(spark)).select("frame", "row_id", "col_id", "cost").collect()
     assert len(got) > 20 and sorted(got) == sorted(want)
+
+
+def test_surface_of_a_sample_with_gaps_and_all_kinds_of_tetrahedra(spark):
+    """Whole samples at once: the triangles of a tetrahedron at a time, which took most of the query."""
+    r = np.random.default_rng(4)
+    values = r.normal(0, 1, (3, 3, 3))
+    values[0, 0, 0] = 0.0
+    rows = [(7, h, w, d, float(values[h, w, d])) for h, w, d in np.ndindex(3, 3, 3) if (h, w, d) != (2, 2, 2)]
+    table = spark.createDataFrame(rows, "sample_id long, h int, w int, d int, value double")
+    plan = fitting.surface(table, (3, 3, 3))
+    assert "FlatMapGroupsInArrow" in plan._jdf.queryExecution().optimizedPlan().toString()
+    values[2, 2, 2] = np.nan
+    want = []
+    for h, w, d in np.ndindex(2, 2, 2):
+        for a, b in [(1, 3), (1, 5), (2, 3), (2, 6), (4, 5), (4, 6)]:
+            tet = [np.array([h + (k >> 2 & 1), w + (k >> 1 & 1), d + (k & 1)]) for k in (0, a, b, 7)]
+            v = [values[tuple(t)] for t in tet]
+            ins, outs = [k for k in range(4) if v[k] < 0], [k for k in range(4) if not v[k] < 0]
+            if np.isnan(v).any() or not ins or not outs:
+                continue
+            cut = lambda i, j: tet[i] + (tet[j] - tet[i]) * v[i] / (v[i] - v[j])  # noqa: B023, E731
+            if len(ins) == 2:
+                q = [cut(ins[0], outs[0]), cut(ins[0], outs[1]), cut(ins[1], outs[1]), cut(ins[1], outs[0])]
+                want += [(q[0], q[1], q[2]), (q[0], q[2], q[3])]
+            else:
+                lone, rest = (ins[0], outs) if len(ins) == 1 else (outs[0], ins)
+                want.append(tuple(cut(lone, k) for k in rest))
+    want = sorted(tuple(np.round(np.array(t)[:, [1, 0, 2]].ravel(), 9) + 0.0) for t in want)
+    got = sorted(tuple(np.round(np.array(row[1:]), 9) + 0.0) for row in plan.collect())
+    assert len(want) > 30 and np.allclose(got, want)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,29 +196,35 @@ def surface(volume: DataFrame, shape: tuple[int, int, int], level: float = 0.0)
     paths = [(1, 3), (1, 5), (2, 3), (2, 6), (4, 5), (4, 6)]
     bits = np.array([[(k >> 2) & 1, (k >> 1) & 1, k & 1] for k in range(8)])
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    base = np.stack(np.meshgrid(*[np.arange(n - 1) for n in shape], indexing="ij"), -1).reshape(-1, 3)
+    tets = np.concatenate([base[:, None] + bits[[0, a, b, 7]][None] for a, b in paths])
+    flat_index = np.ravel_multi_index(tuple(tets[..., k] for k in range(3)), shape)
+    names = [f"{p}{c}" for p in "akc" for c in "xyz"]
+
+    def one(key: tuple, rows: pa.Table) -> pa.Table:
         grid = np.full(shape, np.nan)
-        grid[tuple(rows[c].to_numpy(int) for c in ("h", "w", "d"))] = rows["value"]
-        base = np.stack(np.meshgrid(*[np.arange(n - 1) for n in shape], indexing="ij"), -1).reshape(-1, 3)
+        grid[tuple(rows[c].to_numpy().astype(int) for c in ("h", "w", "d"))] = rows["value"].to_numpy()
+        value = grid.ravel()[flat_index] - level
+        below = value < 0
+        n = below.sum(1)
+        whole = ~np.isnan(value).any(1)
         out = []
-        for a, b in paths:
-            at = base[:, None] + bits[[0, a, b, 7]][None]
-            value = grid[at[..., 0], at[..., 1], at[..., 2]] - level
-            below = value < 0
-            for tet, v, low in zip(at[(n := below.sum(1)) % 4 > 0], value[n % 4 > 0], below[n % 4 > 0], strict=True):
-                if np.isnan(v).any():
-                    continue
-                ins, outs = np.flatnonzero(low), np.flatnonzero(~low)
-                cut = lambda i, j: tet[i] + (tet[j] - tet[i]) * v[i] / (v[i] - v[j])  # noqa: B023, E731
-                if len(ins) == 2:
-                    q = [cut(ins[0], outs[0]), cut(ins[0], outs[1]), cut(ins[1], outs[1]), cut(ins[1], outs[0])]
-                    out += [(q[0], q[1], q[2]), (q[0], q[2], q[3])]
-                else:
-                    lone, rest = (ins[0], outs) if len(ins) == 1 else (outs[0], ins)
-                    out.append(tuple(cut(lone, k) for k in rest))
-        flat = np.array(out)[:, :, [1, 0, 2]].reshape(-1, 9) if out else np.zeros((0, 9))
-        table = pd.DataFrame(flat, columns=[f"{p}{c}" for p in "akc" for c in "xyz"])
-        table.insert(0, "sample_id", key[0])
-        return table
-
-    return volume.select("sample_id", "h", "w", "d", "value").groupBy("sample_id").applyInPandas(one, "sample_id long, " + ", ".join(f"{p}{c} double" for p in "akc" for c in "xyz"))
+
+        def cut(tet: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            k = np.arange(len(v))
+            return tet[k, i] + (tet[k, j] - tet[k, i]) * (v[k, i] / (v[k, i] - v[k, j]))[:, None]
+
+        for count in (1, 2, 3):
+            some = whole & (n == count)
+            tet, v = tets[some], value[some]
+            order = np.argsort(~below[some], axis=1, kind="stable")  # the corners below first, each kind in its order
+            if count == 2:
+                q = [cut(tet, v, order[:, i], order[:, j]) for i, j in ((0, 2), (0, 3), (1, 3), (1, 2))]
+                out += [np.stack([q[0], q[1], q[2]], 1), np.stack([q[0], q[2], q[3]], 1)]
+            else:
+                lone, rest = (0, (1, 2, 3)) if count == 1 else (3, (0, 1, 2))
+                out.append(np.stack([cut(tet, v, order[:, lone], order[:, k]) for k in rest], 1))
+        flat = np.concatenate(out)[:, :, [1, 0, 2]].reshape(-1, 9)
+        return pa.table({"sample_id": pa.repeat(key[0], len(flat))} | {name: flat[:, k] for k, name in enumerate(names)})
+
+    return volume.select("sample_id", "h", "w", "d", "value").groupBy("sample_id").applyInArrow(one, "sample_id long, " + ", ".join(f"{p}{c} double" for p in "akc" for c in "xyz"))
