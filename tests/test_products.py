@@ -1,6 +1,7 @@
 """Products of many rows with many: blocks, and kernels on them against the plain expressions."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -149,3 +150,21 @@ def test_surface_of_a_sample_with_gaps_and_all_kinds_of_tetrahedra(spark):
     want = sorted(tuple(np.round(np.array(t)[:, [1, 0, 2]].ravel(), 9) + 0.0) for t in want)
     got = sorted(tuple(np.round(np.array(row[1:]), 9) + 0.0) for row in plan.collect())
     assert len(want) > 30 and np.allclose(got, want)
+
+
+def test_boxes_count_points_without_pairs(spark):
+    """Counts of boxes over many cells and a deep tree, points on their sides and numbers that aren't finite among them, as SQL counts them."""
+    r = np.random.default_rng(5)
+    p = np.round(r.normal(0, 4, (6_000, 3)), 1)  # places on sides, and equal ones
+    p[:3, 0], p[3, 1] = np.nan, np.inf
+    b = np.column_stack([np.round(r.uniform(1, 12, (400, 3)), 1), np.round(r.normal(0, 4, (400, 3)), 1), r.choice([0, np.pi / 2, 0.3, -2.5], 400)])
+    b[0, 0], b[1, 6], b[2, 4], b[3, :3] = np.nan, np.nan, np.inf, 1e6
+    points = pd.DataFrame(p, columns=["x", "y", "z"])
+    boxes = pd.DataFrame(b, columns=["sx", "sy", "sz", "tx", "ty", "tz", "yaw"]).assign(box_id=range(400))
+    made = [spark.createDataFrame(t.values.tolist(), ", ".join(f"{c} double" for c in t)) for t in (points, boxes)]
+    got = spatial.boxes_with_points(made[0], made[1].withColumn("box_id", F.col("box_id").cast("long")), 20, rows=500)
+    made[0].createOrReplaceTempView("some_points"), made[1].createOrReplaceTempView("some_boxes")
+    inside = "abs(cos(yaw)*(x-tx)+sin(yaw)*(z-tz)) <= sx/2 AND abs(y-ty) <= sy/2 AND abs(cos(yaw)*(z-tz)-sin(yaw)*(x-tx)) <= sz/2"
+    want = spark.sql(f"SELECT CAST(box_id AS BIGINT) AS box_id, count(*) AS n FROM some_points, some_boxes WHERE {inside} GROUP BY 1 HAVING count(*) >= 20")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {0, 3} <= {row.box_id for row in got.collect()}
