@@ -400,6 +400,23 @@ def test_similar_documents_against_brute_force(spark, groups, size):
     assert kept == {min(v) for v in got.values()}
 
 
+def test_near_copies_are_linked_by_few_links(spark, monkeypatch):
+    """All near pairs of a group were links, which grow with its square; classes that are one already need none."""
+    r, counts = random.Random(35), []
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+    base, texts = [word() for _ in range(300)], {}
+    for _ in range(120):
+        some = list(base)
+        for at in r.sample(range(300), 3):
+            some[at] = word()
+        texts[len(texts)] = " ".join(some)
+    original = similar.components
+    monkeypatch.setattr(similar, "components", lambda links, scratch: (counts.append(links.distinct().count()), original(links, scratch))[1])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x.doc_id for x in similar.keep_one(docs).collect()} == set(similar_classes(texts).values())
+    assert sum(counts) <= 3 * len(texts)
+
+
 def test_short_documents_meet_whatever_their_size(spark):
     """Pairs at or just above the least similarity, by appended words: each is linked, and only these are."""
     r, rows = random.Random(33), []

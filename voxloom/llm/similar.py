@@ -52,6 +52,8 @@ SHORT = 80
 FREQUENT = 100_000
 #: A key of more documents than this is full: its documents meet the first of them, and later those of other classes.
 FULL = 8
+#: While there are more than so many pairs a node to compare, the most promising ones are first.
+CROWDED = 2
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -188,6 +190,13 @@ def apart(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
+def promising(pairs: DataFrame) -> DataFrame:
+    """Of each class's pairs (a, b, d, ra, rb) the one with the least distance and the one with the least other class."""
+    own = pairs.select("*", F.col("ra").alias("of"), F.col("rb").alias("other")).unionByName(pairs.select("*", F.col("rb").alias("of"), F.col("ra").alias("other")))
+    best = own.groupBy("of").agg(F.min_by(F.struct("a", "b", "ra", "rb"), F.struct("d", "other", "a", "b")).alias("x"), F.min_by(F.struct("a", "b", "ra", "rb"), F.struct("other", "d", "a", "b")).alias("y"))
+    return best.select(F.explode(F.array("x", "y")).alias("one")).select("one.*").distinct()
+
+
 def margin(p: float, bits: int, deviations: float) -> int:
     """How many of so many bits differ at most, but for so many standard deviations."""
     return int(p * bits + deviations * math.sqrt(p * (1 - p) * bits))
@@ -255,9 +264,15 @@ class Finder:
         return self.scratch.table(self.prints.select("node").join(linked, F.col("node") == F.col("n"), "left").select("node", F.coalesce("root", "node").alias("root")), "classes")
 
     def across(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """Of the pairs those whose nodes are in different classes."""
+        """Of the pairs those whose nodes are in different classes, with the classes ra and rb."""
         side = lambda node, root: classes.select(F.col("node").alias(node), F.col("root").alias(root))
-        return pairs.join(side("a", "ra"), "a").join(side("b", "rb"), "b").where("ra <> rb").select("a", "b")
+        return pairs.drop("ra", "rb").join(side("a", "ra"), "a").join(side("b", "rb"), "b").where("ra <> rb")
+
+    def merged(self, links: DataFrame, classes: DataFrame) -> DataFrame:
+        """The classes with what the links (ra, rb) between them make one. Only these classes are nodes there, and each two of them one link."""
+        linked = components(links.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), self.scratch)
+        linked = linked.select(F.col("node").alias("root"), F.col("root").alias("whole"))
+        return self.scratch.table(classes.join(linked, "root", "left").select("node", F.coalesce("whole", "root").alias("root")), "classes")
 
     def from_texts(self, nodes: DataFrame, make, kind: str, name: str) -> DataFrame:
         """(node, made): what `make` makes of the shingles of each node's document."""
@@ -273,29 +288,48 @@ class Finder:
         # Rows that repeat each other make the same.
         return self.scratch.table(texts.select("node", F.pandas_udf(of, kind)("text").alias("made")).dropDuplicates(["node"]), name)
 
-    def compared(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs whose documents have the similarity, shingle by shingle."""
-        pairs = self.scratch.table(pairs, f"{name}-unsure")
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    def compared(self, pairs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+        """The classes with what those pairs (a, b, d) link whose documents have the similarity, shingle by shingle.
+
+        In a group of near copies nearly all pairs are near. While pairs are many times their nodes, each node's
+        most promising ones are compared first: what they make one class needs no further comparison, and the links
+        of a round are no more than twice the nodes. A round that links few is the last of these, and then all pairs
+        that are still between classes are compared.
+        """
+        pairs = self.scratch.table(self.across(pairs, classes).select("a", "b", "d", "ra", "rb"), f"{name}-unsure")
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         # Half a hash tells one shingle from the few thousand of another document.
         sets = self.from_texts(nodes, lambda h: (h >> np.uint64(32)).astype(np.uint32).view(np.int32), "array<int>", f"{name}-sets")
+        held, crowded = sets.count(), True
+        while count := pairs.count():
+            crowded = crowded and count > CROWDED * held
+            some = promising(pairs) if crowded else pairs
+            links = self.scratch.table(self.similar(some, sets), f"{name}-links")
+            if found := links.count():
+                classes = self.merged(links, classes)
+            if not crowded:
+                break
+            crowded = 10 * found >= held  # else what is left is mostly not similar
+            pairs = self.scratch.table(self.across(pairs.join(some, ["a", "b"], "left_anti"), classes), f"{name}-left")
+        return classes
+
+    def similar(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b, ra, rb) whose sets of shingles have the similarity."""
         side = lambda node, of: sets.select(F.col("node").alias(node), F.col("made").alias(of))
         both = pairs.join(side("a", "of_a"), "a").join(side("b", "of_b"), "b")
         common = F.size(F.array_intersect("of_a", "of_b"))
         union = F.size("of_a") + F.size("of_b") - common
-        return self.scratch.table(both.where(common >= F.lit(self.similarity) * union).select("a", "b"), name)
+        return both.where(common >= F.lit(self.similarity) * union).select("a", "b", "ra", "rb")
 
-    def linked(self, near: DataFrame, bits: int, links: DataFrame | None, classes: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame]:
-        """(links, classes) with what the near pairs add: the clear ones first, then those that a comparison confirms."""
+    def linked(self, near: DataFrame, bits: int, classes: DataFrame | None, name: str) -> DataFrame:
+        """The classes with what the near pairs add: the clear ones first, then those that a comparison confirms."""
         tight = ~F.col("short") & (F.col("d") <= margin(self.p, bits, -3))
         sure = self.scratch.table(near.where(tight).select("a", "b"), f"{name}-sure")
-        links = sure if links is None else links.unionByName(sure)
-        if classes is None or not sure.isEmpty():
-            classes = self.classes(links)
-        more = self.compared(self.across(near.where(~tight), classes), f"{name}-more")
-        if more.isEmpty():
-            return links, classes
-        return links.unionByName(more), self.classes(links.unionByName(more))
+        if classes is None:
+            classes = self.classes(sure)
+        elif not sure.isEmpty():
+            classes = self.merged(self.across(sure, classes), classes)
+        return self.compared(near.where(~tight), classes, name)
 
     def roots(self) -> DataFrame:
         """(doc_id, row_hash, root) for each row of docs."""
@@ -311,7 +345,7 @@ class Finder:
         pairs = met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "short").repartition("a").groupBy("a", "b").agg(F.max("short").alias("short"))
         pairs = self.within(pairs, prints.select("node", F.slice("print", 1, 2).alias("print")), 128).select("a", "b", "short")
         near = scratch.table(self.within(pairs, prints, BITS), "near")
-        links, classes = self.linked(near, BITS, None, None, "first")
+        classes = self.linked(near, BITS, None, "first")
         full = met.where("key IS NOT NULL").select("key", F.col("b").alias("node"), "member")
         if not full.isEmpty():
             # Of two classes in a key at least one isn't its greatest; two lesser ones meet once, in the order of nodes.
@@ -327,7 +361,7 @@ class Finder:
             rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & once & (apart("p.made", "q.made") <= reach))
             rest = rest.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"), (F.col("p.key") < 0).alias("short"), apart("p.made", "q.made").alias("d"))
             rest = rest.groupBy("a", "b", "d").agg(F.max("short").alias("short"))
-            links, classes = self.linked(scratch.table(rest, "rest"), 64 * FINE, links, classes, "last")
+            classes = self.linked(scratch.table(rest, "rest"), 64 * FINE, classes, "last")
         return scratch.table(rows.join(prints.select("print", "node"), "print").join(classes, "node").select("doc_id", "row_hash", "root"), "roots")
 
 
