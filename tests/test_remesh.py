@@ -269,3 +269,19 @@ def test_relaxation_against_numpy(spark):
         assert all(b[1] < a[1] if a[3] else b[1] == a[1] for a, b in zip(mine, mine[1:], strict=False)) and any(s[3] for s in mine)  # the spread of areas falls with each step taken
         refused |= {m for s in mine if not s[3]}
     assert 3 in refused
+
+
+def test_rounds_broadcast_no_table(spark):
+    """Each round's tables grow with the meshes; none of them may go through the driver, however small it is here."""
+    write, seen = writer(spark), []
+
+    def checked(df, name):
+        seen.append(name)
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString(), name
+        return write(df, name)
+
+    points, faces = (spark.createDataFrame(some, kind) for some, kind in zip(sheet(0, 5, lambda j, i: (j + 0.8 * i, i, 0.1 * i * j)), (POINT, FACE), strict=True))
+    left, kept, _ = remesh.decimated(points, faces, spark.createDataFrame([(0, 24)], "mesh_id long, budget long"), checked)
+    assert left.count() == 24 and kept.count() in (30, 31) and {"some-0", "chosen-0", "points-0", "faces-0", "target-1"} <= set(seen)
+    remesh.flipped(faces, points, checked, most_rounds=1)
+    remesh.relaxed(points, faces, 1, checked)
