@@ -197,16 +197,17 @@ def vertex_quadrics(vertices: DataFrame, faces: DataFrame, border: float = 10.0)
     return vertices.select("mesh_id", "vid", "x", "y", "z").join(shuffled(total), ["mesh_id", "vid"])
 
 
-def collapses(vertices: DataFrame, faces: DataFrame, turn: float = 0.2) -> DataFrame:
+def collapses(vertices: DataFrame, faces: DataFrame, sides: DataFrame, scratch, turn: float = 0.2) -> DataFrame:
     """(mesh_id, u, v, cost, x, y, z): sides that may be drawn together, to the least costly of both ends and the middle.
 
     A side may go if its ends have no common neighbours but the corners opposite it (else the mesh
     would no longer be a manifold), isn't an inner side between border vertices, and no other face of
     its ends is turned by more than the cosine `turn`. A border vertex stays on its place if the other isn't one.
+    sides: those of the faces (mesh_id, u, v, n), with their numbers of faces. What is used twice is written
+    by scratch(df, name), as each use would plan it again.
     """
-    sides = edges(faces).groupBy("mesh_id", "u", "v").agg(F.count("*").alias("n"))
     border = sides.where("n = 1").select("mesh_id", F.explode(F.array("u", "v")).alias("vid")).distinct().withColumn("rim", F.lit(True))
-    points = vertices.join(shuffled(border), ["mesh_id", "vid"], "left").withColumn("rim", F.coalesce("rim", F.lit(False)))
+    points = scratch(vertices.join(shuffled(border), ["mesh_id", "vid"], "left").withColumn("rim", F.coalesce("rim", F.lit(False))), "rims")
     both = sides.where("n <= 2")
     for name in ("u", "v"):
         both = both.join(shuffled(at(points, name, "rim", *QUADRIC)), ["mesh_id", name])
@@ -216,11 +217,11 @@ def collapses(vertices: DataFrame, faces: DataFrame, turn: float = 0.2) -> DataF
     choice = lambda p, allowed: F.when(allowed, F.struct(quadric_cost(q, p).alias("cost"), *[c.alias(n) for n, c in zip("xyz", p, strict=True)]))
     free = F.col("u_rim") == F.col("v_rim")
     best = F.array_min(F.array_compact(F.array(choice(middle, free), choice(position("u"), free | F.col("u_rim")), choice(position("v"), free | F.col("v_rim")))))
-    both = both.select("mesh_id", "u", "v", "n", best.alias("best")).select("mesh_id", "u", "v", "n", "best.*")
+    both = scratch(both.select("mesh_id", "u", "v", "n", best.alias("best")).select("mesh_id", "u", "v", "n", "best.*"), "best")
     around = sides.select("mesh_id", "u", "v").unionByName(sides.select("mesh_id", F.col("v").alias("u"), F.col("u").alias("v")))
     common = both.select("mesh_id", "u", "v").join(shuffled(around.select("mesh_id", "u", F.col("v").alias("w"))), ["mesh_id", "u"]).join(shuffled(around.select("mesh_id", F.col("u").alias("v"), F.col("v").alias("w"))), ["mesh_id", "v", "w"])
-    both = both.join(shuffled(common.groupBy("mesh_id", "u", "v").agg(F.count("*").alias("shared"))), ["mesh_id", "u", "v"]).where("shared = n").drop("shared", "n")
-    fans = edges_directed(faces).select("mesh_id", F.col("opposite").alias("vid"), F.col("u").alias("p"), F.col("v").alias("q")).join(shuffled(at(vertices, "vid")), ["mesh_id", "vid"]).join(shuffled(at(vertices, "p")), ["mesh_id", "p"]).join(shuffled(at(vertices, "q")), ["mesh_id", "q"])
+    both = scratch(both.join(shuffled(common.groupBy("mesh_id", "u", "v").agg(F.count("*").alias("shared"))), ["mesh_id", "u", "v"]).where("shared = n").drop("shared", "n"), "manifold")
+    fans = edges_directed(faces).select("mesh_id", F.col("opposite").alias("vid"), F.col("u").alias("p"), F.col("v").alias("q")).join(shuffled(at(points, "vid")), ["mesh_id", "vid"]).join(shuffled(at(points, "p")), ["mesh_id", "p"]).join(shuffled(at(points, "q")), ["mesh_id", "q"])
     new = g.vec("x", "y", "z")
     before = g.cross(g.sub(position("p"), position("vid")), g.sub(position("q"), position("vid")))
     after = g.cross(g.sub(position("p"), new), g.sub(position("q"), new))
@@ -230,9 +231,8 @@ def collapses(vertices: DataFrame, faces: DataFrame, turn: float = 0.2) -> DataF
     return both.join(shuffled(turned), ["mesh_id", "u", "v"], "left_anti")
 
 
-def independent(some: DataFrame, faces: DataFrame) -> DataFrame:
-    """Those of the sides (mesh_id, u, v, cost) that are the least among all that touch them or a neighbour of theirs."""
-    sides = edges(faces).select("mesh_id", "u", "v").distinct()
+def independent(some: DataFrame, sides: DataFrame) -> DataFrame:
+    """Those of the sides (mesh_id, u, v, cost) that are the least among all that touch them or a neighbour of theirs; sides (mesh_id, u, v): all there are."""
     around = sides.select("mesh_id", F.col("u").alias("vid"), F.col("v").alias("other")).unionByName(sides.select("mesh_id", F.col("v").alias("vid"), F.col("u").alias("other")))
     own = F.struct("cost", F.xxhash64("mesh_id", "u", "v").alias("tie"), "u", "v")
     ends = some.select("mesh_id", F.explode(F.array("u", "v")).alias("vid"), own.alias("own"))
@@ -258,9 +258,11 @@ def decimated(vertices: DataFrame, faces: DataFrame, budgets: DataFrame, scratch
         if need.isEmpty():
             break
         open_faces = now.join(shuffled(need), "mesh_id", "left_semi")
-        some = scratch(collapses(points.join(shuffled(need), "mesh_id", "left_semi"), open_faces), f"some-{done}")
-        chosen = scratch(independent(some, open_faces), f"chosen-{done}")
-        have = chosen.groupBy("mesh_id").agg(F.count("*").alias("have")).join(shuffled(need), "mesh_id")
+        sides = scratch(edges(open_faces).groupBy("mesh_id", "u", "v").agg(F.count("*").alias("n")), f"sides-{done}")
+        within = lambda df, name: scratch(df, f"{name}-{done}")  # noqa: B023, E731
+        some = scratch(collapses(points.join(shuffled(need), "mesh_id", "left_semi"), open_faces, sides, within), f"some-{done}")
+        chosen = scratch(independent(some, sides), f"chosen-{done}")
+        have = scratch(chosen.groupBy("mesh_id").agg(F.count("*").alias("have")).join(shuffled(need), "mesh_id"), f"have-{done}")
         found, over = have.agg(F.count("*"), F.count_if(F.col("have") > F.col("need"))).first()
         if not found:
             break
