@@ -359,6 +359,21 @@ def test_components_of_chains_and_hubs(spark):
 
 
 # Similarity of word shingles.
+@pytest.mark.parametrize("run", [500_000, 40])
+def test_components_of_few_links_take_no_rounds(spark, monkeypatch, run):
+    """Links of one run are ready after two tables, whatever their shape; of more links a task takes only its run, with the same components."""
+    monkeypatch.setattr(common, "RUN", run, raising=False)
+    r = random.Random(31)
+    chain = [(k, k + 1) for k in range(300)]
+    r.shuffle(chain)
+    links = chain + [(1000, 1000 + k) for k in range(1, 50)] + [(2000 + k, 1049) for k in range(3)] + [(7, 7), (-5, 2**62), (3, 2)]
+    scratch = common.Scratch(spark, "test")
+    got = {x.node: x.root for x in common.components(spark.createDataFrame(links, "a long, b long").repartition(5), scratch).collect()}
+    want = {k: 0 for k in range(301)} | {k: 1000 for k in range(1000, 1050)} | {2000 + k: 1000 for k in range(3)} | {-5: -5, 2**62: -5}
+    assert got == want
+    assert run < len(links) or scratch.n == 2
+
+
 def similar_classes(texts: dict, width: int = 5, least: float = 0.8) -> dict:
     sets = {}
     for d, t in texts.items():
