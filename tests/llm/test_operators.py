@@ -696,6 +696,34 @@ def test_images_of_the_same_tiles(spark):
     assert np.mean([c // 10 == m // 10 for m, c in got.items()]) >= 0.7
 
 
+def test_media_pairs_of_full_keys_stay_in_their_blocks(spark, monkeypatch):
+    """Images that all meet in full keys: the candidates are those of a count of all near corners, in blocks of any size, and no shuffle holds the near corners."""
+    r = np.random.default_rng(33)
+    base = r.integers(0, 1 << 63, (6, 2))  # few descriptors, of which each image has some, a few bits off
+    images = []
+    for node in [-(2**63), *range(-20, 20), 2**63 - 1]:
+        low, high = base[r.integers(0, 6, 7)].T
+        images.append((node, [(0.0, 0.0, int(r.integers(0, 3)), int(r.integers(0, 32)), int(x) ^ (1 << int(r.integers(0, 63))), int(y)) for x, y in zip(low, high, strict=True)]))
+    images.append((100, []))
+    root = {node: node if node % 5 else -5 for node, _ in images}
+    masks = [(0xFFFF << 20, 0), (0, -(1 << 40) % (1 << 64))]
+    met = {}
+    for (a, of_a), (b, of_b) in itertools.combinations(sorted(images), 2):
+        for (k, p), q in itertools.product(enumerate(of_a), of_b):
+            apart = (p[4] ^ q[4]).bit_count() + (p[5] ^ q[5]).bit_count()
+            if root[a] != root[b] and apart <= 8 and any((p[4] ^ q[4]) & x == 0 == (p[5] ^ q[5]) & y for x, y in masks):
+                for h in (0, 2):
+                    met.setdefault((a, b, q[2] - p[2], h, ((q[3] - p[3]) % 32 + h) % 32 // 4), set()).add(k)
+    want = {c[:2] for c, ks in met.items() if len(ks) >= 2}
+    table = spark.createDataFrame(images, "node long, corners array<struct<x:float,y:float,level:int,turn:int,low:long,high:long>>")
+    classes = spark.createDataFrame(list(root.items()), "node long, root long")
+    for block, some in ((8192, 64), (9, 4)):
+        monkeypatch.setattr(media, "BLOCK", block)
+        monkeypatch.setattr(media, "SOME", some)
+        got = [(x.a, x.b) for x in media.rest_of_full(table, classes, masks, 8, 2).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and 100 < len(want) < 800
+
+
 def test_media_query(spark):
     """Every vector's image, and each edited copy with its original."""
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
