@@ -110,6 +110,41 @@ def test_triangle_kernels_against_the_expressions(spark, monkeypatch):
     assert depths == pytest.approx({k: r.depth for k, r in want.items() if r.depth is not None})
 
 
+def test_hits_through_the_origin_against_each_pair(monkeypatch):
+    """Signs in single precision decide nearly all pairs, the plain test the rest: sides, corners, flat triangles, NaN and huge numbers."""
+    r = np.random.default_rng(3)
+    plain, tested = spatial.ray_hits, []
+    for whole in (False, True):
+        points, corners = r.normal(0, 5, (300, 3)), [r.normal(0, 5, (700, 3)) for _ in range(3)]
+        if whole:  # many on sides
+            points, corners = np.round(points), [np.round(c) for c in corners]
+        points[0], points[1, 0], points[2], points[3], points[4] = np.nan, np.inf, 0, corners[0][5], 1e16
+        points[5:40] = (corners[0][5:40] + corners[1][5:40]) / 2
+        corners[1][3], corners[2][4], corners[1][6] = corners[0][3], np.nan, np.inf
+        columns = tuple(tuple(c.T) for c in corners)
+        with np.errstate(all="ignore"):
+            p = tuple(points[:, k][:, None] for k in range(3))
+            want = (plain(p, tuple(-v for v in p), columns) >= 0).sum(1)
+        monkeypatch.setattr(spatial, "ray_hits", lambda p, *more: tested.append(p[0].size) or plain(p, *more))
+        got = spatial.hits_through_origin(dict(zip("xyz", points.T, strict=True)), columns, (64, 64))
+        assert got.tolist() == want.tolist() and want.sum() > 10_000
+        assert whole or sum(tested) < want.size * 700 / 50
+        monkeypatch.setattr(spatial, "ray_hits", plain)
+
+
+def test_inside_parity_makes_no_distances(spark, monkeypatch):
+    """A8 computed the distance of each pair, and threw it away."""
+    monkeypatch.setattr(spatial, "triangle_distances", None)
+    queries, triangles = x.points(spark, SF).selectExpr("point_id AS query_id", "cloud_id AS mesh_id", "x", "y", "z"), x.triangles(spark, SF)
+    got = {r.query_id: r.hits for r in spatial.hits_to_origin(queries, triangles, rows=16).collect()}
+    p = g.vec("x", "y", "z")
+    hit = g.ray_triangle(p, tuple(-v for v in p), g.vec("ax", "ay", "az"), g.vec("kx", "ky", "kz"), g.vec("cx", "cy", "cz"))
+    want = queries.join(triangles, "mesh_id").groupBy("query_id").agg(F.count_if(F.coalesce(hit >= 0, F.lit(False))).alias("hits")).collect()
+    assert got == {r.query_id: r.hits for r in want}
+    plan = catalog.queries()["A8_inside_parity"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "near" not in plan
+
+
 def test_greedy_overlaps_against_the_assignment_of_all_pairs(spark, monkeypatch):
     """Without a group of all pairs of a frame; with equal rectangles, so that costs are tied."""
     detections = x.detections(spark, SF).where("frame < 3")

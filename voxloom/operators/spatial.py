@@ -159,6 +159,64 @@ def triangle_distances(p: tuple, corners: tuple) -> np.ndarray:
         return np.sqrt(np.where((v >= 0) & (w >= 0) & (v + w <= 1), over * over / dot(n, n), edges))
 
 
+def hits_through_origin(p: dict, corners: tuple, tile: tuple[int, int] = (64, 1024)) -> np.ndarray:
+    """Of each point the triangles with ray_hits() >= 0 on the ray through the origin.
+
+    Such a ray meets a triangle where four numbers have one sign: by the normals of the planes of the
+    origin and each side, and by that of the triangle. Tiles of them come from products in single
+    precision; what is too near to zero there, and what isn't regular, is tested by ray_hits().
+    """
+    corners = tuple(np.stack(c, 1) for c in corners)
+    points, (a, b, c) = np.stack([p[axis] for axis in "xyz"], 1), corners
+    count = np.zeros(len(points), np.int64)
+
+    def test(i: np.ndarray, j: np.ndarray) -> None:
+        for at in range(0, len(i), 1 << 16):
+            some, q = i[at : at + (1 << 16)], points[i[at : at + (1 << 16)]].T
+            with np.errstate(all="ignore"):
+                hit = ray_hits(tuple(q), tuple(-q), tuple(tuple(x[j[at : at + (1 << 16)]].T) for x in corners))
+            np.add.at(count, some[hit >= 0], 1)
+
+    with np.errstate(all="ignore"):
+        sides = [np.cross(c, a), np.cross(a, b), np.cross(b, c), np.cross(b - a, c - a)]
+        lengths = np.stack([np.linalg.norm(s, axis=1) for s in sides])
+        size = sum(np.linalg.norm(x, axis=1) for x in corners) ** 2
+        even = (lengths.min(0) >= 1e-5 * size) & (lengths.max(0) >= 1) & (size < 1e15)
+        far = np.linalg.norm(points, axis=1)
+    near, odd = np.flatnonzero(far < 1e15), np.flatnonzero(~even)
+    apart = np.flatnonzero(~(far < 1e15) & ~np.isnan(points).any(1))  # a NaN meets nothing
+    for i in apart:
+        test(np.full(len(a), i), np.arange(len(a)))
+    for j in odd:
+        test(near, np.full(len(near), j))
+    even = np.flatnonzero(even)
+    rows, wide = tile
+    planes = np.zeros((4, 4, -(-len(even) // wide) * wide), np.float32)
+    planes[:2, 3, len(even) :] = [[1e30], [-1e30]]  # nothing meets what fills the last tile
+    offsets = (a[even] * sides[3][even]).sum(1) / lengths[3][even]
+    for k in range(4):
+        planes[k, :3, : len(even)] = (sides[k][even] / lengths[k][even, None]).T
+    planes[3, 3, : len(even)] = -offsets
+    places = np.column_stack([points[near], np.ones(len(near))]).astype(np.float32)
+    for at in range(0, len(near), rows):
+        some = places[at : at + rows]
+        unsure = np.float32(1e-5 * max(1.0, far[near[at : at + rows]].max() + np.abs(offsets).max(initial=0)))
+        unclear = []
+        for left in range(0, planes.shape[2], wide):
+            f = [some @ planes[k, :, left : left + wide] for k in range(4)]
+            low, high = np.minimum(f[0], f[1]), np.maximum(f[0], f[1])
+            for more in f[2:]:
+                np.minimum(low, more, out=low)
+                np.maximum(high, more, out=high)
+            hit = (low > unsure) | (high < -unsure)
+            count[near[at : at + rows]] += np.bitwise_count(hit.view(np.uint64)).sum(1, dtype=np.int64)
+            i, j = np.divmod(np.flatnonzero(~(hit | (low < -unsure) & (high > unsure))), wide)
+            unclear.append((near[at + i], even[left + j]))
+        if unclear:
+            test(*map(np.concatenate, zip(*unclear, strict=True)))
+    return count
+
+
 def rays_on_triangles(rays: DataFrame, triangles: DataFrame) -> DataFrame:
     """(ray_id, fid, hit): every hit of rays from the origin and triangles."""
 
@@ -576,6 +634,14 @@ def signed_distance(queries: DataFrame, triangles: DataFrame, key: str = "mesh_i
     return found.select("query_id", F.when(F.col("hits") % 2 == 1, -F.col("near")).otherwise(F.col("near")).alias("distance"), "hits")
 
 
+def hits_to_origin(queries: DataFrame, triangles: DataFrame, key: str = "mesh_id", rows: int = 4 * BLOCK) -> DataFrame:
+    """(query_id, hits): how many triangles of its mesh lie between each query and the origin, or behind it. By blocks, as signed_distance, but without distances."""
+    names = [f"{p}{axis}" for p in "akc" for axis in "xyz"]
+    sides = queries.select("query_id", key, "x", "y", "z"), triangles.select(key, *names)
+    made = paired(*sides, [key], lambda q, t: {"query_id": q["query_id"], "hits": hits_through_origin(q, corner_arrays(t))}, "query_id long, hits long", rows)
+    return made.groupBy("query_id").agg(F.sum("hits").alias("hits"))
+
+
 def depth_image(rays: DataFrame, triangles: DataFrame, key: str = "mesh_id") -> DataFrame:
     """(ray_id, depth): parameter of each ray's first hit; rays that hit nothing are left out. By blocks, as signed_distance."""
 

@@ -128,7 +128,7 @@ SELECT point_id AS query_id, count(*) FILTER (WHERE abs(det) > 1e-6 AND (sx*px+s
 @catalog.op("A8_inside_parity", HITS)
 def inside_parity(spark, sf):
     queries = x.points(spark, sf).selectExpr("point_id AS query_id", "cloud_id AS mesh_id", "x", "y", "z")
-    return spatial.signed_distance(queries, x.triangles(spark, sf)).select("query_id", "hits")
+    return spatial.hits_to_origin(queries, x.triangles(spark, sf)).select("query_id", "hits")
 
 
 @catalog.op("J13_level_set", f"SELECT query_id, CAST(floor(distance) AS BIGINT) AS level FROM ({DISTANCE})")
