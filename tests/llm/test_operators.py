@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import SF
@@ -724,6 +725,38 @@ def test_media_pairs_of_full_keys_stay_in_their_blocks(spark, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == want and 100 < len(want) < 800
 
 
+def test_links_within_blocks_are_those_of_the_joins(spark):
+    """Candidates of full keys were joined with all their corners twice; now the task that finds them says which are linked."""
+    rows = []
+    for k in range(12):
+        im = textured(k)
+        rows += [(10 * k, im), *[(10 * k + e + 1, media.edited(im, e + 5 * k)) for e in range(5)], (10 * k + 6, im[20:70, 10:60])]
+    rows += [(1000, np.zeros((96, 96))), (1001, textured(3)[:, :48]), (1002, np.hstack([textured(3)[:, :48], textured(4)[:, :48]]))]
+    images = media.features(spark.createDataFrame([(k, pgm(im)) for k, im in rows], "media_id long, image binary")).select(F.col("media_id").alias("node"), "corners")
+    images = spark.createDataFrame(images.collect(), images.schema)
+    two = lambda name: images.select(F.col("node").alias(name))
+    for least, spread, dense in ((5, 0.2, 0.25), (3, 0.0, 0.6)):
+        want = {(r.a, r.b) for r in media.links_of(two("a").join(two("b")).where("a < b"), images, 14, least, spread, dense, True).collect()}
+        node, corners = (c.combine_chunks() for c in images.orderBy("node").toArrow().columns)
+        block = media.corners_of(pa.StructArray.from_arrays([node, node, corners], ["node", "root", "corners"]))
+        first, second = np.triu_indices(len(rows), 1)
+        good = media.linked_in(block, block, first, second, 14, least, spread, dense)
+        assert set(zip(block["node"][first[good]].tolist(), block["node"][second[good]].tolist(), strict=True)) == want and len(want) > 100
+
+
+def test_blocks_of_images_meet_without_a_shuffle(spark, monkeypatch):
+    """An image was sent once for each block."""
+    monkeypatch.setattr(media, "BLOCK", 8)
+    corner = "array(struct(0f AS x, 0f AS y, 0 AS level, 0 AS turn, id AS low, 0L AS high), struct(9f AS x, 9f AS y, 0 AS level, 0 AS turn, -1L AS low, 7L AS high))"
+    table = spark.range(60).selectExpr("xxhash64(id) AS node", f"{corner} AS corners")
+    classes = table.select("node", F.col("node").alias("root"))
+    made = media.rest_of_full(table, classes, [(0, 0)], 8, 1)
+    pairs = made.collect()
+    assert len(pairs) == len(set(pairs)) == 60 * 59 // 2 and all(r.a < r.b for r in pairs)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan
+
+
 def test_media_query(spark):
     """Every vector's image, and each edited copy with its original."""
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
