@@ -738,7 +738,8 @@ def test_links_within_blocks_are_those_of_the_joins(spark):
     for least, spread, dense in ((5, 0.2, 0.25), (3, 0.0, 0.6)):
         want = {(r.a, r.b) for r in media.links_of(two("a").join(two("b")).where("a < b"), images, 14, least, spread, dense, True).collect()}
         node, corners = (c.combine_chunks() for c in images.orderBy("node").toArrow().columns)
-        block = media.corners_of(pa.StructArray.from_arrays([node, node, corners], ["node", "root", "corners"]))
+        numbers = [pa.ListArray.from_arrays(corners.offsets, corners.values.field(c)) for c in media.CORNER]
+        block = media.corners_of(pa.StructArray.from_arrays([node, node, *numbers], ["node", "root", *media.CORNER]))
         first, second = np.triu_indices(len(rows), 1)
         good = media.linked_in(block, block, first, second, 14, least, spread, dense)
         assert set(zip(block["node"][first[good]].tolist(), block["node"][second[good]].tolist(), strict=True)) == want and len(want) > 100
